@@ -33,8 +33,8 @@ HELD = 400_000
 #: Words whose counts travel with the tasks, words of the model, and classes of other words.
 FREQUENT, WORDS, CLASSES = 100_000, 1534, 512
 #: Components of word vectors, tokens of a training step, noise words shared by a step.
-RANK, STEP, NOISE = 24, 4096, 64
-RATE, WARM_TEXTS = 0.08, 3000
+RANK, STEP, NOISE = 24, 2048, 64
+RATE, WARM_TEXTS = 0.1, 3000
 END, START = WORDS + CLASSES, WORDS + CLASSES + 1
 SIZE = WORDS + CLASSES + 2
 

@@ -17,16 +17,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.llm.work import cut, offsets, slim
 
 K, EVERY = 5, 50
 #: Trees, sampled vectors to fit them on, sampled vectors in a leaf, leaves that a query opens,
 #: and rows of one part of a large leaf.
-TREES, SAMPLE, LEAF, OPENED, PART = 12, 8192, 16, 96, 4096
+TREES, SAMPLE, LEAF, OPENED, PART = 12, 8192, 64, 96, 4096
+#: Queries that meet one part of a leaf at once, over all leaves.
+QUERIES = 1 << 16
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _usable(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         b = b.filter(pa.array(np.asarray(b.column("embedding").is_valid()) & np.asarray(b.column("vec_id").is_valid())))
         column = b.column("embedding")
@@ -34,14 +37,16 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
         wrong, some = (np.concatenate(([0], np.cumsum(f))) for f in (~np.isfinite(x), np.isfinite(x) & (x != 0)))
         ok = (wrong[at[1:]] == wrong[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
-        rows = [x[i:j].astype("<f8").tobytes() for i, j in zip(at[:-1][ok], at[1:][ok])]
+        x = x.astype(kind)
+        rows = [x[i:j].tobytes() for i, j in zip(at[:-1][ok], at[1:][ok])]
         yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(pa.array(ok)), pa.array(rows, pa.binary())], ["vec_id", "v"])
 
 
-def matrix(rows: list[bytes], width: int | None = None) -> np.ndarray:
-    """Rows of doubles; shorter rows are filled with zeros."""
-    width = 8 * width if width else max((len(r) for r in rows), default=0)
-    return np.frombuffer(b"".join(r[:width].ljust(width, b"\0") for r in rows), "<f8").reshape(len(rows), width // 8)
+def matrix(rows: list[bytes], kind: str, width: int | None = None) -> np.ndarray:
+    """Rows of doubles from rows of the given kind; shorter rows are filled with zeros."""
+    size = np.dtype(kind).itemsize
+    width = size * width if width else max((len(r) for r in rows), default=0)
+    return np.frombuffer(b"".join(r[:width].ljust(width, b"\0") for r in rows), kind).reshape(len(rows), width // size).astype(float)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -113,24 +118,24 @@ class Forest:
         return found
 
 
-def _indexed(batches: Iterator[pa.RecordBatch], forest: Forest, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _indexed(batches: Iterator[pa.RecordBatch], forest: Forest, parts: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
         rows = b.column("v").to_pylist()
-        leaf = forest.place(unit(matrix(rows, forest.width)))
+        leaf = forest.place(unit(matrix(rows, kind, forest.width)))
         part = (np.arange(leaf.size).reshape(leaf.shape) // leaf.shape[1] * 7919 + b.num_rows) % parts[leaf]
         at = np.repeat(np.arange(len(rows)), leaf.shape[1])
         take = pa.array(at)
         yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), pa.array(part.ravel()), b.column("ids").take(take), b.column("v").take(take)], ["leaf", "part", "ids", "v"])
 
 
-def _asked(batches: Iterator[pa.RecordBatch], forest: Forest, parts: np.ndarray, opened: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], forest: Forest, parts: np.ndarray, opened: int, kind: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
         rows = b.column("v").to_pylist()
-        found = [forest.search(q, opened) for q in unit(matrix(rows, forest.width))]
+        found = [forest.search(q, opened) for q in unit(matrix(rows, kind, forest.width))]
         at, leaf, part = zip(*((i, f, p) for i, leaves in enumerate(found) for f in leaves for p in range(parts[f])))
         take = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), b.column("vec_id").take(take), b.column("v").take(take)], ["leaf", "part", "query_id", "q"])
@@ -140,18 +145,20 @@ def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("nd,nd->n", q, x) / (np.sqrt(np.einsum("nd,nd->n", q, q)) * np.sqrt(np.einsum("nd,nd->n", x, x)))
 
 
-def _leaf(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+def _leaf(left: pd.DataFrame, right: pd.DataFrame, k: int, kind: str) -> pd.DataFrame:
     """The k best candidates of one part of a leaf for each query that opened it."""
     if left.empty or right.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-    q, x = matrix(left["q"].tolist()), matrix(right["v"].tolist())
+    q, x = matrix(left["q"].tolist(), kind), matrix(right["v"].tolist(), kind)
     width = max(q.shape[1], x.shape[1])
     q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
     queries, ids = left["query_id"].to_numpy(), right["ids"].tolist()
-    rough = unit(q) @ unit(x).T
-    n = min(len(x), k + 1)
-    kth = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n]
-    i, j = np.nonzero(rough >= kth[:, None] - 1e-9)
+    n, near, pairs = min(len(x), k + 1), unit(x).T, []
+    for start in range(0, len(q), 1024):
+        rough = unit(q[start : start + 1024]) @ near
+        kth = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n]
+        pairs.append(np.argwhere(rough >= kth[:, None] - 1e-9) + (start, 0))
+    i, j = np.concatenate(pairs).T
     score = cosine(q[i], x[j])
     rows = [(queries[a], c, s) for a, b, s in zip(i, j, score) for c in ids[b] if c != queries[a]]
     found = pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
@@ -167,23 +174,27 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int =
     with zeros; repeated rows count once; other columns are not read. A query whose leaves hold
     fewer than k others opens all leaves. No queries or no candidates give no rows.
     """
-    rows = slim(embeddings, "vec_id", "embedding").mapInArrow(_usable, "vec_id long, v binary")
+    kind = "<f4" if embeddings.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
+    rows = slim(embeddings, "vec_id", "embedding").mapInArrow(lambda it: _usable(it, kind), "vec_id long, v binary")
     first = Window.partitionBy("v").orderBy("vec_id")
     once = rows.withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1)
     index = cut(once.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "vectors")
     asked = cut(rows.where(F.col("vec_id") % every == 0).distinct(), "queries")
     fitted = [bytes(r["v"]) for r in index.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect()]
-    forest = Forest(unit(matrix(fitted)) if fitted else np.zeros((0, 1)), trees)
+    forest = Forest(unit(matrix(fitted, kind)) if fitted else np.zeros((0, 1)), trees)
     one = np.ones(max(1, forest.leaves), np.int64)
-    indexed = lambda parts: index.mapInArrow(lambda it: _indexed(it, forest, parts), "leaf long, part long, ids array<long>, v binary")
+    indexed = lambda parts: index.mapInArrow(lambda it: _indexed(it, forest, parts, kind), "leaf long, part long, ids array<long>, v binary")
     parts = one.copy()
     for r in indexed(one).groupBy("leaf").count().collect():  # at most as many as leaves
         parts[r["leaf"]] = -(-r["count"] // part)
     wanted = forest.leaves if len(fitted) < 8 * LEAF else opened  # few vectors: open every leaf
     spread = max(8, embeddings.sparkSession.sparkContext.defaultParallelism)
-    left = asked.repartition(spread, "vec_id").mapInArrow(lambda it: _asked(it, forest, parts, wanted), "leaf long, part long, query_id long, q binary")
-    tiles = left.groupBy("leaf", "part").cogroup(indexed(parts).groupBy("leaf", "part"))
-    found = tiles.applyInPandas(lambda a, b: _leaf(a, b, k), "query_id long, vec_id long, score double")
+    left = asked.repartition(spread, "vec_id").mapInArrow(lambda it: _asked(it, forest, parts, wanted, kind), "leaf long, part long, query_id long, q binary")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    left = left.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    right = indexed(parts).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    key = ["leaf", "part", "block"]
+    found = left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(lambda a, b: _leaf(a, b, k, kind), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
