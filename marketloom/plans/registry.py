@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from marketloom.plans import q_features
+
+MODULES = (q_features,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
