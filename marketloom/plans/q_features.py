@@ -181,7 +181,7 @@ def _feature_query(names: list[str], group: str):
 
 QUERIES, ORACLES = {}, {}
 for _f in list(REGISTRY.known.values()):
-    if not _f.name.endswith("_"):
+    if not _f.name.endswith("_") and _f.name in EXPR and not _f.name.startswith("ind_"):
         QUERIES[_f.name], ORACLES[_f.name] = _feature_query([_f.name], _f.group)
 QUERIES["quote_volume"], ORACLES["quote_volume"] = QUERIES.pop("bar_quote_volume"), ORACLES.pop("bar_quote_volume")
 for _name, _names in (("research_matrix_v1", research.V1), ("research_matrix_v2", [*research.V1, *research.V2])):

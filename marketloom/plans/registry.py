@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.plans import q_features
+from marketloom.plans import q_features, q_indicators
 
-MODULES = (q_features,)
+MODULES = (q_features, q_indicators)
 
 
 def queries() -> dict:
