@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.plans import q_bars, q_features, q_indicators
+from marketloom.plans import q_bars, q_datasets, q_features, q_indicators
 
-MODULES = (q_features, q_indicators, q_bars)
+MODULES = (q_features, q_indicators, q_bars, q_datasets)
 
 
 def queries() -> dict:
