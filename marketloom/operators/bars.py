@@ -107,7 +107,7 @@ def fill_empty(bars: DataFrame, interval: int) -> DataFrame:
 
 def tick_bars(ticks: DataFrame, n: int) -> DataFrame:
     """A bar for every n ticks of an instrument, the last one perhaps shorter."""
-    rows = scan.numbered(ticks).withColumn("bar", F.floor(F.col("ord") / n)).withColumn("size", fallback(ticks, SIZE_NAMES))
+    rows = scan.numbered(ticks).withColumn("bar", F.floor(F.col("ord_") / n)).withColumn("size", fallback(ticks, SIZE_NAMES))
     return _numbered_bars(rows)
 
 

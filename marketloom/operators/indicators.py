@@ -187,7 +187,7 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
 def _changes(bars: DataFrame) -> DataFrame:
     """Gain and loss against the bar before (0 on an instrument's first), and the bar's number."""
     rows = scan.halo(bars, 1).withColumn("d_", F.coalesce(_c("close") - F.lag("close").over(Window.partitionBy(KEY, "block_").orderBy(*ORDER)), F.lit(0.0)))
-    rows = rows.where("home_").withColumn("n_", _c("ord") + 1).drop("home_", "block_", "ord")
+    rows = rows.where("home_").withColumn("n_", _c("ord_") + 1).drop("home_", "block_", "ord_")
     return rows.withColumn("gain_", F.greatest("d_", F.lit(0.0))).withColumn("loss_", F.greatest(-_c("d_"), F.lit(0.0))).drop("d_")
 
 
@@ -208,7 +208,7 @@ def vidya(bars: DataFrame, n: int = 14) -> DataFrame:
 def efficiency(bars: DataFrame) -> DataFrame:
     """Net move from the first close over the path since then; 0 on the first bar."""
     rows = _changes(bars)
-    rows = scan.prefix(rows, {"path_": _c("gain_") + _c("loss_")}).drop("ord")
+    rows = scan.prefix(rows, {"path_": _c("gain_") + _c("loss_")}).drop("ord_")
     first = bars.groupBy(KEY).agg(F.min_by("close", F.struct(*ORDER)).alias("first_"))
     rows = rows.join(first, KEY)
     return rows.withColumn("ind_efficiency_ratio", F.when(_c("path_") == 0, 0.0).otherwise(F.abs(_c("close") - _c("first_")) / _c("path_"))).drop("gain_", "loss_", "first_", "path_")
@@ -242,7 +242,7 @@ def pressure(bars: DataFrame, n: int = 14) -> DataFrame:
     width = F.when(_c("atr_") > 0, _c("atr_")).otherwise(F.abs(_c("high") - _c("low")))
     value = F.when((_c("av_") == 0) | (width == 0), 0.0).otherwise(((_c("close") - _c("low")) - (_c("high") - _c("close"))) / width * _c("volume") / _c("av_"))
     rows = rows.withColumn("ind_pressure", value)
-    return scan.prefix(rows, {"pressure_cumulative": _c("ind_pressure")}).drop("tr_", "atr_", "av_", "ord")
+    return scan.prefix(rows, {"pressure_cumulative": _c("ind_pressure")}).drop("tr_", "atr_", "av_", "ord_")
 
 
 def amat(bars: DataFrame, fast: int = 8, slow: int = 21, signal: int = 5) -> DataFrame:
@@ -250,11 +250,11 @@ def amat(bars: DataFrame, fast: int = 8, slow: int = 21, signal: int = 5) -> Dat
     rows = scan.halo(scan.ema(bars, {"f_": ("close", 2 / (fast + 1))}), signal)
     line = Window.partitionBy(KEY, "block_").orderBy(*ORDER)
     # the buffer begins with the bar on which the slow mean is ready
-    back = F.coalesce(F.when(_c("ord") - signal >= slow - 1, F.lag("f_", signal).over(line)))
-    start = rows.where(F.col("home_") & (F.col("ord") == slow - 1)).select(KEY, F.col("f_").alias("s_"))
+    back = F.coalesce(F.when(_c("ord_") - signal >= slow - 1, F.lag("f_", signal).over(line)))
+    start = rows.where(F.col("home_") & (F.col("ord_") == slow - 1)).select(KEY, F.col("f_").alias("s_"))
     rows = rows.withColumn("b_", back).where("home_").join(start, KEY, "left")
-    diff = F.when(_c("ord") >= slow - 1, _c("f_") - F.coalesce("b_", "s_"))
-    rows = rows.withColumn("d_", diff).drop("home_", "block_", "ord", "b_", "s_", "f_")
+    diff = F.when(_c("ord_") >= slow - 1, _c("f_") - F.coalesce("b_", "s_"))
+    rows = rows.withColumn("d_", diff).drop("home_", "block_", "ord_", "b_", "s_", "f_")
     rows = rows.withColumn("up_", F.coalesce((_c("d_") > 0).cast("int"), F.lit(0))).withColumn("dn_", F.coalesce((_c("d_") < 0).cast("int"), F.lit(0)))
     rows = scan.running_max(scan.running_max(rows, "up_", "long_"), "dn_", "short_")
     return rows.withColumn("amat_long", _c("long_") > 0).withColumn("amat_short", _c("short_") > 0).drop("d_", "up_", "dn_", "long_", "short_")

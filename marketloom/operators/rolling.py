@@ -126,7 +126,7 @@ def triggered(df: DataFrame, policy: str, n: int = 10, interval: int = 3600 * 10
     if policy == "on_event":
         return df
     if policy == "every_n":
-        return scan.numbered(df).where((F.col("ord") + 1) % n == 0).drop("ord")
+        return scan.numbered(df).where((F.col("ord_") + 1) % n == 0).drop("ord_")
     if policy == "on_interval":
         spans = df.withColumn("span_", F.floor(F.col("event_time_ns") / F.lit(interval)))
         line = Window.partitionBy(KEY, "span_").orderBy("event_time_ns", "seq")

@@ -9,6 +9,8 @@ machines that cannot be composed, keeps one instrument in one task.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,11 +25,14 @@ BLOCK = 65_536
 
 
 def numbered(df: DataFrame, keys=(KEY,), order=ORDER, width: int = DAY) -> DataFrame:
-    """df with `ord`: each row's place (from 0) in its key's history.
+    """df with `ord_`: each row's place (from 0) in its key's history; kept if it is there, so that
+    a chain of scans over the same rows numbers them once.
 
     Buckets of `width` in the first order column are counted, and counts are summed over the
     small table of buckets; rows are numbered inside their bucket only.
     """
+    if "ord_" in df.columns:  # numbered before
+        return df
     keys = list(keys)
     df = df.withColumn("bucket_", F.floor(F.col(order[0]) / F.lit(width)))
     counts = df.groupBy(*keys, "bucket_").agg(F.count("*").alias("n_"))
@@ -35,30 +40,44 @@ def numbered(df: DataFrame, keys=(KEY,), order=ORDER, width: int = DAY) -> DataF
     starts = counts.select(*keys, "bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
     inside = Window.partitionBy(*keys, "bucket_").orderBy(*order)
     placed = df.withColumn("row_", F.row_number().over(inside)).join(starts, [*keys, "bucket_"])
-    return placed.withColumn("ord", F.col("start_") + F.col("row_") - 1).drop("bucket_", "start_", "row_")
+    return placed.withColumn("ord_", F.col("start_") + F.col("row_") - 1).drop("bucket_", "start_", "row_")
 
 
-def halo(df: DataFrame, lookback: int, lookahead: int = 0, block: int = BLOCK, keys=(KEY,), order=ORDER) -> DataFrame:
-    """Rows in blocks with copies of the rows that windows reach: adds `ord`, `block_`, `home_`.
+def settled(df: DataFrame) -> DataFrame:
+    """df written once to the folder that executors share, and read back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/marketloom-scan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def halo(df: DataFrame, lookback: int, lookahead: int = 0, block: int = BLOCK, keys=(KEY,), order=ORDER, width: int = DAY) -> DataFrame:
+    """Rows in blocks with copies of the rows that windows reach: adds `ord_`, `block_`, `home_`.
 
     Windows of up to `lookback` rows before and `lookahead` rows after are exact on rows where
     `home_`; the copies are dropped afterwards (`home`).
     """
-    rows = numbered(df, keys, order)
-    first = F.greatest(F.lit(0), F.floor((F.col("ord") - lookahead) / block))
-    last = F.floor((F.col("ord") + lookback) / block)
+    rows = numbered(df, keys, order, width)
+    first = F.greatest(F.lit(0), F.floor((F.col("ord_") - lookahead) / block))
+    last = F.floor((F.col("ord_") + lookback) / block)
     rows = rows.withColumn("block_", F.explode(F.sequence(first, last)))
-    return rows.withColumn("home_", F.col("block_") == F.floor(F.col("ord") / block))
+    return rows.withColumn("home_", F.col("block_") == F.floor(F.col("ord_") / block))
 
 
 def home(df: DataFrame) -> DataFrame:
-    return df.where("home_").drop("home_", "block_", "ord")
+    return df.where("home_").drop("home_", "block_")
 
 
 def prefix(df: DataFrame, values: dict[str, Column], block: int = BLOCK, keys=(KEY,), order=ORDER) -> DataFrame:
     """df with running sums up to and with each row: block totals first, then rows in blocks."""
     keys = list(keys)
-    rows = numbered(df, keys, order).withColumn("block_", F.floor(F.col("ord") / block)).withColumns({f"{k}_v": v for k, v in values.items()})
+    rows = numbered(df, keys, order).withColumn("block_", F.floor(F.col("ord_") / block)).withColumns({f"{k}_v": v for k, v in values.items()})
     totals = rows.groupBy(*keys, "block_").agg(*(F.sum(f"{k}_v").alias(f"{k}_t") for k in values))
     before = Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "block_", *(F.coalesce(F.sum(f"{k}_t").over(before), F.lit(0)).alias(f"{k}_s") for k in values))
@@ -71,13 +90,13 @@ def prefix(df: DataFrame, values: dict[str, Column], block: int = BLOCK, keys=(K
 def running_max(df: DataFrame, value: str, out: str, block: int = BLOCK, keys=(KEY,), order=ORDER) -> DataFrame:
     """df with the largest value so far, by block maxima and rows in blocks."""
     keys = list(keys)
-    rows = numbered(df, keys, order).withColumn("block_", F.floor(F.col("ord") / block))
+    rows = numbered(df, keys, order).withColumn("block_", F.floor(F.col("ord_") / block))
     tops = rows.groupBy(*keys, "block_").agg(F.max(value).alias("top_"))
     before = Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
     starts = tops.select(*keys, "block_", F.max("top_").over(before).alias("start_"))
     line = Window.partitionBy(*keys, "block_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(starts, [*keys, "block_"])
-    return rows.withColumn(out, F.greatest("start_", F.max(value).over(line))).drop("block_", "start_", "ord")
+    return rows.withColumn(out, F.greatest("start_", F.max(value).over(line))).drop("block_", "start_")
 
 
 def affine_scan(df: DataFrame, recursions: dict[str, tuple[str, str]], block: int = BLOCK, keys=(KEY,), order=ORDER) -> DataFrame:
@@ -87,15 +106,17 @@ def affine_scan(df: DataFrame, recursions: dict[str, tuple[str, str]], block: in
     each, the few maps of a key are composed in order, and blocks run again from their start.
     """
     keys, names = list(keys), list(recursions)
-    rows = numbered(df, keys, order).withColumn("block_", F.floor(F.col("ord") / block))
+    rows = numbered(df, keys, order).withColumn("block_", F.floor(F.col("ord_") / block))
     for n, (a, b) in recursions.items():
         rows = rows.withColumn(f"{n}_a", F.when(F.col(b).isNull(), 1.0).otherwise(F.coalesce(F.col(a), F.lit(0.0))))
         rows = rows.withColumn(f"{n}_b", F.coalesce(F.col(b), F.lit(0.0)))
         # whether any value has been seen up to here, so that rows before the first stay null
         rows = rows.withColumn(f"{n}_c", F.col(b).isNotNull().cast("double"))
 
+    rows = settled(rows)  # it is read three times from here
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
+        pdf = pdf.sort_values("ord_")
         out = {k: [pdf[k].iloc[0]] for k in (*keys, "block_")}
         for n in names:
             a, b = 1.0, 0.0
@@ -118,13 +139,13 @@ def affine_scan(df: DataFrame, recursions: dict[str, tuple[str, str]], block: in
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     key_ddl = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "block_"))
-    maps = rows.select(*keys, "block_", "ord", *(f"{n}_{x}" for n in names for x in "abc")).groupBy(*keys, "block_")
+    maps = rows.select(*keys, "block_", "ord_", *(f"{n}_{x}" for n in names for x in "abc")).groupBy(*keys, "block_")
     maps = maps.applyInPandas(fold, key_ddl + "".join(f", {n}_{x} double" for n in names for x in "abc"))
     starts = maps.groupBy(*keys).applyInPandas(chain, key_ddl + "".join(f", {n}_{x} double" for n in names for x in "yk"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        out = {k: pdf[k].to_numpy() for k in (*keys, "ord")}
+        pdf = pdf.sort_values("ord_")
+        out = {k: pdf[k].to_numpy() for k in (*keys, "ord_")}
         for n in names:
             y, seen, values = pdf[f"{n}_y"].iloc[0], pdf[f"{n}_k"].iloc[0] > 0, []
             for a, b, c in zip(pdf[f"{n}_a"].to_numpy(), pdf[f"{n}_b"].to_numpy(), pdf[f"{n}_c"].to_numpy()):
@@ -133,11 +154,11 @@ def affine_scan(df: DataFrame, recursions: dict[str, tuple[str, str]], block: in
             out[n] = pd.Series(values, dtype="float64").astype(object).where(pd.notna(pd.Series(values, dtype="float64")), None)
         return pd.DataFrame(out)
 
-    small = rows.select(*keys, "block_", "ord", *(f"{n}_{x}" for n in names for x in "abc")).join(starts, [*keys, "block_"])
-    key_ord = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "ord"))
+    small = rows.select(*keys, "block_", "ord_", *(f"{n}_{x}" for n in names for x in "abc")).join(starts, [*keys, "block_"])
+    key_ord = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "ord_"))
     solved = small.groupBy(*keys, "block_").applyInPandas(run, key_ord + "".join(f", {n} double" for n in names))
     keep = rows.drop("block_", *(f"{n}_{x}" for n in names for x in "abc"))
-    return keep.join(solved, [*keys, "ord"]).drop("ord")
+    return keep.join(solved, [*keys, "ord_"])
 
 
 def ema(df: DataFrame, outs: dict[str, tuple[str, float]], **parameters) -> DataFrame:
@@ -207,4 +228,4 @@ def time_halo(df: DataFrame, span: int, bucket: int, time: str = "event_time_ns"
     and `home_`. Needs no numbering, as a window's reach is a time here."""
     first, last = F.floor(F.col(time) / F.lit(bucket)), F.floor((F.col(time) + F.lit(span - 1)) / F.lit(bucket))
     rows = df.withColumn("block_", F.explode(F.sequence(first, last))).withColumn("home_", F.col("block_") == first)
-    return rows.withColumn("ord", F.lit(0))
+    return rows

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.plans import q_bars, q_datasets, q_features, q_indicators
+from marketloom.plans import q_bars, q_datasets, q_features, q_indicators, q_signals, q_stats
 
-MODULES = (q_features, q_indicators, q_bars, q_datasets)
+MODULES = (q_features, q_indicators, q_bars, q_datasets, q_stats, q_signals)
 
 
 def queries() -> dict:

@@ -78,14 +78,14 @@ def daily_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100000 and the running sum of daily profit per run."""
+    """A hundred million and the running sum of daily profit per run."""
     from pyspark.sql import Window
 
     d = daily_pnl(spark, sf_dir)  # one row per run and day
     w = Window.partitionBy("run_uid").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return d.select(
         "run_uid", (F.col("day") * 86_400 * 10**9).alias("event_time_ns"),
-        (F.lit(100000.0) + F.sum("pnl").over(w)).alias("equity"), "close", F.signum("pnl").alias("position"),
+        (F.lit(1e8) + F.sum("pnl").over(w)).alias("equity"), "close", F.signum("pnl").alias("position"),
     )
 
 
@@ -123,7 +123,7 @@ BLOTTER = """v_blotter AS (SELECT *, quantity * (exit_price - entry_price) AS re
   l_tax, l_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey)))"""
 DAILY = """v_daily AS (SELECT run_uid, exit_time_ns // 86400000000000 AS day, sum(realized_pnl) AS pnl, avg(exit_price) AS close FROM v_blotter GROUP BY 1, 2)"""
 EQUITY = """v_equity AS (SELECT run_uid, day * 86400000000000 AS event_time_ns,
-  100000.0::DOUBLE + sum(pnl) OVER (PARTITION BY run_uid ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity, close, sign(pnl)::DOUBLE AS position FROM v_daily)"""
+  1e8::DOUBLE + sum(pnl) OVER (PARTITION BY run_uid ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity, close, sign(pnl)::DOUBLE AS position FROM v_daily)"""
 DEPTH = """v_depth AS (SELECT seq AS snapshot_id, instrument_id, s.side AS side, level, s.price AS price, ((seq * level) % 17 + 1)::DOUBLE AS size FROM (
   SELECT *, unnest([{'side': 'BID', 'price': bid_price - 0.01::DOUBLE * (level - 1)}, {'side': 'ASK', 'price': ask_price + 0.01::DOUBLE * (level - 1)}]) AS s
   FROM v_quotes, (SELECT unnest(range(1, 11)) AS level)))"""
