@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.ints import idiv
 from marketloom.operators import scan
 from marketloom.schemas import DAY, HOUR, KEY, ORDER
 
@@ -28,7 +29,7 @@ def bucket(interval: int, column: str = "event_time_ns") -> Column:
 
 def trading_date(column: str = "event_time_ns") -> Column:
     """UTC calendar date of a time."""
-    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(column) / F.lit(DAY)).cast("int"))
+    return F.date_add(F.lit("1970-01-01").cast("date"), idiv(F.col(column), DAY).cast("int"))
 
 
 def ohlcv(price: str = "price", size: str = "size") -> list[Column]:
@@ -81,7 +82,7 @@ def calendar_bars(ticks: DataFrame, unit: str, step: int = 1, left_open: bool =
         end = start + F.lit(width)
     else:
         months = step * (12 if unit == "year" else 1)
-        day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(at / F.lit(DAY)).cast("int"))
+        day = F.date_add(F.lit("1970-01-01").cast("date"), idiv(at, DAY).cast("int"))
         index = (F.year(day) - 1970) * 12 + F.month(day) - 1
         first = index - F.pmod(index, F.lit(months))
         ns = lambda m: F.datediff(F.add_months(F.lit("1970-01-01").cast("date"), m), F.lit("1970-01-01").cast("date")).cast("long") * F.lit(DAY)
@@ -96,7 +97,7 @@ def fill_empty(bars: DataFrame, interval: int) -> DataFrame:
     """Bars with one for every span between an instrument's first and last: empty spans repeat
     the last close with no volume. The calendar is made per instrument and day."""
     ends = bars.groupBy(KEY).agg(F.min("event_time_ns").alias("a"), F.max("event_time_ns").alias("b"))
-    days = ends.select(KEY, "a", "b", F.explode(F.sequence(F.floor(F.col("a") / F.lit(DAY)), F.floor(F.col("b") / F.lit(DAY)))).alias("d"))
+    days = ends.select(KEY, "a", "b", F.explode(F.sequence(idiv(F.col("a"), DAY), idiv(F.col("b"), DAY))).alias("d"))
     spans = days.select(KEY, "a", "b", F.explode(F.sequence(F.col("d") * F.lit(DAY), F.col("d") * F.lit(DAY) + F.lit(DAY - interval), F.lit(interval))).alias("event_time_ns"))
     spans = spans.where("event_time_ns between a and b").select(KEY, "event_time_ns", F.lit(0).cast("long").alias("seq"))
     last = scan.as_of(spans, bars, ["close"], prefix="last_")

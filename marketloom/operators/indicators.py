@@ -10,6 +10,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.ints import idiv
 from marketloom.functions.features import REGISTRY, Line
 from marketloom.operators import scan
 from marketloom.schemas import DAY, KEY, ORDER
@@ -162,7 +163,7 @@ def vwap_day(bars: DataFrame) -> DataFrame:
     is volume."""
     tp = (_c("high") + _c("low") + _c("close")) / 3
     line = Window.partitionBy(KEY, "day_").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rows = bars.withColumn("day_", F.floor(_c("event_time_ns") / F.lit(DAY))).withColumn("tp_", tp)
+    rows = bars.withColumn("day_", idiv(_c("event_time_ns"), DAY)).withColumn("tp_", tp)
     total = F.sum(_c("tp_") * _c("volume")).over(line) / F.nullif(F.sum("volume").over(line), F.lit(0.0))
     return rows.withColumn("ind_vwap_day", F.coalesce(total, F.first("tp_").over(line))).drop("day_", "tp_")
 

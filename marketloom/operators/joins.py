@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.ints import idiv
 from marketloom.operators import scan
 from marketloom.schemas import DAY, KEY
 
@@ -52,7 +53,7 @@ def cumulative_commission(bars: DataFrame, fills: DataFrame, key: str = "run_uid
     """
     a = bars.select(*bars.columns, F.lit(0.0).alias("x_"), F.lit(1).alias("side_"))
     b = fills.select(key, TIME, F.col("commission").alias("x_"), F.lit(0).alias("side_"))
-    rows = a.unionByName(b, allowMissingColumns=True).withColumn("day_", F.floor(F.col(TIME) / F.lit(DAY)))
+    rows = a.unionByName(b, allowMissingColumns=True).withColumn("day_", idiv(F.col(TIME), DAY))
     totals = rows.groupBy(key, "day_").agg(F.sum("x_").alias("t_"))
     before = Window.partitionBy(key).orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(key, "day_", F.coalesce(F.sum("t_").over(before), F.lit(0.0)).alias("s_"))
@@ -68,8 +69,8 @@ def benchmark_closes(runs: DataFrame, bars: DataFrame) -> DataFrame:
     runs: run_uid, instrument_id, start_ns, end_ns. Runs are cut into days, so that the join has
     equal keys; each bar belongs to one day of each run at most.
     """
-    days = runs.withColumn("day_", F.explode(F.sequence(F.floor(F.col("start_ns") / F.lit(DAY)), F.floor(F.col("end_ns") / F.lit(DAY)))))
-    b = bars.withColumn("day_", F.floor(F.col(TIME) / F.lit(DAY))).select(KEY, "day_", TIME, "close")
+    days = runs.withColumn("day_", F.explode(F.sequence(idiv(F.col("start_ns"), DAY), idiv(F.col("end_ns"), DAY))))
+    b = bars.withColumn("day_", idiv(F.col(TIME), DAY)).select(KEY, "day_", TIME, "close")
     j = days.join(b, [KEY, "day_"]).where(f"{TIME} between start_ns and end_ns")
     return j.groupBy("run_uid").agg(F.min_by("close", TIME).alias("first_close"), F.max_by("close", TIME).alias("last_close"))
 

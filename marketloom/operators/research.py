@@ -8,6 +8,7 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marketloom.functions.ints import idiv
 from marketloom.functions.features import REGISTRY, Line
 from marketloom.schemas import EPS, MINUTE
 
@@ -59,7 +60,7 @@ _add(V1, "f_bollinger_z_60", lambda w: zscore(w, "close", 60), lookback=59)
 _add(V1, "f_volume_z_60", lambda w: zscore(w, "volume", 60), lookback=59, inputs=("volume",))
 _add(V1, "f_high_low_range_pct", lambda w: (_c("high") - _c("low")) / _zero_null(_c("close")), inputs=("high", "low", "close"))
 _add(V1, "f_candle_body_pct", lambda w: (_c("close") - _c("open")) / _zero_null(_c("close")), inputs=("open", "close"))
-_angle = lambda: F.pmod(F.floor(_c("event_time_ns") / F.lit(MINUTE)), F.lit(1440)) * (2 * pi) / 1440
+_angle = lambda: F.pmod(idiv(_c("event_time_ns"), MINUTE), F.lit(1440)) * (2 * pi) / 1440
 _add(V1, "f_time_of_day_sin", lambda w: F.sin(_angle()), inputs=())
 _add(V1, "f_time_of_day_cos", lambda w: F.cos(_angle()), inputs=())
 

@@ -8,6 +8,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.ints import idiv
 from marketloom.functions.features import REGISTRY, Line
 from marketloom.operators import scan
 from marketloom.schemas import EPS, KEY
@@ -128,7 +129,7 @@ def triggered(df: DataFrame, policy: str, n: int = 10, interval: int = 3600 * 10
     if policy == "every_n":
         return scan.numbered(df).where((F.col("ord_") + 1) % n == 0).drop("ord_")
     if policy == "on_interval":
-        spans = df.withColumn("span_", F.floor(F.col("event_time_ns") / F.lit(interval)))
+        spans = df.withColumn("span_", idiv(F.col("event_time_ns"), interval))
         line = Window.partitionBy(KEY, "span_").orderBy("event_time_ns", "seq")
         return spans.withColumn("at_", F.row_number().over(line)).where("at_ = 1").drop("at_", "span_")
     raise ValueError(f"unknown policy {policy!r}")

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.ints import idiv
 from marketloom.schemas import DAY, KEY, ORDER
 
 #: Rows of one block.
@@ -34,7 +35,7 @@ def numbered(df: DataFrame, keys=(KEY,), order=ORDER, width: int = DAY) -> DataF
     if "ord_" in df.columns:  # numbered before
         return df
     keys = list(keys)
-    df = df.withColumn("bucket_", F.floor(F.col(order[0]) / F.lit(width)))
+    df = df.withColumn("bucket_", idiv(F.col(order[0]), width))
     counts = df.groupBy(*keys, "bucket_").agg(F.count("*").alias("n_"))
     before = Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
@@ -210,7 +211,7 @@ def as_of(left: DataFrame, right: DataFrame, columns: list[str], prefix: str = "
     value = F.struct(F.col(time).alias("t_"), F.col(tie).alias("s_"), *columns)
     a = left.withColumn("side_", F.lit(1)).withColumn("value_", F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType)).withColumn("tie_", F.lit(0).cast("long"))
     b = right.select(F.col(key), F.col(time), F.lit(0).alias("side_"), value.alias("value_"), (F.col(tie) * sign).cast("long").alias("tie_"))
-    rows = a.unionByName(b, allowMissingColumns=True).withColumn("bucket_", F.floor(F.col(time) / F.lit(width)) * sign)
+    rows = a.unionByName(b, allowMissingColumns=True).withColumn("bucket_", idiv(F.col(time), width) * sign)
     pick = F.max if not forward else F.min
     ends = rows.where("side_ = 0").groupBy(key, "bucket_").agg(pick("value_").alias("end_"))
     seen = rows.select(key, "bucket_").distinct().join(ends, [key, "bucket_"], "left")
@@ -226,6 +227,6 @@ def as_of(left: DataFrame, right: DataFrame, columns: list[str], prefix: str = "
 def time_halo(df: DataFrame, span: int, bucket: int, time: str = "event_time_ns") -> DataFrame:
     """Rows in time buckets with copies for trailing windows of `span` time units: adds `block_`
     and `home_`. Needs no numbering, as a window's reach is a time here."""
-    first, last = F.floor(F.col(time) / F.lit(bucket)), F.floor((F.col(time) + F.lit(span - 1)) / F.lit(bucket))
+    first, last = idiv(F.col(time), bucket), idiv((F.col(time) + F.lit(span - 1)), bucket)
     rows = df.withColumn("block_", F.explode(F.sequence(first, last))).withColumn("home_", F.col("block_") == first)
     return rows

@@ -11,6 +11,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.ints import idiv
 from marketloom.operators import scan
 from marketloom.operators.bars import trading_date
 from marketloom.schemas import DAY
@@ -25,7 +26,7 @@ def _nz(x) -> Column:
 
 def daily_bins(returns: DataFrame) -> DataFrame:
     """run_uid, day, ret: returns summed per UTC day."""
-    return returns.groupBy(RUN, F.floor(F.col("event_time_ns") / F.lit(DAY)).alias("day")).agg(F.sum("ret").alias("ret"))
+    return returns.groupBy(RUN, idiv(F.col("event_time_ns"), DAY).alias("day")).agg(F.sum("ret").alias("ret"))
 
 
 def growth(ret: str = "ret") -> Column:
@@ -100,7 +101,7 @@ def long_ratio(positions: DataFrame, precision: int = 2) -> DataFrame:
 
 def portfolio_returns(balances: DataFrame) -> DataFrame:
     """Daily returns of the last balance of each day, days without one carried forward."""
-    day = F.floor(F.col("event_time_ns") / F.lit(DAY))
+    day = idiv(F.col("event_time_ns"), DAY)
     last = balances.groupBy(RUN, day.alias("day")).agg(F.max_by("equity", "event_time_ns").alias("balance"))
     ends = last.groupBy(RUN).agg(F.min("day").alias("a"), F.max("day").alias("b"))
     days = ends.select(RUN, F.explode(F.sequence("a", "b")).alias("day"))
@@ -138,7 +139,7 @@ def fee_scenarios(runs: DataFrame, half: float = 0.5, vip: float = 0.2) -> DataF
 
 def daily_stats(equity: DataFrame) -> DataFrame:
     """Best, worst, mean and population deviation of daily equity returns."""
-    day = F.floor(F.col("event_time_ns") / F.lit(DAY))
+    day = idiv(F.col("event_time_ns"), DAY)
     last = equity.groupBy(RUN, day.alias("day")).agg(F.max_by("equity", "event_time_ns").alias("equity"))
     ret = last.withColumn("ret", F.col("equity") / _nz(F.lag("equity").over(Window.partitionBy(RUN).orderBy("day"))) - 1)
     return ret.groupBy(RUN).agg(F.max("ret").alias("best_day"), F.min("ret").alias("worst_day"), F.avg("ret").alias("avg_day"), F.stddev_pop("ret").alias("std_day"))
@@ -224,7 +225,7 @@ def benchmark(equity: DataFrame) -> DataFrame:
 
 def trade_frequency(trades: DataFrame) -> DataFrame:
     """Trades per day, month and year over the inclusive days of the run, gaps and holding."""
-    days = F.floor(F.max("exit_time_ns") / F.lit(DAY)) - F.floor(F.min("entry_time_ns") / F.lit(DAY)) + 1
+    days = idiv(F.max("exit_time_ns"), DAY) - idiv(F.min("entry_time_ns"), DAY) + 1
     held = F.avg(F.when(F.col("exit_time_ns") >= F.col("entry_time_ns"), (F.col("exit_time_ns") - F.col("entry_time_ns")) / 6e10))
     out = trades.groupBy(RUN).agg(F.count("*").alias("trade_count"), days.alias("trading_days"), held.alias("avg_holding_minutes"))
     n, d = F.col("trade_count"), F.col("trading_days")

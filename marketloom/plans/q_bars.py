@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketloom.functions.ints import idiv
 from marketloom.operators import bars as B
 from marketloom.plans import views as V
 from marketloom.plans.q_features import LINE, NUDGE
@@ -94,7 +95,7 @@ _RH = 24 * HOUR * 7
 
 def _rolls(s, d):
     """A roll each week, from the week's first trade."""
-    w = V.trades(s, d).groupBy("instrument_id", F.floor(F.col("event_time_ns") / F.lit(_RH)).alias("w")).agg(F.min("event_time_ns").alias("roll_time_ns"))
+    w = V.trades(s, d).groupBy("instrument_id", idiv(F.col("event_time_ns"), _RH).alias("w")).agg(F.min("event_time_ns").alias("roll_time_ns"))
     return w.select("instrument_id", "roll_time_ns", (F.lit(1.0) + (F.col("w") % 5) / 100).alias("factor"))
 
 

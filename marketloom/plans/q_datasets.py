@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketloom.functions.ints import idiv
 from marketloom.functions.features import REGISTRY
 from marketloom.operators import joins as J
 from marketloom.operators import labels as L
@@ -67,7 +68,7 @@ _RUNS = "runs AS (SELECT instrument_id || '-' || (event_time_ns // 6048000000000
 
 def runs(s, d):
     """A run for each instrument and week of trades."""
-    week = F.floor(F.col("event_time_ns") / F.lit(7 * 24 * HOUR))
+    week = idiv(F.col("event_time_ns"), 7 * 24 * HOUR)
     g = V.trades(s, d).groupBy("instrument_id", week.alias("w")).agg(F.min("event_time_ns").alias("start_ns"), F.max("event_time_ns").alias("end_ns"))
     return g.select(F.concat("instrument_id", F.lit("-"), F.col("w").cast("string")).alias("run_uid"), "instrument_id", "start_ns", "end_ns")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.functions.ints import idiv
 from marketloom.operators import bars as B
 from marketloom.schemas import HOUR
 
@@ -72,7 +73,7 @@ def blotter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blotter(spark, sf_dir)
-    return b.groupBy("run_uid", F.floor(F.col("exit_time_ns") / F.lit(86_400 * 10**9)).alias("day")).agg(
+    return b.groupBy("run_uid", idiv(F.col("exit_time_ns"), 86_400 * 10**9).alias("day")).agg(
         F.sum("realized_pnl").alias("pnl"), F.avg("exit_price").alias("close")
     )
 
