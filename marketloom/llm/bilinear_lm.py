@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.work import cut, offsets, slim, texts
+from marketloom.llm.work import cut, offsets, sample, slim, texts
 
 #: Words counted before a task hands its partial counts on.
 HELD = 400_000
@@ -291,7 +291,8 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary, np.ndarray,
     encoded = cut(docs.mapInArrow(lambda it: _encode(it, shared), _ENCODED), "encoded")
     lines = encoded.where("not held_out")
     model = Model(vocabulary.unigram)
-    some = lines.orderBy(F.xxhash64("row")).limit(WARM_TEXTS).select("ids").toArrow().to_batches()
+    chosen = F.broadcast(sample(lines.select("row"), ["row"], WARM_TEXTS))
+    some = lines.join(chosen, "row").orderBy("row").select("ids").toArrow().to_batches()
     rng = np.random.default_rng(0)
     for _ in range(2):  # a common start for all tasks
         for b in some:
