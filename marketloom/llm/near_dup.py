@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm import work
 from marketloom.llm.work import batch, cut, slim, texts
 
 WORDS, SEED, MAX_BITS, BLOCKS = 4, 42, 4, 5
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLO
     prints = cut(slim(docs, "doc_id", "text").mapInArrow(_prints, "doc_id long, fp long"), "prints")
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     known = nodes.where("node is not null")
-    fitted = [r.fp for r in known.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
+    fitted = [r.fp for r in work.sample(known.select("fp"), ["fp"], sample).collect()]
     trees, radius = forest(np.array(fitted, np.int64).view(np.uint64), blocks), max_bits // blocks
     found = known.mapInArrow(lambda it: _route(it, trees, radius, {}), _ROUTED_DDL).groupBy("block", "leaf").count().collect()
     parts = {k: np.ones(max(1, t.leaves), np.int64) for k, t in enumerate(trees)}
