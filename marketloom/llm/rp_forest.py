@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketloom.llm import work
 from marketloom.llm.work import cut, offsets, slim
 
 K, EVERY = 5, 50
@@ -180,7 +181,7 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int =
     once = rows.withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1)
     index = cut(once.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "vectors")
     asked = cut(rows.where(F.col("vec_id") % every == 0).distinct(), "queries")
-    fitted = [bytes(r["v"]) for r in index.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect()]
+    fitted = [bytes(r["v"]) for r in work.sample(index.select("v"), ["v"], sample).collect()]
     forest = Forest(unit(matrix(fitted, kind)) if fitted else np.zeros((0, 1)), trees)
     one = np.ones(max(1, forest.leaves), np.int64)
     indexed = lambda parts: index.mapInArrow(lambda it: _indexed(it, forest, parts, kind), "leaf long, part long, ids array<long>, v binary")
