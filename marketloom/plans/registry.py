@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.plans import q_bars, q_datasets, q_features, q_indicators, q_signals, q_sources, q_stats
+from marketloom.plans import q_bars, q_datasets, q_features, q_indicators, q_signals, q_sources, q_stats, q_streaming
 
-MODULES = (q_features, q_indicators, q_bars, q_datasets, q_stats, q_signals, q_sources)
+MODULES = (q_features, q_indicators, q_bars, q_datasets, q_stats, q_signals, q_sources, q_streaming)
 
 
 def queries() -> dict:
