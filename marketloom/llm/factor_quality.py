@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm import work
 from marketloom.llm.work import batch, ragged, slim, texts
 
 #: Word buckets, rank of the interactions, and the most labelled rows to fit on.
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     hash of doc_id. Labels that are null or neither 0 nor 1 count for nothing; of several labels
     of one doc_id the smallest holds."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(remainder(F.col("doc_id"), 4) != 2)
-    chosen = known.groupBy("doc_id").agg(F.min("quality").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = work.sample(known.groupBy("doc_id").agg(F.min("quality").cast("double").alias("y")), ["doc_id"], sample)
     rows = slim(docs, "doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "y")
     made = rows.mapInArrow(_sparse, "at array<int>, value array<float>, y double").toArrow()
     at, bounds = ragged(made.column("at").combine_chunks())
