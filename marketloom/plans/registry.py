@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.plans import q_bars, q_datasets, q_features, q_indicators, q_ml, q_signals, q_sources, q_stats, q_streaming
+from marketloom.plans import q_bars, q_datasets, q_features, q_indicators, q_ml, q_reports, q_signals, q_sources, q_stats, q_streaming
 
-MODULES = (q_features, q_indicators, q_bars, q_datasets, q_stats, q_signals, q_sources, q_streaming, q_ml)
+MODULES = (q_features, q_indicators, q_bars, q_datasets, q_stats, q_signals, q_sources, q_streaming, q_ml, q_reports)
 
 
 def queries() -> dict:
