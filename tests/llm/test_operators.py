@@ -259,14 +259,12 @@ def test_near_duplicates(spark, how, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, np.uint64)
     fps = [int(f) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for f in np.repeat(base, 6)] + [0, 0, 15, 31]
-    monkeypatch.setattr(near_dup, "_prints", lambda it: it)
     rows = spark.createDataFrame([(i, "x", int(np.uint64(f).view(np.int64))) for i, f in enumerate(fps)], "doc_id long, text string, fp long")
     made = rows.select("doc_id", F.col("fp").cast("string").alias("text"))
-    real = near_dup._PRINTS
 
-    def given(batches):
+    def given(batches, *_):
         for b in batches:
-            yield near_dup.batch({"doc_id": b.column("doc_id"), "fp": [int(t) for t in b.column("text").to_pylist()]}, real)
+            yield near_dup.batch({"doc_id": b.column("doc_id"), "fp": [int(t) for t in b.column("text").to_pylist()]}, near_dup._prints_schema(1))
 
     monkeypatch.setattr(near_dup, "_prints", given)
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(made, **how).collect()}
@@ -281,6 +279,22 @@ def test_near_duplicates(spark, how, monkeypatch):
     assert got == dict(enumerate(label.tolist()))
 
 
+def test_one_of_each_drops_similar_texts(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(3000)]
+    base = [[words[i] for i in rng.integers(0, 3000, 300)] for _ in range(30)]
+    rows = [" ".join(b) for b in base]
+    for b in base[:15]:  # similar: four words changed, so about 0.87 of the shingles stay
+        c = list(b)
+        for i in rng.choice(300, 4, replace=False):
+            c[i] = "changed"
+        rows.append(" ".join(c))
+    for b in base[15:]:  # not similar: half of it new
+        rows.append(" ".join(b[:150] + [words[i] for i in rng.integers(0, 3000, 150)]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dup.one_of_each(docs).collect()) == [*range(30), *range(45, 60)]
+
+
 def test_near_duplicate_odd_rows(docs, empty):
     got = near_dup.near_duplicates(docs).collect()
     assert len(got) == docs.count()
