@@ -295,6 +295,33 @@ def test_one_of_each_drops_similar_texts(spark):
     assert sorted(r.doc_id for r in near_dup.one_of_each(docs).collect()) == [*range(30), *range(45, 60)]
 
 
+def test_one_of_each_links_by_exact_similarity(spark):
+    """The components of all pairs of Jaccard similarity 0.8 or more, just below and above it too."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for n in (8, 9, 20, 60, 300, 300, 300):
+        for _ in range(12):
+            b = [words[i] for i in rng.integers(0, 3000, n)]
+            rows.append(b)
+            for share in (0.01, 0.02, 0.025, 0.04):
+                rows.append([w if rng.random() > share else words[rng.integers(0, 3000)] for w in b])
+            rows.append(b + [words[rng.integers(0, 3000)]])
+    line = ["the", "same", "line", "again", "and"] * 60  # differing texts under an often repeated line
+    rows += [line + [words[i] for i in rng.integers(0, 3000, 60)] for _ in range(20)]
+    order = rng.permutation(len(rows))
+    rows = [rows[k] for k in order]
+    sets = [{tuple(r[k : k + 5]) for k in range(max(1, len(r) - 4))} for r in rows]
+    label = list(range(len(rows)))
+    near = [[j for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    while (new := [min(label[j] for j in near[i]) for i in range(len(rows))]) != label:
+        label = new
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    found = near_dup.grouped(docs, **near_dup.SIMILAR).select("doc_id", "component_id").collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(label))
+    assert sorted(r.doc_id for r in near_dup.one_of_each(docs).collect()) == sorted(set(label))
+
+
 def test_near_duplicate_odd_rows(docs, empty):
     got = near_dup.near_duplicates(docs).collect()
     assert len(got) == docs.count()
