@@ -30,9 +30,13 @@ _assign = re.compile(
 )
 _access = re.compile("AKIA[A-Z0-9]{14,}")
 _hex = re.compile("[0-9a-f]{16,}")
+_name, _lead = "[A-Za-z0-9_-]", "(?:(?:[Bb]earer|[Bb]asic)\\x20)?"
+#: A name that holds a credential word, and its value: up to the closing quote on its line, if there
+#: is one. Names are tried from their first character only, so that long ones take linear time.
 _context = re.compile(
-    "(?:" + "|".join(_letters(w) for w in ("pass", "pwd", "secret", "token", "key", "auth", "credential", "pin")) + ")"
-    "[A-Za-z0-9_-]{0,16}[\"']?[\\x20\\t]{0,3}(?:=>|:=|[:=])[\\x20\\t]{0,3}(?:(?:[Bb]earer|[Bb]asic)\\x20)?[\"']?([^\\s\"'<>,;|]+)"
+    f"(?<!{_name})(?={_name}*?(?:" + "|".join(_letters(w) for w in ("pass", "pwd", "secret", "token", "key", "auth", "credential", "pin")) + "))"
+    f"{_name}++[\"']?[\\x20\\t]*+(?:=>|:=|[:=])[\\x20\\t]*+{_lead}"
+    f"(?:\"{_lead}((?:[^\"\\\\\r\n]|\\\\[^\r\n])++)\"|'{_lead}((?:[^'\\\\\r\n]|\\\\[^\r\n])++)'|[\"']?([^\\s\"'<>,;|]+))"
 )
 _assign_words = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _context_words = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b"pin")
@@ -95,7 +99,7 @@ def guess_cost(value: str) -> float:
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
-    """kind, start and end (code points) of every secret; the added kind never overlaps others."""
+    """kind, start and end (code points) of every secret; the added kind is never wholly inside another."""
     low = text.encode().lower()
     found = []
     if any(w in low for w in _assign_words):
@@ -106,8 +110,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     if any(w in low for w in _context_words):
         taken = [(a, b) for _, a, b in found]
         for m in _context.finditer(text):
-            a, b = m.span(1)
-            if b - a >= SHORTEST and not any(x < b and a < y for x, y in taken) and guess_cost(m[1]) >= THRESHOLD:
+            a, b = m.span(m.lastindex)
+            if b - a >= SHORTEST and not any(x <= a and b <= y for x, y in taken) and guess_cost(text[a:b]) >= THRESHOLD:
                 found.append(("guess", a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

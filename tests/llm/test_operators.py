@@ -227,6 +227,18 @@ def test_secrets(docs, empty):
     assert "hunter2" not in cleaned[9].text and cleaned[9].n_chars == len(cleaned[9].text) and cleaned[3].text is None
 
 
+def test_secret_values_are_read_whole():
+    for text, secret in [
+        ('password = "abcdefghijkl$Xy9!kQ" end', "abcdefghijkl$Xy9!kQ"), ("pwd: Zq#deadbeef00deadbeef!Kx7 end", "Zq#deadbeef00deadbeef!Kx7"), ('"api-key": "aB3,kQ9;zP1|xV5" end', "aB3,kQ9;zP1|xV5"),
+        ("secret_for_the_production_cluster=Zx9#kQ2!vB7$ end", "Zx9#kQ2!vB7$"), ("pwd" + " " * 9 + "=" + "\t" * 9 + "Zx9#kQ2!vB7$ end", "Zx9#kQ2!vB7$"), ("pin: 'Zx9#k\"Q2!vB7$' end", "Zx9#k\"Q2!vB7$"), ('pin: "Zx9#kQ2!vB7$ end', "Zx9#kQ2!vB7$"),
+    ]:
+        assert secret in [text[a:b] for k, a, b in secret_scan.spans(text) if k == "guess"]
+        clean = secret_scan.redact(text)
+        assert clean.endswith("end") and not any(secret[k : k + 4] in clean for k in range(len(secret) - 3)) and not secret_scan.spans(clean)
+    assert [k for k, _, _ in secret_scan.spans("token=Zx9kQ2vB7Lm4T")] == ["assign"]
+    assert not secret_scan.spans("pass" * 50_000 + " " * 50_000)  # linear time
+
+
 def test_guess_cost_is_the_cheapest_cut():
     one = secret_scan.guess_cost
     assert one("password") < 2 and one("qwertyuiop") < 4 and one("aaaaaaaaaaaa") < 4 and one("2019-10-12") < 6
