@@ -71,7 +71,7 @@ class ChunkEncoder:
         return self._segment(text)
 
     def _segment(self, text: bytes) -> bytes:
-        out, start, pending = [], 0, b""
+        out, start, pending = [], 0, []
         for end in cuts(text):
             chunk = text[start:end]
             start = end
@@ -81,12 +81,12 @@ class ChunkEncoder:
             except KeyError:
                 known = self._chunk(chunk)
             if known is None:  # no place to agree on: the join goes on
-                pending += chunk
+                pending.append(chunk)
                 continue
             head, inner, tail = known
-            out += (self._join(pending + head), inner)
-            pending = tail
-        out.append(self._join(pending))
+            out += (self._join(b"".join((*pending, head))), inner)
+            pending = [tail]
+        out.append(self._join(b"".join(pending)))
         return b"".join(out)
 
     def _chunk(self, chunk: bytes) -> tuple | None:

@@ -7,6 +7,7 @@ text as that token.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,9 @@ import tiktoken
 
 VOCABULARY = "byte_bpe_50k"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: Long runs of white space (Unicode's, as the splitting pattern sees it), which the pattern would
+#: match by one step of backtracking for each character.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 _made: dict[str, Encoder] = {}
 
 
@@ -44,7 +48,16 @@ class Encoder:
 
     def raw(self, text: str) -> np.ndarray:
         """Ids of a text in which the special token's string is ordinary text."""
-        return np.array(self.plain.encode_ordinary(text), "<u4")
+        found = []
+        start = 0
+        for m in _RUN.finditer(text):
+            # a run is one piece, but for its last character if anything follows
+            end = m.end() - (m.end() < len(text))
+            found += self.plain.encode_ordinary(text[start : m.start()])
+            found += self.plain._encode_single_piece(text[m.start() : end])
+            start = end
+        found += self.plain.encode_ordinary(text[start:] if start else text)
+        return np.array(found, "<u4")
 
     def decode(self, ids: bytes) -> str:
         of = self.bytes_of
