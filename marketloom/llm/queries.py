@@ -33,7 +33,7 @@ def op5_rp_forest(spark, sf_dir):
 
 
 def op6_best_fit_packing(spark, sf_dir):
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op7_chunked_bpe(spark, sf_dir):
