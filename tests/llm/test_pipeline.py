@@ -15,7 +15,7 @@ def test_stages(spark):
     want = {r.doc_id for r in factor_quality.scores(docs, labels).where("predicted = 1").collect()}
     assert {r.doc_id for r in good.collect()} == want and len(want) < docs.count()
     one = stages["near_duplicates"](spark, good, DATA)
-    found = near_dup.grouped(good, **near_dup.SIMILAR).toPandas()
+    found = near_dup.similar(good).toPandas()
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == set(found.component_id)
     clean = stages["secrets"](spark, one, DATA)
     assert clean.columns == docs.columns and clean.count() == one.count()
