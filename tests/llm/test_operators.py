@@ -257,11 +257,52 @@ def test_secret_values_are_read_whole():
 
 def test_guess_cost_is_the_cheapest_cut():
     one = secret_scan.guess_cost
-    assert one("password") < 2 and one("qwertyuiop") < 4 and one("aaaaaaaaaaaa") < 4 and one("2019-10-12") < 6
+    assert one("password") < 2 and one("abcabcabcabc") < 6 and one("qwertyuiop") < 4 and one("aaaaaaaaaaaa") < 4 and one("2019-10-12") < 6
     assert one("Zx9#kQ2!vB") > 10 and one("") == 0
     assert one("passwordZx9#") <= one("password") + one("Zx9#") + 1e-9
 
 
+def all_cuts(value, dictionary=secret_scan.PASSWORDS):
+    """The same parts by plain search: every start, every end, every repeat and walk."""
+    n, low = len(value), value.lower()
+    best = [0.0] + [math.inf] * n
+    for i in range(n):
+        best[i + 1] = min(best[i + 1], best[i] + secret_scan.single(value[i]))
+        for j in range(i + 2, n + 1):
+            part, costs = value[i:j], []
+            if low[i:j] in dictionary.cost:
+                costs.append(dictionary.cost[low[i:j]] + secret_scan.case_cost(part))
+            if j - i > 2 and all(low[k : k + 2] in secret_scan._next for k in range(i, j - 1)):
+                costs.append(secret_scan.walk_cost(j - i, sum(low[k] == low[k + 2] for k in range(i, j - 2))))
+            for p in range(1, min(secret_scan.PART, (j - i) // 2) + 1):
+                if (j - i) % p == 0 and part == part[:p] * ((j - i) // p) and not any(p % q == 0 and part[:p] == part[:q] * (p // q) for q in range(1, p)):
+                    costs.append(all_cuts(part[:p], dictionary) + math.log10((j - i) // p))
+            costs += [c for d, c in secret_scan.date_ends(value, i) if d == j]
+            best[j] = min([best[j], *(best[i] + c for c in costs)])
+    return best[n]
+
+
+def test_guess_cost_equals_a_full_search():
+    rng = np.random.default_rng(6)
+    bits = ["admin", "pass", "asdf", "qwe", "aaa", "ab", "12", "2019", "19-10-2011", "X", "#", "Love", "trewq", "zxcxz", "passs", "abcabc"]
+    values = ["adminxpassasdfpassasdf", "abcabcabcabc", "passssssss", "aaaaqwertyaaaa", "", "ababab2020ababab"]
+    values += ["".join(rng.choice(bits, rng.integers(1, 7)).tolist()) for _ in range(600)]
+    values += ["".join(rng.choice(list("ab1"), rng.integers(1, 16)).tolist()) for _ in range(600)]
+    for v in values:
+        assert secret_scan.guess_cost(v) == pytest.approx(all_cuts(v), abs=1e-9), v
+        assert (secret_scan.guess_cost(v, limit=10.0) >= 10.0) == (all_cuts(v) >= 10.0), v
+    assert secret_scan.guess_cost("ab" * 100_000) < 10 <= secret_scan.guess_cost("".join(map(chr, rng.integers(33, 126, 200_000))), limit=10.0)  # linear time
+
+
+def test_corpus_words_are_not_secrets(spark):
+    """Words are priced by their counts over all texts; values after credential words don't count."""
+    rows = [(i, "understanding the beginning of everything Christopher wrote") for i in range(5)] + [(9, 'key: understanding, pass: xqzvkwjpmd, "token": "the beginning of everything"')] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
+    a = rows[-1][1].index("xqz")
+    assert got == {**{i: "" for i in range(5)}, 9: f"guess:{a}:{a + 10}"}
+
+
 def test_url_lists(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     same(url_lists.query(pages), url_lists.ORACLE)
