@@ -1,10 +1,11 @@
 """URL filtering with dated lists: an as-of join of captures and list entries.
 
 Entries (rule, action, at) become disjoint validity intervals of each rule, cut at month-long
-buckets. A capture looks up its host and its host's parent in the bucket of its fetch time, and
-the interval that holds that time decides. Only DataFrame functions are used. Keys of the join
-are (rule, bucket), so a hot host spreads over time and adaptive execution can split it further;
-the list is broadcast only where Spark knows it to be small.
+buckets. A capture looks up its host and every parent domain of two labels or more in the bucket
+of its fetch time; of the intervals that hold that time the most specific rule decides. Only
+DataFrame functions are used. Each (host, time) is looked up once, and keys of the join are
+(rule, bucket), so a hot host spreads over time and adaptive execution can split it further; the
+list is broadcast only where Spark knows it to be small.
 """
 
 from __future__ import annotations
@@ -17,9 +18,14 @@ FOREVER = 253_402_300_799  # the end of year 9999
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
+#: Characters of a host name, at most (longer ones aren't names).
+LONGEST = 253
+
+
 def host_of(url):
-    """Lower-case host of a URL, or null."""
-    return F.nullif(F.regexp_extract(F.lower(url), HOST, 1), F.lit(""))
+    """Lower-case host of a URL, or null; a closing dot isn't part of it."""
+    host = F.regexp_replace(F.regexp_extract(F.lower(url), HOST, 1), r"\.+$", "")
+    return F.when(F.length(host).between(1, LONGEST), host)
 
 
 def parent_of(host):
@@ -28,6 +34,13 @@ def parent_of(host):
     return F.nullif(rest, F.lit(""))
 
 
+def rules_of(host):
+    """The host and its parent domains of two labels or more, nearest first."""
+    labels = F.split(host, r"\.")
+    n = F.size(labels)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda k: F.array_join(F.slice(labels, k, n), "."))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """Disjoint intervals [since, until) in which a rule is listed, from rule, action, at.
 
@@ -43,27 +56,27 @@ def intervals(entries: DataFrame) -> DataFrame:
     return ends.where("action = 'add'").select("rule", F.col("at").alias("since"), "until")
 
 
-def decide(captures: DataFrame, entries: DataFrame, last: int) -> DataFrame:
-    """page_id, url, fetched_at, host, blocked, blocked_by ('host', 'parent' or null) and since.
+def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
+    """page_id, url, fetched_at, host, blocked, blocked_by ('host', 'parent' or null), rule, since.
 
-    captures: page_id, url, fetched_at (seconds), none after `last`. A null or malformed URL or a
-    null time is never blocked; repeated captures stay; a host's own rule comes before its
-    parent's; other columns are not read; empty tables are fine.
+    captures: page_id, url, fetched_at (seconds). A null or malformed URL or a null time is never
+    blocked; repeated captures stay; a host's own rule comes before its parent's, and a nearer
+    parent's before a farther one's; other columns are not read; empty tables are fine. The first
+    and the last fetch time are looked up when this is called.
     """
-    listed = intervals(entries)
-    cut = listed.select(
-        "rule", "since", "until",
-        F.explode(F.sequence(F.floor(F.col("since") / BUCKET), F.floor(F.least(F.col("until") - 1, F.greatest("since", F.lit(last))) / BUCKET))).alias("bucket"),
-    )
-    rows = captures.select("page_id", "url", "fetched_at").withColumn("host", host_of("url")).withColumn("parent", parent_of(F.col("host")))
-    rows = rows.withColumn("bucket", F.floor(F.col("fetched_at") / BUCKET))
-    for level in ("host", "parent"):
-        side = cut.select(*(F.col(c).alias(f"{level}_{c}") for c in cut.columns))
-        on = (F.col(level) == F.col(f"{level}_rule")) & (F.col("bucket") == F.col(f"{level}_bucket"))
-        on &= (F.col("fetched_at") >= F.col(f"{level}_since")) & (F.col("fetched_at") < F.col(f"{level}_until"))
-        rows = rows.join(side, on, "left")
-    by = F.when(F.col("host_rule").isNotNull(), "host").when(F.col("parent_rule").isNotNull(), "parent")
-    return rows.select("page_id", "url", "fetched_at", "host", by.isNotNull().alias("blocked"), by.alias("blocked_by"), F.coalesce("host_since", "parent_since").alias("since"))
+    rows = captures.select(captures["page_id"], captures["url"], captures["fetched_at"]).withColumn("host", host_of(F.col("url")))
+    first, last = rows.agg(F.min("fetched_at"), F.max("fetched_at")).first()
+    bucket = lambda c: F.floor(c / BUCKET)
+    listed = intervals(entries).where((F.col("since") <= F.lit(last)) & (F.col("until") > F.lit(first)))
+    span = F.sequence(bucket(F.greatest("since", F.lit(first))), bucket(F.least(F.col("until") - 1, F.lit(last))))
+    listed = listed.select("rule", "since", "until", F.explode(span).alias("bucket"))
+    asked = rows.where("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
+    tried = asked.select("host", "fetched_at", bucket(F.col("fetched_at")).alias("bucket"), F.posexplode(rules_of(F.col("host"))).alias("level", "rule"))
+    active = tried.join(listed, ["rule", "bucket"]).where("fetched_at >= since and fetched_at < until")
+    found = active.groupBy("host", "fetched_at").agg(F.min(F.struct("level", "rule", "since")).alias("x"))
+    by = F.when(F.col("x.level") == 0, "host").when(F.col("x.level") > 0, "parent")
+    found = found.select("host", "fetched_at", by.alias("blocked_by"), "x.rule", "x.since")
+    return rows.join(found, ["host", "fetched_at"], "left").select("page_id", "url", "fetched_at", "host", F.col("blocked_by").isNotNull().alias("blocked"), "blocked_by", "rule", "since")
 
 
 # The query's captures and list come from the pages table: fetch times and list dates follow from
@@ -77,7 +90,7 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
 
 def entries_of(pages: DataFrame) -> DataFrame:
-    hosts = pages.select("page_id", host_of("url").alias("rule"))
+    hosts = pages.select("page_id", host_of(F.col("url")).alias("rule"))
     firsts = hosts.groupBy("rule").agg(F.min("page_id").alias("p")).where("rule is not null and p % 3 <> 2")
     parents = hosts.select("page_id", parent_of(F.col("rule")).alias("rule")).groupBy("rule").agg(F.min("page_id").alias("p"))
     rules = firsts.unionByName(parents.where("rule is not null and p % 7 = 0"))
@@ -94,8 +107,10 @@ def entries_of(pages: DataFrame) -> DataFrame:
 ORACLE = rf"""
 WITH hosts AS (
   SELECT page_id, url, {START} + (page_id * 7919) % {YEAR} AS fetched_at,
-    NULLIF(regexp_extract(lower(url), '{HOST}', 1), '') AS host FROM pages),
-named AS (SELECT *, NULLIF(regexp_extract(host, '^[^.]+\.(.+\..+)$', 1), '') AS parent FROM hosts),
+    regexp_replace(regexp_extract(lower(url), '{HOST}', 1), '\.+$', '') AS name FROM pages),
+named AS (
+  SELECT page_id, url, fetched_at, CASE WHEN length(name) BETWEEN 1 AND {LONGEST} THEN name END AS host,
+    NULLIF(regexp_extract(CASE WHEN length(name) BETWEEN 1 AND {LONGEST} THEN name END, '^[^.]+\.(.+\..+)$', 1), '') AS parent FROM hosts),
 rules AS (
   SELECT host AS rule, min(page_id) AS p FROM named WHERE host IS NOT NULL GROUP BY host HAVING min(page_id) % 3 <> 2
   UNION ALL
@@ -105,21 +120,22 @@ entries AS (
   SELECT rule, 'add' AS action, added AS at FROM dated
   UNION ALL SELECT rule, 'remove', added + (p % 90 + 10) * 86400 FROM dated WHERE p % 2 = 0
   UNION ALL SELECT rule, 'add', added + (p % 90 + 40) * 86400 FROM dated WHERE p % 4 = 0),
-latest AS (
-  SELECT n.page_id, n.url, n.fetched_at, n.host, n.parent,
-    (SELECT e.action FROM entries e WHERE e.rule = n.host AND e.at <= n.fetched_at ORDER BY e.at DESC, e.action DESC LIMIT 1) AS host_state,
-    (SELECT e.action FROM entries e WHERE e.rule = n.parent AND e.at <= n.fetched_at ORDER BY e.at DESC, e.action DESC LIMIT 1) AS parent_state
-  FROM named n)
-SELECT page_id, url, fetched_at, host,
-  coalesce(host_state = 'add', false) OR coalesce(parent_state = 'add', false) AS blocked,
-  CASE WHEN host_state = 'add' THEN 'host' WHEN parent_state = 'add' THEN 'parent' END AS blocked_by,
-  (SELECT min(e.at) FROM entries e
-    WHERE e.rule = CASE WHEN host_state = 'add' THEN l.host WHEN parent_state = 'add' THEN l.parent END
-      AND e.action = 'add' AND e.at <= l.fetched_at
-      AND e.at > coalesce((SELECT max(r.at) FROM entries r WHERE r.rule = e.rule AND r.action = 'remove' AND r.at <= l.fetched_at), -1)) AS since
-FROM latest l
+levels AS (
+  SELECT DISTINCT host, fetched_at, unnest(range(1, greatest(2, len(string_split(host, '.'))))) AS level FROM named WHERE host IS NOT NULL),
+tried AS (
+  SELECT host, fetched_at, level, array_to_string(list_slice(string_split(host, '.'), level, len(string_split(host, '.'))), '.') AS rule FROM levels),
+active AS (
+  SELECT t.host, t.fetched_at, t.level, t.rule, min(a.at) AS since
+  FROM tried t JOIN entries a ON a.rule = t.rule AND a.action = 'add' AND a.at <= t.fetched_at
+  WHERE NOT EXISTS (SELECT 1 FROM entries r WHERE r.rule = t.rule AND r.action = 'remove' AND r.at >= a.at AND r.at <= t.fetched_at)
+  GROUP BY ALL),
+nearest AS (
+  SELECT host, fetched_at, min(level) AS level, min_by(rule, level) AS rule, min_by(since, level) AS since FROM active GROUP BY ALL)
+SELECT n.page_id, n.url, n.fetched_at, n.host, b.level IS NOT NULL AS blocked,
+  CASE WHEN b.level = 1 THEN 'host' WHEN b.level > 1 THEN 'parent' END AS blocked_by, b.rule, b.since
+FROM named n LEFT JOIN nearest b ON b.host = n.host AND b.fetched_at = n.fetched_at
 """
 
 
 def query(pages: DataFrame) -> DataFrame:
-    return decide(captures_of(pages), entries_of(pages), START + YEAR)
+    return decide(captures_of(pages), entries_of(pages))

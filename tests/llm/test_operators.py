@@ -306,11 +306,18 @@ def test_corpus_words_are_not_secrets(spark):
 def test_url_lists(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     same(url_lists.query(pages), url_lists.ORACLE)
-    captures = spark.createDataFrame([(1, "http://a.b.com/x", 5), (2, "http://a.b.com/x", 15), (3, None, 5), (4, "nonsense", 5), (5, "HTTP://A.b.com:80/", None), (6, "https://z.b.com", 25)], "page_id long, url string, fetched_at long")
-    entries = spark.createDataFrame([("a.b.com", "add", 0), ("a.b.com", "add", 3), ("a.b.com", "remove", 10), ("b.com", "add", 20), (None, "add", 1), ("b.com", "odd", 1)], "rule string, action string, at long")
-    got = {r.page_id: (r.blocked, r.blocked_by, r.since) for r in url_lists.decide(captures, entries, 100).collect()}
-    assert got == {1: (True, "host", 0), 2: (False, None, None), 3: (False, None, None), 4: (False, None, None), 5: (False, None, None), 6: (True, "parent", 20)}
-    assert url_lists.decide(captures.where("false"), entries.where("false"), 0).count() == 0
+    rows = [(1, "http://a.b.com/x", 5), (2, "http://a.b.com/x", 15), (3, None, 5), (4, "nonsense", 5), (5, "HTTP://A.b.com:80/", None), (6, "https://z.b.com", 25), (7, "http://x.a.b.com/", 1_000_000_000), (7, "http://x.a.b.com/", 1_000_000_000)]
+    rows += [(8, "http://b.com./", 20), (9, "http://y.x.a.b.com/", 4), (10, "http://" + "a." * 60_000 + "b.com/", 30), (11, "http://" + "p" * 200_000, 30), (12, "ftp://localhost/", 7), (13, "http://q.com", 9)]
+    captures = spark.createDataFrame([(*r, "x", "y", 0) for r in rows], "page_id long, url string, fetched_at long, rule string, host string, since long")
+    listed = [("a.b.com", "add", 0), ("a.b.com", "add", 3), ("a.b.com", "remove", 10), ("b.com", "add", 20), (None, "add", 1), ("b.com", "odd", 1), ("com", "add", 0), ("localhost", "add", 7), ("q.com", "add", 9), ("q.com", "remove", 9)]
+    entries = spark.createDataFrame([(*r, "z") for r in listed], "rule string, action string, at long, bucket string")
+    got = sorted((r.page_id, r.blocked_by, r.rule, r.since) for r in url_lists.decide(captures, entries).collect())
+    no = (None, None, None)
+    want = [(1, "host", "a.b.com", 0), (2, *no), (3, *no), (4, *no), (5, *no), (6, "parent", "b.com", 20), (7, "parent", "b.com", 20), (7, "parent", "b.com", 20), (8, "host", "b.com", 20), (9, "parent", "a.b.com", 0), (10, *no), (11, *no), (12, "host", "localhost", 7), (13, *no)]
+    assert got == want
+    assert url_lists.decide(captures.where("false"), entries.where("false")).count() == 0
+    assert url_lists.decide(captures.where("false"), entries).count() == 0
+    assert url_lists.decide(captures, entries.where("false")).where("blocked").count() == 0
 
 
 def test_fingerprint(docs):

@@ -19,7 +19,8 @@ def test_stages(spark):
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == set(found.component_id)
     clean = stages["secrets"](spark, one, DATA)
     assert clean.columns == docs.columns and clean.count() == one.count()
-    assert not any(secret_scan.spans(r.text) for r in clean.collect())
+    words = secret_scan.dictionary_of(one)
+    assert not any(secret_scan.spans(r.text, words) for r in clean.collect())
     packed = corpus_pipeline.run(spark, DATA).toPandas()
     assert set(packed.doc_id) == {r.doc_id for r in clean.collect()}
     assert packed.groupby("sequence_id").length.sum().max() <= 1024
