@@ -115,11 +115,27 @@ def test_segment_topk_is_exact(spark):
 def test_segment_bounds_prune_and_hold():
     rng = np.random.default_rng(0)
     q, x = rng.normal(size=(20, 64)), rng.normal(size=(50, 64))
-    for s in (4, 16):
+    for s in (4, 16, segment_topk.fine_segments(64, 4), segment_topk.fine_segments(64, 8)):
         assert (segment_topk.statistics(q, s) @ segment_topk.statistics(x, s).T >= q @ x.T - 1e-9).all()
     x = np.concatenate([rng.integers(-5, 5, (3000, 64)), rng.integers(-5, 5, (40, 64)) + 60])
-    *_, exact = segment_topk.tile_topk(x[-4:].astype("<i4"), x.astype("<i4"), 6)
+    *_, exact = segment_topk.tile_topk(x[-4:].astype(float), x.astype(float), 6)
     assert exact < 4 * 300  # most candidates fall to the coarse bounds
+    x = rng.normal(size=(4000, 64))  # nothing to group by: only the finest bounds prune
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    *_, exact = segment_topk.tile_topk(x[:200], x, 6)
+    assert exact < 0.08 * 200 * len(x)
+
+
+def test_segment_topk_of_large_components(spark):
+    """Components far beyond 2^28, where products leave doubles and even longs."""
+    rows = [(0, [3e6, 1.0]), (1, [4e6, 0.0]), (2, [2e6, 0.0]), (50, [3.0e13, -7.0e12]), (3, [1e13 + 0.125, 3.0]), (4, [1e13, 3.0]), (100, [1e200, -1e200]), (5, [-1e200, 1e-9]), (150, [1e307, 0.0]), (6, [0.0, -0.0]), (7, [0.0]), (8, [9e4] * 3)]
+    df = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], "vec_id long, embedding array<double>, v long, ids long")
+    scaled = {i: [math.floor(256 * c) if math.isfinite(256 * c) else None for c in x] + [0] * (3 - len(x)) for i, x in rows}
+    scaled = {i: x for i, x in scaled.items() if None not in x}
+    clip = lambda v: min(max(v, -(2**63)), 2**63 - 1)
+    want = {q: sorted((-clip(sum(a * b for a, b in zip(scaled[q], x))), i) for i, x in scaled.items() if i != q)[:5] for q in scaled if q % 50 == 0}
+    got = segment_topk.top_k(df).collect()
+    assert {q: [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in want} == want
 
 
 def test_rp_forest(spark):
