@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-Each tree cuts space by random hyperplanes at the median of a bounded sample; all vectors are
-routed to one leaf of every tree. A query walks all trees through one priority queue, always
-opening the branch whose nearest hyperplane is least far, until it has a set number of leaves.
-Leaves and queries meet in a join on the leaf, and candidates are ranked by exact cosine on the
-original vectors. Equal directions are indexed once; large leaves are split into parts.
+Each tree cuts space by random hyperplanes at the median of a bounded sample, until a leaf is
+expected to hold few rows of the whole table; all vectors are routed to one leaf of every tree. A
+query walks all trees through one priority queue, always opening the branch whose nearest
+hyperplane is least far, until it has its share of the leaves. Leaves and queries meet in a join
+on the leaf, and candidates are ranked by exact cosine on the original vectors. Equal vectors are
+indexed once; large leaves are split into parts.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from marketloom.llm import work
 from marketloom.llm.work import cut, offsets, slim
 
 K, EVERY = 5, 50
-#: Trees, sampled vectors to fit them on, sampled vectors in a leaf, leaves that a query opens,
-#: and rows of one part of a large leaf.
-TREES, SAMPLE, LEAF, OPENED, PART = 12, 8192, 64, 96, 4096
+#: Trees, sampled vectors to fit them on, rows that a leaf should hold, sampled vectors in a leaf at
+#: least, the share of leaves that a query opens, and rows of one part of a large leaf.
+TREES, SAMPLE, ROWS, LEAF, OPENED, PART = 12, 32_768, 512, 8, 0.08, 4096
 #: Queries that meet one part of a leaf at once, over all leaves.
 QUERIES = 1 << 16
 
@@ -167,13 +168,14 @@ def _leaf(left: pd.DataFrame, right: pd.DataFrame, k: int, kind: str) -> pd.Data
     return found.groupby("query_id").head(k)
 
 
-def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, sample: int = SAMPLE, opened: int = OPENED, part: int = PART) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, sample: int = SAMPLE, rows_of_leaf: int = ROWS, opened: float = OPENED, part: int = PART) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest found by cosine.
 
     Queries are the rows whose vec_id is divisible by `every`. Rows with a null vec_id, a null or
     zero vector, or a null or infinite component take no part; shorter vectors count as filled
-    with zeros; repeated rows count once; other columns are not read. A query whose leaves hold
-    fewer than k others opens all leaves. No queries or no candidates give no rows.
+    with zeros; repeated rows count once; other columns are not read. A query opens that share
+    of all leaves, and two leaves for each tree at least; it has fewer than k rows only where these
+    hold fewer others. No queries or no candidates give no rows.
     """
     kind = "<f4" if embeddings.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
     rows = slim(embeddings, "vec_id", "embedding").mapInArrow(lambda it: _usable(it, kind), "vec_id long, v binary")
@@ -182,13 +184,14 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int =
     index = cut(once.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "vectors")
     asked = cut(rows.where(F.col("vec_id") % every == 0).distinct(), "queries")
     fitted = [bytes(r["v"]) for r in work.sample(index.select("v"), ["v"], sample).collect()]
-    forest = Forest(unit(matrix(fitted, kind)) if fitted else np.zeros((0, 1)), trees)
+    leaf = max(LEAF, len(fitted) * rows_of_leaf // max(1, index.count()))
+    forest = Forest(unit(matrix(fitted, kind)) if fitted else np.zeros((0, 1)), trees, leaf)
     one = np.ones(max(1, forest.leaves), np.int64)
     indexed = lambda parts: index.mapInArrow(lambda it: _indexed(it, forest, parts, kind), "leaf long, part long, ids array<long>, v binary")
     parts = one.copy()
     for r in indexed(one).groupBy("leaf").count().collect():  # at most as many as leaves
         parts[r["leaf"]] = -(-r["count"] // part)
-    wanted = forest.leaves if len(fitted) < 8 * LEAF else opened  # few vectors: open every leaf
+    wanted = max(2 * trees, int(np.ceil(opened * forest.leaves)))
     spread = max(8, embeddings.sparkSession.sparkContext.defaultParallelism)
     left = asked.repartition(spread, "vec_id").mapInArrow(lambda it: _asked(it, forest, parts, wanted, kind), "leaf long, part long, query_id long, q binary")
     blocks = max(1, -(-asked.count() // QUERIES))

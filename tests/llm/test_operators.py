@@ -146,11 +146,32 @@ def test_rp_forest(spark):
     assert {r.query_id for r in got} == set(want)
     for q in want:
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
-        assert [r.vec_id for r in mine] == [i for _, i in want[q]]  # few vectors: every leaf is opened
+        assert [r.vec_id for r in mine] == [i for _, i in want[q]]  # few vectors: one leaf
         assert np.allclose([r.score for r in mine], [-s for s, _ in want[q]], atol=1e-12)
     assert rp_forest.nearest(df.where("false")).count() == 0
 
 
+def test_rp_forest_recall_beside_the_share_of_rows_read(spark):
+    """Where not all leaves are opened: recall against brute force, and how many rows are read."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 32))
+    x = (centres[rng.integers(0, 60, 12_000)] + rng.normal(0, 0.7, (12_000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, v long, leaf long")
+    u = x[::50].astype(float), x.astype(float)
+    score = (u[0] / np.linalg.norm(u[0], axis=1, keepdims=True)) @ (u[1] / np.linalg.norm(u[1], axis=1, keepdims=True)).T
+    score[np.arange(240), np.arange(240) * 50] = -2
+    want = np.argsort(-score, axis=1)[:, :5]
+    got: dict = {}
+    for r in rp_forest.nearest(df).collect():
+        got.setdefault(r.query_id // 50, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & set(want[q].tolist())) / 5 for q in range(240)]) >= 0.9
+    units = rp_forest.unit(x.astype(float))
+    forest = rp_forest.Forest(units, leaf=rp_forest.ROWS)
+    leaf = forest.place(units)
+    opened = [set(forest.search(units[k], max(24, math.ceil(0.08 * forest.leaves)))) for k in range(0, 12_000, 600)]
+    assert np.mean([np.isin(leaf, list(o)).any(1).mean() for o in opened]) < 0.7
+
+
 def test_quality(spark, docs, empty):
     d, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     got = factor_quality.scores(d, labels).join(labels, "doc_id").toPandas()
