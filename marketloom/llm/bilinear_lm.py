@@ -34,7 +34,9 @@ HELD = 400_000
 FREQUENT, WORDS, CLASSES = 100_000, 1534, 512
 #: Components of word vectors, tokens of a training step, noise words shared by a step.
 RANK, STEP, NOISE = 24, 2048, 64
-RATE, WARM_TEXTS = 0.1, 3000
+RATE = 0.1
+#: Texts and tokens that the common start is trained on, at most; longer texts than that are left out there.
+WARM_TEXTS, WARM_TOKENS = 3000, 2_000_000
 END, START = WORDS + CLASSES, WORDS + CLASSES + 1
 SIZE = WORDS + CLASSES + 2
 
@@ -68,7 +70,7 @@ class Vocabulary:
     def __init__(self, frequent: list[tuple[bytes, int]], n: int, v: int, ends: int, classes: np.ndarray):
         frequent.sort(key=lambda x: (-x[1], x[0]))
         self.ids = {w: k for k, (w, _) in enumerate(frequent)}
-        self.n, self.base = n, n + 0.5 * (v + 1)
+        self.n, self.ends, self.base = n, ends, n + 0.5 * (v + 1)
         counts = np.array([c for _, c in frequent], float)
         kinds = np.array([word_class(w) for w, _ in frequent], np.int64)
         own = np.arange(len(frequent)) < WORDS
@@ -258,7 +260,7 @@ def _scores(batches: Iterator[pa.RecordBatch], flat: np.ndarray, shared) -> Iter
             inside[at[1:] - 1] = False
             base, share = np.full(len(w), v.end_base), np.zeros(len(w))
             base[inside], share[inside] = base_of[ids], share_of[ids]
-            known = np.ones(len(w), np.int64)
+            known = np.full(len(w), v.ends > 0, np.int64)
             known[inside] = ids < v.frequent
             add = lambda x: pa.array(np.add.reduceat(x, at[:-1]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "held_out", "row", "n_tokens")), add(known), add(base), add(token + share)], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score"])
@@ -291,8 +293,13 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary, np.ndarray,
     encoded = cut(docs.mapInArrow(lambda it: _encode(it, shared), _ENCODED), "encoded")
     lines = encoded.where("not held_out")
     model = Model(vocabulary.unigram)
-    chosen = F.broadcast(sample(lines.select("row"), ["row"], WARM_TEXTS))
-    some = lines.join(chosen, "row").orderBy("row").select("ids").toArrow().to_batches()
+    chosen, room = [], WARM_TOKENS
+    for r in sample(lines.select("row", "n_tokens"), ["row"], WARM_TEXTS).collect():
+        if r["n_tokens"] <= room:
+            chosen.append((r["row"],))
+            room -= r["n_tokens"]
+    chosen = spark.createDataFrame(chosen, "row long")  # bounded by WARM_TEXTS
+    some = lines.join(F.broadcast(chosen), "row").orderBy("row").select("ids").toArrow().to_batches()
     rng = np.random.default_rng(0)
     for _ in range(2):  # a common start for all tasks
         for b in some:

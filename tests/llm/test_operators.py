@@ -68,6 +68,26 @@ def test_shards(docs, empty):
     assert hilbert_shards.shard(empty).count() == 0
 
 
+def test_shard_files_and_their_ranges(spark, docs, tmp_path):
+    """Files hold whole rows, a shard each, and the ranges of a shard hold all of its rows."""
+    some = docs.drop("shard")
+    ranges = {r.shard: r for r in hilbert_shards.write_shards(some, f"file://{tmp_path}/x", 4).collect()}
+    back = spark.read.parquet(f"file://{tmp_path}/x")
+    assert sorted(map(str, back.select(*some.columns).collect())) == sorted(map(str, some.collect()))
+    for r in back.collect():
+        of = ranges[r.shard]
+        assert r.lang is None or of.least_lang <= r.lang <= of.greatest_lang
+        assert r.source is None or of.least_source <= r.source <= of.greatest_source
+        assert of.least_size <= len((r.text or "").encode()) + 8 <= of.greatest_size
+    assert sum(r.rows for r in ranges.values()) == docs.count()
+
+
+def test_bilinear_without_training_rows_knows_no_word(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
+    got = bilinear_lm.score(docs).collect()
+    assert got and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.n_tokens == 4 for r in got)
+
+
 def test_bilinear_base_scores_and_normalisation(docs, empty):
     got = bilinear_lm.score(docs).collect()
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) + [None]
