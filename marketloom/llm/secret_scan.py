@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.work import batch, slim
+from marketloom.llm.work import batch, cut, slim
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses (as a power of 10) from which a value counts as a secret, and its least length.
@@ -219,9 +219,18 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dictionary_of(docs: DataFrame, words: int = DICTIONARY) -> Dictionary:
-    """The most frequent words of all texts, at most `words` of them (ties: by word)."""
+    """The most frequent words of all texts: all that are at least as frequent as a bound, which
+    leaves at most `words` of them; only these reach the driver."""
     counts = docs.select(docs["text"]).mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return Dictionary([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()])
+    step = F.floor(F.log2("n") * 16).cast("int")
+    counts = cut(counts.withColumn("step", step), "words")
+    total, bound = 0, None
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):  # some hundreds
+        if total + r["count"] > words:
+            break
+        total, bound = total + r["count"], r["step"]
+    found = [] if bound is None else counts.where(F.col("step") >= bound).collect()
+    return Dictionary([r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))])
 
 
 def spans(text: str, dictionary: Dictionary = PASSWORDS) -> list[tuple[str, int, int]]:
