@@ -139,42 +139,43 @@ def signed_bars(ticks: DataFrame, step: float, kind: str = "tick", runs: bool =
     (when one side's run reaches it; a change of side starts the run afresh).
 
     kind: tick, volume or value. Ticks of unknown side count with neither. The state decides where
-    bars end, so an instrument is one task; only the bar numbers come from the fold.
+    bars end, so an instrument is one task; only the bar numbers come from the fold, by the rows'
+    places, so that repeated ticks count as often as they come.
     """
     weight = {"tick": F.lit(1.0), "volume": F.col("quantity"), "value": F.col("price") * F.col("quantity")}[kind]
     sign = F.when(F.col("side") == "BUY", 1.0).when(F.col("side") == "SELL", -1.0).otherwise(0.0)
-    rows = ticks.withColumn("x_", F.coalesce(weight, F.lit(0.0)) * sign)
+    rows = scan.settled(scan.numbered(ticks.withColumn("x_", F.coalesce(weight, F.lit(0.0)) * sign)))
 
-    def step_fn(history: Iterator[tuple], key: str) -> list[tuple]:
-        out, bar, held = [], 0, 0.0
-        for t, s, x in history:
+    def step_fn(history: Iterator[tuple], key: str) -> Iterator[tuple]:
+        bar, held = 0, 0.0
+        for place, x in history:
             if runs and held * x < 0:
                 held = 0.0
             held += x
-            out.append((key, t, s, bar))
+            yield key, place, bar
             if abs(held) >= step:
                 bar, held = bar + 1, 0.0
-        return out
 
-    numbers = scan.fold(rows, step_fn, ["event_time_ns", "seq", "x_"], f"{KEY} string, event_time_ns long, seq long, bar long")
-    return _numbered_bars(rows.withColumn("size", fallback(ticks, SIZE_NAMES)).join(numbers, [KEY, *ORDER]))
+    numbers = scan.fold(rows, step_fn, ["ord_", "x_"], f"{KEY} string, ord_ long, bar long", order=("ord_",))
+    return _numbered_bars(rows.withColumn("size", fallback(ticks, SIZE_NAMES)).join(numbers, [KEY, "ord_"]))
 
 
 def renko(ticks: DataFrame, brick: float) -> DataFrame:
     """Bricks of fixed height: a move of k heights from the last brick's close makes k bricks."""
 
-    def step_fn(history: Iterator[tuple], key: str) -> list[tuple]:
-        out, last, n = [], None, 0
-        for t, _, p in history:
+    def step_fn(history: Iterator[tuple], key: str) -> Iterator[tuple]:
+        last, n = None, 0
+        for t, p in history:
             if last is None:
                 last = p
             while abs(p - last) >= brick - 1e-9:
                 close = last + brick if p > last else last - brick
-                out.append((key, n, t, last, close, 1 if close > last else -1))
+                yield key, n, t, last, close, 1 if close > last else -1
                 last, n = close, n + 1
-        return out
 
-    return scan.fold(ticks, step_fn, ["event_time_ns", "seq", "price"], f"{KEY} string, brick long, event_time_ns long, open double, close double, direction int")
+    # prices order equal times and numbers, so that a rerun makes the same bricks
+    ordered = ("event_time_ns", "seq", "price")
+    return scan.fold(ticks.where("price is not null"), step_fn, ["event_time_ns", "price"], f"{KEY} string, brick long, event_time_ns long, open double, close double, direction int", order=ordered)
 
 
 def adjust(ticks: DataFrame, rolls: DataFrame, ratio: bool = True) -> DataFrame:

@@ -295,52 +295,54 @@ def vwm_setup(bars: DataFrame, back: int = 5, n: int = 20, atr: int = 5) -> Data
 def rsi_exact(bars: DataFrame, n: int = 14) -> DataFrame:
     """RSI in 0..1 whose reference price moves on only while losses have a mean.
 
-    The last price depends on the state, so an instrument is one task."""
-    alpha = 2 / (n + 1)
-
-    def step(rows: Iterator[tuple], key: str) -> list[tuple]:
-        out, last, up, down = [], None, None, None
-        for t, s, x in rows:
-            last = x if last is None else last
-            d = x - last
-            gain, loss = max(d, 0.0), max(-d, 0.0)
-            up = gain if up is None else up + alpha * (gain - up)
-            down = loss if down is None else down + alpha * (loss - down)
-            if down == 0.0:
-                out.append((key, t, s, 1.0))
-                continue
-            out.append((key, t, s, 1.0 - 1.0 / (1.0 + up / down)))
-            last = x
-        return out
+    Gains and losses are measured from the reference price; their exponential means start with
+    the first bar, which has neither. The reference depends on the state, so an instrument is one
+    task."""
+    keep = 1 - 2 / (n + 1)
+
+    def step(rows: Iterator[tuple], key: str) -> Iterator[tuple]:
+        reference, gains, losses = None, 0.0, 0.0
+        for t, s, price in rows:
+            change = 0.0 if reference is None else price - reference
+            gains = keep * gains + (1 - keep) * max(change, 0.0)
+            losses = keep * losses + (1 - keep) * max(-change, 0.0)
+            if reference is None or losses > 0:
+                reference = price
+            yield key, t, s, gains / (gains + losses) if losses > 0 else 1.0
 
     return scan.fold(bars, step, ["event_time_ns", "seq", "close"], f"{KEY} string, event_time_ns long, seq long, ind_rsi double")
 
 
 def swings(bars: DataFrame, n: int = 10) -> DataFrame:
-    """Direction, length and duration of the present swing; windows give the extremes."""
+    """Direction, length and duration of the present swing.
+
+    A bar turns the swing up where its high is its window's highest and its low isn't the lowest,
+    and down the other way round. The swing's top is the highest high of up bars and its bottom
+    the lowest low of down bars; the first down bar (or a bar that is both, alone in its window)
+    gives a top where there is none. Length and duration are null until both are known; the
+    duration counts bars since the last bar of the other direction. Windows give the extremes.
+    """
     rows = scan.halo(bars, n - 1)
     line = Window.partitionBy(KEY, "block_").orderBy(*ORDER).rowsBetween(1 - n, 0)
-    rows = scan.home(rows.withColumns({"top_": F.max("high").over(line), "bottom_": F.min("low").over(line)}))
-
-    def step(history: Iterator[tuple], key: str) -> list[tuple]:
-        out, direction, high, low, since_high, since_low = [], 0, 0.0, 0.0, 0, 0
-        for t, s, h, lo, top, bottom in history:
-            up, down = h >= top and lo >= bottom, h <= top and lo <= bottom
-            changed = False
-            since_high, since_low = since_high + 1, since_low + 1
-            if up and down:
-                high = high or h
-            elif up:
-                changed, direction, since_high, high = direction == -1, 1, 0, max(high, h)
-            elif down:
-                changed, direction, since_low = direction == 1, -1, 0
-                high = high or top
-                low = lo if low == 0.0 else min(low, lo)
-            ready = high != 0.0 and low != 0.0
-            length = abs(high - low) if ready else None
-            duration = {1: since_low, -1: since_high}.get(direction, 0) if ready else None
-            out.append((key, t, s, direction, changed, length, duration))
-        return out
+    rows = rows.withColumns({"top_": F.max("high").over(line), "bottom_": F.min("low").over(line)})
+    rows = scan.home(rows.withColumns({"up_": _c("high") >= _c("top_"), "down_": _c("low") <= _c("bottom_")}))
+
+    def step(history: Iterator[tuple], key: str) -> Iterator[tuple]:
+        direction, top, bottom = 0, None, None
+        last = {1: -1, -1: -1}  # places of the last bars of each direction
+        for place, (t, s, high, low, up, down, window_top) in enumerate(history):
+            before = direction
+            if up and not down:
+                direction, top = 1, high if top is None else max(top, high)
+            elif down and not up:
+                direction, bottom = -1, low if bottom is None else min(bottom, low)
+            if down and top is None:
+                top = window_top
+            if up != down:
+                last[direction] = place
+            known = top is not None and bottom is not None
+            turned = direction != 0 and before == -direction
+            yield key, t, s, direction, turned, abs(top - bottom) if known else None, (place - last[-direction] if direction else 0) if known else None
 
     kind = f"{KEY} string, event_time_ns long, seq long, direction int, changed boolean, length double, duration int"
-    return scan.fold(rows, step, ["event_time_ns", "seq", "high", "low", "top_", "bottom_"], kind)
+    return scan.fold(rows, step, ["event_time_ns", "seq", "high", "low", "up_", "down_", "top_"], kind)

@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from marketloom.functions.ints import idiv
 from marketloom.schemas import DAY, KEY, ORDER
@@ -30,7 +34,8 @@ def numbered(df: DataFrame, keys=(KEY,), order=ORDER, width: int = DAY) -> DataF
     a chain of scans over the same rows numbers them once.
 
     Buckets of `width` in the first order column are counted, and counts are summed over the
-    small table of buckets; rows are numbered inside their bucket only.
+    small table of buckets; rows are numbered inside their bucket only. Ties in the order are
+    settled by a digest of the row, so that every reading numbers them alike.
     """
     if "ord_" in df.columns:  # numbered before
         return df
@@ -39,7 +44,8 @@ def numbered(df: DataFrame, keys=(KEY,), order=ORDER, width: int = DAY) -> DataF
     counts = df.groupBy(*keys, "bucket_").agg(F.count("*").alias("n_"))
     before = Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
-    inside = Window.partitionBy(*keys, "bucket_").orderBy(*order)
+    digest = F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind and c != "bucket_"))
+    inside = Window.partitionBy(*keys, "bucket_").orderBy(*order, digest)
     placed = df.withColumn("row_", F.row_number().over(inside)).join(starts, [*keys, "bucket_"])
     return placed.withColumn("ord_", F.col("start_") + F.col("row_") - 1).drop("bucket_", "start_", "row_")
 
@@ -105,6 +111,7 @@ def affine_scan(df: DataFrame, recursions: dict[str, tuple[str, str]], block: in
 
     A row whose a is null restarts at b; a row whose b is null keeps y. Blocks fold to one map
     each, the few maps of a key are composed in order, and blocks run again from their start.
+    Numbered rows are written when this is called.
     """
     keys, names = list(keys), list(recursions)
     rows = numbered(df, keys, order).withColumn("block_", F.floor(F.col("ord_") / block))
@@ -114,17 +121,17 @@ def affine_scan(df: DataFrame, recursions: dict[str, tuple[str, str]], block: in
         # whether any value has been seen up to here, so that rows before the first stay null
         rows = rows.withColumn(f"{n}_c", F.col(b).isNotNull().cast("double"))
 
-    rows = settled(rows)  # it is read three times from here
+    rows = settled(rows)  # it is read twice from here
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    key_ddl = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "block_"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord_")
-        out = {k: [pdf[k].iloc[0]] for k in (*keys, "block_")}
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord_")
+        out = {k: table.column(k).slice(0, 1) for k in (*keys, "block_")}
         for n in names:
-            a, b = 1.0, 0.0
-            for x, y in zip(pdf[f"{n}_a"].to_numpy(), pdf[f"{n}_b"].to_numpy()):
-                a, b = x * a, x * b + y
-            out |= {f"{n}_a": [a], f"{n}_b": [b], f"{n}_c": [pdf[f"{n}_c"].max()]}
-        return pd.DataFrame(out)
+            a, b = affine_map(*(table.column(f"{n}_{x}").to_numpy() for x in "ab"))
+            out |= {f"{n}_a": [a], f"{n}_b": [b], f"{n}_c": [table.column(f"{n}_c").to_numpy().max()]}
+        return pa.table(out)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block_")
@@ -138,28 +145,59 @@ def affine_scan(df: DataFrame, recursions: dict[str, tuple[str, str]], block: in
             out |= {f"{n}_y": starts, f"{n}_k": known}
         return pd.DataFrame(out)
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    key_ddl = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "block_"))
     maps = rows.select(*keys, "block_", "ord_", *(f"{n}_{x}" for n in names for x in "abc")).groupBy(*keys, "block_")
-    maps = maps.applyInPandas(fold, key_ddl + "".join(f", {n}_{x} double" for n in names for x in "abc"))
+    maps = maps.applyInArrow(fold, key_ddl + "".join(f", {n}_{x} double" for n in names for x in "abc"))
     starts = maps.groupBy(*keys).applyInPandas(chain, key_ddl + "".join(f", {n}_{x} double" for n in names for x in "yk"))
+    kept = [f for f in rows.schema.fields if f.name not in {"block_", *(f"{n}_{x}" for n in names for x in "abc")}]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord_")
-        out = {k: pdf[k].to_numpy() for k in (*keys, "ord_")}
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord_")
+        out = {c: table.column(c) for c in columns}
         for n in names:
-            y, seen, values = pdf[f"{n}_y"].iloc[0], pdf[f"{n}_k"].iloc[0] > 0, []
-            for a, b, c in zip(pdf[f"{n}_a"].to_numpy(), pdf[f"{n}_b"].to_numpy(), pdf[f"{n}_c"].to_numpy()):
-                y, seen = a * y + b, seen or c > 0
-                values.append(y if seen else None)
-            out[n] = pd.Series(values, dtype="float64").astype(object).where(pd.notna(pd.Series(values, dtype="float64")), None)
-        return pd.DataFrame(out)
+            a, b, c = (table.column(f"{n}_{x}").to_numpy() for x in "abc")
+            seen = (np.maximum.accumulate(c) > 0) | (table.column(f"{n}_k")[0].as_py() > 0)
+            out[n] = pa.array(affine_run(a, b, table.column(f"{n}_y")[0].as_py()), mask=~seen)
+        return pa.table(out)
+
+    columns = [f.name for f in kept]
+    solved = T.StructType(kept + [T.StructField(n, T.DoubleType()) for n in names])
+    return rows.join(starts, [*keys, "block_"]).groupBy(*keys, "block_").applyInArrow(run, solved)
+
+
+def _columns(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maps in rows of about the square root of their number, filled up with maps that keep y."""
+    wide = max(1, int(np.ceil(np.sqrt(len(a)))))
+    more = -len(a) % wide
+    return np.append(a, np.ones(more)).reshape(-1, wide), np.append(b, np.zeros(more)).reshape(-1, wide)
 
-    small = rows.select(*keys, "block_", "ord_", *(f"{n}_{x}" for n in names for x in "abc")).join(starts, [*keys, "block_"])
-    key_ord = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "ord_"))
-    solved = small.groupBy(*keys, "block_").applyInPandas(run, key_ord + "".join(f", {n} double" for n in names))
-    keep = rows.drop("block_", *(f"{n}_{x}" for n in names for x in "abc"))
-    return keep.join(solved, [*keys, "ord_"])
+
+def _compose(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One map for each row of maps."""
+    x, y = np.ones(len(a)), np.zeros(len(a))
+    for k in range(a.shape[1]):
+        x, y = a[:, k] * x, a[:, k] * y + b[:, k]
+    return x, y
+
+
+def affine_map(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """All maps y -> a y + b, one after the other, as one."""
+    x, y = _compose(*(m.reshape(1, -1) for m in _compose(*_columns(a, b))))
+    return float(x[0]), float(y[0])
+
+
+def affine_run(a: np.ndarray, b: np.ndarray, y: float) -> np.ndarray:
+    """Every value on the way from y through all maps: rows of maps side by side."""
+    n = len(a)
+    a, b = _columns(a, b)
+    starts = []
+    for x, z in zip(*_compose(a, b)):
+        starts.append(y)
+        y = x * y + z
+    out, y = np.empty(a.shape), np.array(starts)
+    for k in range(a.shape[1]):
+        y = a[:, k] * y + b[:, k]
+        out[:, k] = y
+    return out.ravel()[:n]
 
 
 def ema(df: DataFrame, outs: dict[str, tuple[str, float]], **parameters) -> DataFrame:
@@ -182,22 +220,41 @@ def ema(df: DataFrame, outs: dict[str, tuple[str, float]], **parameters) -> Data
     return scanned.drop(*(f"{o}_{s}" for o in outs for s in ("a0", "b0", "x0", "f")))
 
 
-def fold(df: DataFrame, step: Callable[[Iterator[tuple], str], list[tuple]], columns: list[str], schema: str, key: str = KEY, order=ORDER) -> DataFrame:
+def fold(df: DataFrame, step: Callable[[Iterator[tuple], str], Iterable[tuple]], columns: list[str], schema: str, key: str = KEY, order=ORDER) -> DataFrame:
     """One pass of a state machine over each key's ordered rows.
 
-    `step` gets the rows (tuples of `columns`) of one key and the key, and returns output tuples
-    in `schema`. Parallel across keys only, as the state cannot be split; inputs that windows can
-    give should be computed before, so that the fold reads few columns.
+    `step` gets an iterator over the rows (tuples of `columns`; NaN as None) of one key and the
+    key, and yields output tuples in `schema`. Rows are sorted by Spark and stream through, so a
+    task holds a batch and the state, however long a history is. Parallel across keys only, as
+    the state cannot be split; inputs that windows can give should be computed before.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def values(column: pa.Array) -> list:
+        out = column.to_pylist()
+        return [None if v != v else v for v in out] if pa.types.is_floating(column.type) else out
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(b.column(key).to_pylist(), *(values(b.column(c)) for c in columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        rows = zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in columns))
-        out = pd.DataFrame(step(rows, k[0]), columns=names)
-        return out
+        for k, rows in groupby(stream(batches), key=lambda r: r[0]):
+            for made in step((r[1:] for r in rows), k):
+                held.append(made)
+                if len(held) == 8192:
+                    yield batch()
+                    held.clear()
+        if held:
+            yield batch()
 
-    return df.select(key, *order, *(c for c in columns if c not in (key, *order))).groupBy(key).applyInPandas(run, schema)
+    picked = df.select(key, *order, *(c for c in columns if c not in (key, *order)))
+    return picked.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def as_of(left: DataFrame, right: DataFrame, columns: list[str], prefix: str = "", forward: bool = False, key: str = KEY, time: str = "event_time_ns", tie: str = "seq", width: int = DAY) -> DataFrame:

@@ -57,8 +57,8 @@ def trend_breakout(bars: DataFrame, breakout: int = 20, trend: int = 50, atr: in
         tests = (("stop", side * (entry - close) >= stop * width), ("giveback", side * (best - close) >= giveback * width), ("trend", side * (mean - close) > 0), ("breakout", side * (beyond - close) > 0))
         return next((f"{name}_exit_{k}" for k, hit in tests if hit), None)
 
-    def step(history: Iterator[tuple], key: str) -> list[tuple]:
-        out, side, entry, best, pause = [], 0, 0.0, 0.0, 0
+    def step(history: Iterator[tuple], key: str) -> Iterator[tuple]:
+        side, entry, best, pause = 0, 0.0, 0.0, 0
         for t, s, close, upper, lower, mean, width in history:
             signal, reason = "HOLD", "warmup_hold"
             if None not in (upper, lower, mean, width):
@@ -81,8 +81,7 @@ def trend_breakout(bars: DataFrame, breakout: int = 20, trend: int = 50, atr: in
                         signal, reason = ("BUY", "long_breakout") if go > 0 else ("SELL", "short_breakout")
                     else:
                         reason = "no_signal" if lively else "low_volatility_hold"
-            out.append((key, t, s, signal, reason))
-        return out
+            yield key, t, s, signal, reason
 
     return scan.fold(rows, step, ["event_time_ns", "seq", "close", "upper_", "lower_", "trend_", "atr_"], f"{KEY} string, event_time_ns long, seq long, signal string, reason string")
 
@@ -105,18 +104,17 @@ def vwm_short(bars: DataFrame, setup: int = 5, atr_share: float = 0.5, warmup: i
     trigger = F.when(ready, F.col("before_.c") - atr_share * F.col("prev_atr"))
     rows = scan.home(rows.withColumns({"trigger_": trigger, "open_": F.coalesce((F.col("volume") > 0) & (F.col("age_") <= setup) & ~F.col("bear_setup"), F.lit(False))}))
 
-    def step(history: Iterator[tuple], key: str) -> list[tuple]:
-        out, short, age = [], False, 0
+    def step(history: Iterator[tuple], key: str) -> Iterator[tuple]:
+        short, age = False, 0
         for t, s, low, volume, trigger, is_open, bull in history:
             age = age + 1 if short else age
             enter = trigger is not None and not short and is_open and low <= trigger
             leave = short and age > 0 and volume > 0 and bull
-            out.append((key, t, s, trigger if is_open and not short else None, "enter_short" if enter and not leave else "exit_short" if leave else None))
+            yield key, t, s, trigger if is_open and not short else None, "enter_short" if enter and not leave else "exit_short" if leave else None
             if enter:
                 short, age = True, 0
             elif leave:
                 short, age = False, 0
-        return out
 
     return scan.fold(rows, step, ["event_time_ns", "seq", "low", "volume", "trigger_", "open_", "bull_"], f"{KEY} string, event_time_ns long, seq long, entry_price double, reason string")
 

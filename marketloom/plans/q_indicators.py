@@ -191,10 +191,11 @@ def _setup(spark, sf_dir):
 
 QUERIES["feat_vwm_setup"] = _setup
 _tr = EXPR["true_range"]
-ORACLES["feat_vwm_setup"] = f"""WITH RECURSIVE {V.sql('v_bars')}, a AS (SELECT *, {_tr} AS true_range, close - lag(close, 5) OVER ({LINE}) AS momentum, row_number() OVER ({LINE}) AS k FROM v_bars),
+SETUP = f"""WITH RECURSIVE {V.sql('v_bars')}, a AS (SELECT *, {_tr} AS true_range, close - lag(close, 5) OVER ({LINE}) AS momentum, row_number() OVER ({LINE}) AS k FROM v_bars),
   n AS (SELECT *, {full('avg', 'true_range', 5)} AS atr, volume * momentum AS x FROM a),
   r AS (SELECT k, instrument_id, NULL::DOUBLE AS vwm FROM n WHERE k = 1 UNION ALL
     SELECT n.k, n.instrument_id, CASE WHEN n.x IS NULL THEN r.vwm WHEN r.vwm IS NULL THEN n.x ELSE r.vwm + (2.0::DOUBLE / 21) * (n.x - r.vwm) END FROM r JOIN n ON n.instrument_id = r.instrument_id AND n.k = r.k + 1),
-  s AS (SELECT n.*, r.vwm, lag(r.vwm) OVER (PARTITION BY n.instrument_id ORDER BY n.k) AS prev_vwm FROM n JOIN r ON n.instrument_id = r.instrument_id AND n.k = r.k)
+  s AS (SELECT n.*, r.vwm, lag(r.vwm) OVER (PARTITION BY n.instrument_id ORDER BY n.k) AS prev_vwm FROM n JOIN r ON n.instrument_id = r.instrument_id AND n.k = r.k)"""
+ORACLES["feat_vwm_setup"] = f"""{SETUP}
   SELECT instrument_id, event_time_ns, seq, {', '.join(f'round({c} + {NUDGE}, 6) AS {c}' for c in ('momentum', 'vwm', 'atr', 'prev_vwm'))},
     coalesce(prev_vwm <= 0 AND vwm > 0, false) AS bull_setup, coalesce(prev_vwm >= 0 AND vwm < 0, false) AS bear_setup FROM s"""

@@ -64,7 +64,7 @@ ORACLES["src_parquet_trades"] = f"{TR} SELECT instrument_id, event_time_ns, seq,
 def _csv(s, d, bad: bool):
     path = place(s)
     b = V.bars(s, d)
-    text = b.select("instrument_id", (F.col("event_time_ns") / 10**6).cast("long").alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.when(F.col("event_time_ns") / HOUR % 10 == 3, "n/a").otherwise(F.col("close").cast("string")).alias("c"), F.col("volume").alias("v"))
+    text = b.select("instrument_id", idiv("event_time_ns", 10**6).alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.when(idiv("event_time_ns", HOUR) % 10 == 3, "n/a").otherwise(F.col("close").cast("string")).alias("c"), F.col("volume").alias("v"))
     text.write.option("header", True).csv(path)
     names = {"instrument_id": "instrument_id", "time": "t", "open": "o", "high": "h", "low": "l", "close": "c", "volume": "v"}
     return S.read_csv_bars(s, path, names)[bad]
@@ -76,27 +76,35 @@ QUERIES["src_csv_quarantine"] = lambda s, d: _csv(s, d, True).groupBy("instrumen
 ORACLES["src_csv_quarantine"] = f"{BASE} SELECT instrument_id, count(*) AS n FROM v_bars WHERE event_time_ns // {HOUR} % 10 = 3 GROUP BY 1"
 
 
+def _archives(df, key, path, kind):
+    """One folder for each symbol, named like an exchange's archives."""
+    named = df.withColumn("archive", F.concat(F.col(key), F.lit(f"-{kind}-2024-01.csv"))).drop(key)
+    named.repartition("archive").write.partitionBy("archive").csv(path)
+
+
 def _klines(s, d):
     path = place(s)
-    b = V.bars(s, d).where("instrument_id = 'I1'")
-    unit = F.when(F.col("event_time_ns") / HOUR % 2 == 0, 10**6).otherwise(10**3)  # milliseconds and microseconds mixed
-    rows = b.select((F.col("event_time_ns") / unit).cast("long").alias("t"), "open", "high", "low", "close", "volume", (F.col("event_time_ns") / 10**6).cast("long").alias("e"), "quote_volume", "trade_count", "taker_buy_volume", "taker_buy_quote_volume", F.lit("0").alias("i"))
-    rows.write.csv(path)
-    return shown(S.read_klines(s, path, "I1")[0])
+    b = V.bars(s, d)
+    hour = idiv("event_time_ns", HOUR)
+    at = F.when(hour % 2 == 0, idiv("event_time_ns", 10**6)).otherwise(idiv("event_time_ns", 1000))  # milliseconds and microseconds mixed
+    rows = b.select("instrument_id", at.alias("t"), "open", "high", "low", "close", "volume", idiv("event_time_ns", 10**6).alias("e"), "quote_volume", "trade_count", "taker_buy_volume", "taker_buy_quote_volume", F.lit("0").alias("i"))
+    _archives(rows, "instrument_id", path, "1h")
+    return shown(S.read_klines(s, path)[0])
 
 
 QUERIES["src_exchange_klines"] = _klines
-ORACLES["src_exchange_klines"] = f"{BASE} {_bars_sql} WHERE instrument_id = 'I1'"
+ORACLES["src_exchange_klines"] = f"{BASE} {_bars_sql}"
 
 
 def _agg(s, d):
     path = place(s)
-    V.trades(s, d).where("instrument_id = 'I2'").select("seq", "price", "quantity", F.col("seq").alias("a"), F.col("seq").alias("b"), idiv("event_time_ns", 1000).alias("t"), (F.col("side") == "SELL").alias("m")).write.csv(path)
-    return S.read_agg_trades(s, path, "I2").select(*KEYS, rnd("price"), rnd("quantity"), rnd("quote_quantity"), "side")
+    rows = V.trades(s, d).select("instrument_id", "seq", "price", "quantity", F.col("seq").alias("a"), F.col("seq").alias("b"), idiv("event_time_ns", 1000).alias("t"), (F.col("side") == "SELL").alias("m"))
+    _archives(rows, "instrument_id", path, "aggTrades")
+    return S.read_agg_trades(s, path).select(*KEYS, rnd("price"), rnd("quantity"), rnd("quote_quantity"), "side")
 
 
 QUERIES["src_exchange_aggtrades"] = _agg
-ORACLES["src_exchange_aggtrades"] = f"{TR} SELECT instrument_id, event_time_ns, seq, {rs('price')}, {rs('quantity')}, {rs('price * quantity', 'quote_quantity')}, side FROM v_trades WHERE instrument_id = 'I2'"
+ORACLES["src_exchange_aggtrades"] = f"{TR} SELECT instrument_id, event_time_ns, seq, {rs('price')}, {rs('quantity')}, {rs('price * quantity', 'quote_quantity')}, side FROM v_trades"
 QUERIES["src_generic_ticks"] = lambda s, d: S.generic(V.trades(s, d).select(F.col("instrument_id").alias("ticker"), F.col("event_time_ns").alias("ts_event"), F.col("price").alias("last"), F.col("quantity").alias("qty"))).select("instrument_id", "event_time_ns", rnd("price"), rnd("quantity"))
 ORACLES["src_generic_ticks"] = f"{TR} SELECT instrument_id, event_time_ns, {rs('price')}, {rs('quantity')} FROM v_trades"
 
@@ -112,19 +120,39 @@ ORACLES["src_fixed_point_quotes"] = f"WITH {V.sql('v_quotes')} SELECT instrument
 
 
 def _infer(s, d):
-    """What kind of data each table of the folder holds, by its columns."""
-    cols = {n: V.table(s, d, n).columns for n in ("events", "orders", "lineitem")} | {"bars": V.bars(s, d).columns, "quotes": V.quotes(s, d).columns}
-    rows = [(n, found["time"], found["kind"]) for n, c in cols.items() for found in [S.infer(c)]]
-    return s.createDataFrame(rows, "name string, time string, kind string")
+    """What kind of data files hold, by their columns, rows and paths: bars of two sizes, trades
+    and quotes under foreign names, and tables without a time."""
+    path = place(s)
+    made = {
+        "bars-1h": V.bars(s, d).select(F.col("instrument_id").alias("ticker"), F.col("event_time_ns").alias("ts_event"), *OHLCV),
+        "bars-1d": V.bars(s, d, DAY).select(F.col("instrument_id").alias("ticker"), F.col("event_time_ns").alias("ts_event"), *OHLCV),
+        "ticks": V.trades(s, d).select(F.col("instrument_id").alias("symbol"), F.col("event_time_ns").alias("ts_event"), "price", "quantity"),
+        "quotes": V.quotes(s, d).select("instrument_id", "event_time_ns", "bid_price", "ask_price"),
+        "orders": V.table(s, d, "orders").select("o_orderkey", "o_totalprice"),
+    }
+    found = []
+    for name, df in made.items():
+        df.write.parquet(f"{path}/{name}/data")
+        files = S.inventory(s.read.parquet(f"{path}/{name}/data"))
+        found.append(files.groupBy("kind", "timeframe").agg(F.sum("rows").alias("rows"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns")).withColumn("name", F.lit(name)))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("name", "kind", "timeframe", "rows", "first_ns", "last_ns")
 
 
 QUERIES["src_schema_infer"] = _infer
-ORACLES["src_schema_infer"] = "SELECT * FROM (VALUES ('events', 'ts', NULL), ('orders', NULL, NULL), ('lineitem', NULL, NULL), ('bars', 'event_time_ns', 'bar'), ('quotes', 'event_time_ns', 'quote')) t(name, time, kind)"
+ORACLES["src_schema_infer"] = f"""{BASE}, v_day AS (SELECT DISTINCT instrument_id, event_time_ns // {DAY} * {DAY} AS t FROM v_trades)
+  SELECT 'bars-1h' AS name, 'bar' AS kind, '1h' AS timeframe, count(*) AS rows, min(event_time_ns) AS first_ns, max(event_time_ns) AS last_ns FROM v_bars
+  UNION ALL SELECT 'bars-1d', 'bar', '1d', count(*), min(t), max(t) FROM v_day
+  UNION ALL SELECT 'ticks', 'trade', NULL, count(*), min(event_time_ns), max(event_time_ns) FROM v_trades
+  UNION ALL SELECT 'quotes', 'quote', NULL, count(*), min(event_time_ns), max(event_time_ns) FROM v_trades
+  UNION ALL SELECT 'orders', NULL, NULL, count(*), NULL, NULL FROM orders"""
 
 
 def _twice(s, d):
     b = V.bars(s, d).withColumn("arrival", F.lit(0))
-    again = b.where(F.col("event_time_ns") / HOUR % 5 == 0).withColumns({"close": F.col("high"), "arrival": F.lit(1)})
+    again = b.where(idiv("event_time_ns", HOUR) % 5 == 0).withColumns({"close": F.col("high"), "arrival": F.lit(1)})
     return b.unionByName(again)
 
 
@@ -135,11 +163,11 @@ ORACLES["normalize_bars"] = f"{BASE} SELECT instrument_id, event_time_ns, seq, {
 def _instr(s, d):
     p = V.table(s, d, "part")
     dump = p.select(F.to_json(F.struct(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_type").alias("type"), F.struct((F.col("p_size") / 100).alias("price"), F.lit(0.1).alias("amount")).alias("precision"), F.struct(F.struct(F.lit(1.0).alias("min"), F.col("p_retailprice").alias("max")).alias("amount")).alias("limits"))).alias("json"), "p_partkey")
-    return S.instruments(dump.where("p_partkey % 3 = 0").select("json")).groupBy("market_type").agg(F.count("*").alias("n"), F.round(F.max("tick_size"), 4).alias("tick_size"))
+    return S.instruments(dump.select("json")).groupBy("market_type").agg(F.count("*").alias("n"), F.round(F.max("tick_size"), 4).alias("tick_size"))
 
 
 QUERIES["instr_dimension"] = _instr
-ORACLES["instr_dimension"] = "WITH f AS (SELECT * FROM part WHERE p_partkey % 3 = 0) SELECT p_type AS market_type, count(*) AS n, round(max(p_size / 100), 4) AS tick_size FROM f GROUP BY 1"
+ORACLES["instr_dimension"] = "SELECT p_type AS market_type, count(*) AS n, round(max(p_size / 100), 4) AS tick_size FROM part GROUP BY 1"
 _A, _B = 1704500000 * 10**9, 1705500000 * 10**9
 QUERIES["catalog_query"] = lambda s, d: A.query(V.trades(s, d), ["I0", "I5"], _A, _B, "price > 120").select(*KEYS, rnd("price"))
 ORACLES["catalog_query"] = f"{TR} SELECT instrument_id, event_time_ns, seq, {rs('price')} FROM v_trades WHERE instrument_id IN ('I0', 'I5') AND event_time_ns BETWEEN {_A} AND {_B} AND price > 120"

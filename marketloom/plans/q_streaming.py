@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from marketloom.functions.ints import idiv
@@ -19,15 +17,23 @@ TR = f"WITH {V.sql('v_trades')}"
 rnd = lambda c: F.round(F.col(c) + NUDGE, 6).alias(c)
 
 
-def _stored(s, d, parts: int = 4):
-    """Trades in files written one after the other in time, as a replay reads them by age."""
+#: Files of one part of a replay; a micro-batch reads as many.
+FILES = 4
+
+
+def _parts(s, rows, conditions):
+    """Rows in files written one part after the other, as a replay reads them by age."""
     path = place(s)
+    for c in conditions:
+        rows.where(c).repartition(FILES).write.mode("append").parquet(path)
+    return path, rows.schema, FILES
+
+
+def _stored(s, d, parts: int = 4):
     t = V.trades(s, d)
     first, last = t.agg(F.min("event_time_ns"), F.max("event_time_ns")).first()
     cuts = [first + (last + 1 - first) * k // parts for k in range(parts + 1)]
-    for a, b in zip(cuts, cuts[1:]):
-        t.where((F.col("event_time_ns") >= a) & (F.col("event_time_ns") < b)).coalesce(1).write.mode("append").parquet(path)
-    return path, t.schema
+    return _parts(s, t, [(F.col("event_time_ns") >= a) & (F.col("event_time_ns") < b) for a, b in zip(cuts, cuts[1:])])
 
 
 def _state_store(s):
@@ -46,10 +52,10 @@ ORACLES["stream_source_replay"] = f"{TR} SELECT instrument_id, event_time_ns, se
 
 
 def _bars(s, d):
-    out = S.bars(S.replay(s, *_stored(s, d)), "1 hour", None)
+    out = place(s)
     _state_store(s)
-    name = f"bars_{uuid.uuid4().hex}"
-    return S.run_to_table(out, name, place(s), "complete").select("instrument_id", "event_time_ns", *map(rnd, ("open", "high", "low", "close", "volume")))
+    S.run_to_snapshot(S.bars(S.replay(s, *_stored(s, d)), "1 hour", None), out, place(s))
+    return s.read.parquet(out).select("instrument_id", "event_time_ns", *map(rnd, ("open", "high", "low", "close", "volume")))
 
 
 QUERIES["stream_bars"] = _bars
@@ -65,12 +71,25 @@ def _final(s, d):
 
 QUERIES["stream_window_finalize"] = _final
 ORACLES["stream_window_finalize"] = f"{TR}, e AS (SELECT max(event_time_ns) AS m FROM v_trades) SELECT instrument_id, event_time_ns // {HOUR} * {HOUR} AS event_time_ns, {ohlcv_sql('quantity')} FROM v_trades, e WHERE event_time_ns // {HOUR} * {HOUR} + {3 * HOUR} < m GROUP BY 1, 2"
-QUERIES["stream_watermark"], ORACLES["stream_watermark"] = QUERIES["stream_window_finalize"], ORACLES["stream_window_finalize"]
+CUT = 1705500000 * 10**9
+
+
+def _watermark(s, d):
+    """Two sources of each instrument: one sends its newer half first, the other comes in order."""
+    t = V.trades(s, d).withColumn("kind", F.lit("trade")).withColumnRenamed("side", "source")
+    early = (F.col("source") == "BUY") == (F.col("event_time_ns") >= CUT)
+    out = _files(s, S.watermarks(S.replay(s, *_parts(s, t, [early, ~early]))))
+    return out.groupBy(*S.STREAM).agg(F.count("*").alias("n"), F.sum(F.col("is_late").cast("long")).alias("late"), F.max("watermark_ns").alias("watermark_ns"))
+
+
+QUERIES["stream_watermark"] = _watermark
+ORACLES["stream_watermark"] = f"""{TR}, a AS (SELECT *, CASE WHEN (side = 'BUY') = (event_time_ns >= {CUT}) THEN 0 ELSE 1 END AS part FROM v_trades),
+  w AS (SELECT *, max(event_time_ns) OVER (PARTITION BY instrument_id, side ORDER BY part, event_time_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM a)
+  SELECT instrument_id, 'trade' AS kind, side AS source, count(*) AS n, sum(CASE WHEN event_time_ns < high - 60000000000 THEN 1 ELSE 0 END) AS late, max(event_time_ns) - 60000000000 AS watermark_ns FROM w GROUP BY 1, 2, 3"""
 
 
 def _dedup(s, d):
-    path, kind = _stored(s, d)
-    t = S.replay(s, path, kind)
+    t = S.replay(s, *_stored(s, d))
     twice = t.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return _files(s, S.dedup(twice, ["instrument_id", "seq"])).select(*KEYS, rnd("price"))
 
@@ -98,26 +117,47 @@ _ema = "r.e + (2.0::DOUBLE / 11) * (n.price - r.e)"
 ORACLES["stream_features"] = f"""WITH RECURSIVE {V.sql('v_trades')}, n AS (SELECT *, row_number() OVER ({LINE}) AS k, avg(price) OVER ({LINE} ROWS 4 PRECEDING) AS m FROM v_trades),
   r AS (SELECT instrument_id, k, price AS e FROM n WHERE k = 1 UNION ALL SELECT n.instrument_id, n.k, {_ema} FROM r JOIN n ON n.instrument_id = r.instrument_id AND n.k = r.k + 1)
   SELECT n.instrument_id, event_time_ns, seq, round(price + {NUDGE}, 6) AS price, round(e + {NUDGE}, 6) AS ema, CASE WHEN n.k >= 5 THEN round(m + {NUDGE}, 6) END AS mean_5, n.k >= 5 AS is_ready, false AS is_late FROM n JOIN r ON n.instrument_id = r.instrument_id AND n.k = r.k"""
-QUERIES["stream_stateful_containers"], ORACLES["stream_stateful_containers"] = QUERIES["stream_features"], ORACLES["stream_features"]
+
+
+def _containers(s, d):
+    out = _files(s, S.containers(S.replay(s, *_stored(s, d))))
+    return out.select(*KEYS, rnd("ema"), *(F.when(F.col("n") >= 5, F.round(F.col(c) + NUDGE, 6)).alias(c) for c in ("mean_k", "std_k")), rnd("span_sum"), rnd("span_vwap"), "n")
+
+
+QUERIES["stream_stateful_containers"] = _containers
+_span = f"OVER (PARTITION BY instrument_id ORDER BY event_time_ns RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW)"
+ORACLES["stream_stateful_containers"] = f"""WITH RECURSIVE {V.sql('v_trades')}, n AS (SELECT *, row_number() OVER ({LINE}) AS k, avg(price) OVER ({LINE} ROWS 4 PRECEDING) AS m, stddev_samp(price) OVER ({LINE} ROWS 4 PRECEDING) AS sd,
+    sum(price) {_span} AS total, sum(price * quantity) {_span} AS money, sum(quantity) {_span} AS volume FROM v_trades),
+  r AS (SELECT instrument_id, k, price AS e FROM n WHERE k = 1 UNION ALL SELECT n.instrument_id, n.k, {_ema} FROM r JOIN n ON n.instrument_id = r.instrument_id AND n.k = r.k + 1)
+  SELECT n.instrument_id, event_time_ns, seq, round(e + {NUDGE}, 6) AS ema, CASE WHEN n.k >= 5 THEN round(m + {NUDGE}, 6) END AS mean_k, CASE WHEN n.k >= 5 THEN round(sd + {NUDGE}, 6) END AS std_k,
+    round(total + {NUDGE}, 6) AS span_sum, CASE WHEN volume > 0 THEN round(money / volume + {NUDGE}, 6) END AS span_vwap, n.k AS n FROM n JOIN r ON n.instrument_id = r.instrument_id AND n.k = r.k"""
+WINDOW = 12 * 24 * HOUR
 
 
 def _late(s, d):
-    """The newest file first: all later files hold late events, which are dropped."""
-    path = place(s)
-    t = V.trades(s, d)
-    for k, sign in enumerate((">=", "<")):
-        t.where(f"event_time_ns {sign} 1705500000000000000").coalesce(1).write.mode("append").parquet(f"{path}/p={k}")
-    rows = [s.read.parquet(f"{path}/p={k}") for k in (0, 1)]
-    flat = place(s)
-    for r in rows:  # written in this order, so read in this order
-        r.coalesce(1).write.mode("append").parquet(flat)
-    return _files(s, S.features(S.replay(s, flat, t.schema), policy="drop")).select(*KEYS, rnd("price"), rnd("ema"))
+    """The newer trades first, so that all others come late, under each policy: rows that come
+    out, late ones among them, events used, and the mean after the last of these."""
+    newer = F.col("event_time_ns") >= CUT
+    stored = _parts(s, V.trades(s, d), [newer, ~newer])
+    out = None
+    for policy, live in [(p, False) for p in S.POLICIES] + [("recompute_for_backtest_only", True)]:
+        rows = _files(s, S.features(S.replay(s, *stored), policy=policy, window_ns=WINDOW, live=live)).withColumn("policy", F.lit(policy + "_live" * live))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("policy", "instrument_id").agg(
+        F.count("*").alias("n_rows"), F.sum(F.col("is_late").cast("long")).alias("late"), F.max("n").alias("used"), F.round(F.max_by("ema", "n") + NUDGE, 6).alias("ema")
+    )
 
 
 QUERIES["stream_late_policy"] = _late
-ORACLES["stream_late_policy"] = f"""WITH RECURSIVE {V.sql('v_trades')}, n AS (SELECT *, row_number() OVER ({LINE}) AS k FROM v_trades WHERE event_time_ns >= 1705500000000000000),
-  r AS (SELECT instrument_id, k, price AS e FROM n WHERE k = 1 UNION ALL SELECT n.instrument_id, n.k, {_ema} FROM r JOIN n ON n.instrument_id = r.instrument_id AND n.k = r.k + 1)
-  SELECT n.instrument_id, event_time_ns, seq, round(price + {NUDGE}, 6) AS price, round(e + {NUDGE}, 6) AS ema FROM n JOIN r ON n.instrument_id = r.instrument_id AND n.k = r.k"""
+ORACLES["stream_late_policy"] = f"""WITH RECURSIVE {V.sql('v_trades')}, a AS (SELECT *, event_time_ns < {CUT} AS older, max(event_time_ns) OVER (PARTITION BY instrument_id) AS high FROM v_trades),
+  p AS (SELECT unnest(['drop', 'log_only', 'update_if_not_finalized', 'recompute_for_backtest_only', 'recompute_for_backtest_only_live']) AS policy),
+  used AS (SELECT policy, instrument_id, older, price, row_number() OVER (PARTITION BY policy, instrument_id ORDER BY older, event_time_ns, seq) AS k FROM a, p
+    WHERE NOT older OR policy = 'recompute_for_backtest_only' OR (policy = 'update_if_not_finalized' AND event_time_ns > high - {WINDOW})),
+  r AS (SELECT policy, instrument_id, k, price AS e FROM used WHERE k = 1 UNION ALL SELECT n.policy, n.instrument_id, n.k, r.e + (2.0::DOUBLE / 11) * (n.price - r.e) FROM r JOIN used n ON n.policy = r.policy AND n.instrument_id = r.instrument_id AND n.k = r.k + 1),
+  u AS (SELECT policy, instrument_id, count(*) AS used, sum(CASE WHEN older THEN 1 ELSE 0 END) AS late FROM used GROUP BY 1, 2),
+  l AS (SELECT instrument_id, count(*) AS n_old FROM a WHERE older GROUP BY 1)
+  SELECT u.policy, u.instrument_id, used + CASE WHEN u.policy = 'log_only' THEN coalesce(n_old, 0) ELSE 0 END AS n_rows, late + CASE WHEN u.policy = 'log_only' THEN coalesce(n_old, 0) ELSE 0 END AS late, used, round(e + {NUDGE}, 6) AS ema
+  FROM u JOIN r ON r.policy = u.policy AND r.instrument_id = u.instrument_id AND r.k = u.used LEFT JOIN l ON l.instrument_id = u.instrument_id"""
 
 
 def _parity(s, d):

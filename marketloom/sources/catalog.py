@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -75,10 +74,10 @@ def ingest_plan(symbols: DataFrame, start: str, end: str, present: DataFrame, mo
 # Manifests
 
 
-def params_hash(params: dict) -> str:
-    import hashlib
-
-    return hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()[:16]
+def params_digest(params: dict) -> Column:
+    """16 hex digits that name a set of parameters, whatever their order."""
+    pairs = (F.concat_ws("=", F.lit(str(k)), F.lit(repr(params[k]))) for k in sorted(params))
+    return F.substring(F.sha2(F.concat_ws("\n", *pairs), 256), 1, 16)
 
 
 def manifest_rows(df: DataFrame, partition: list[str], feature: str, version: int, params: dict, source: str) -> DataFrame:
@@ -86,7 +85,7 @@ def manifest_rows(df: DataFrame, partition: list[str], feature: str, version: in
     key = F.concat_ws("/", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in partition))
     return df.groupBy(key.alias("partition_key")).agg(
         F.count("*").alias("row_count"), F.min("event_time_ns").alias("start_ts"), F.max("event_time_ns").alias("end_ts"), F.bit_xor(F.xxhash64(KEY, "event_time_ns")).alias("checksum")
-    ).select("partition_key", F.lit(feature).alias("feature_name"), F.lit(version).alias("version"), F.lit(params_hash(params)).alias("params_hash"), "row_count", "start_ts", "end_ts", "checksum", F.lit(source).alias("source"))
+    ).select("partition_key", F.lit(feature).alias("feature_name"), F.lit(version).alias("version"), params_digest(params).alias("params_hash"), "row_count", "start_ts", "end_ts", "checksum", F.lit(source).alias("source"))
 
 
 def overlapping(manifest: DataFrame, start: int, end: int) -> DataFrame:

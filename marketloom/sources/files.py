@@ -125,23 +125,40 @@ def read_csv_bars(spark: SparkSession, path: str, mapping: dict[str, str], unit:
     return out.where(~bad).drop("raw"), out.where(bad).select(KEY, "raw")
 
 
+def symbol_of(path: Column) -> Column:
+    """The symbol in an archive's name, such as I1-1h-2024-01.csv (or in a folder of that name)."""
+    return F.regexp_extract(path, r"(?:^|[/=])([A-Z0-9]+)-(?:\d+[mhdw]|aggTrades)(?=[-./])", 1)
+
+
 def read_klines(spark: SparkSession, path: str, symbol: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Kline archives (no header): bars, and rows whose high is below their low."""
-    raw = spark.read.schema(KLINE).csv(path).where("open_time is not null")
-    name = F.lit(symbol) if symbol else F.regexp_extract(F.input_file_name(), r"([A-Z0-9]+)-\d+[mhdw]", 1)
+    """Kline archives (no header) of one symbol, or of all symbols by their names: bars, and rows
+    whose high is below their low."""
+    raw = spark.read.option("recursiveFileLookup", True).schema(KLINE).csv(path).where("open_time is not null")
+    name = F.lit(symbol) if symbol else symbol_of(F.col("_metadata.file_path"))
     bars = raw.select(name.alias(KEY), auto_ns(F.col("open_time")).alias("event_time_ns"), F.lit(0).cast("long").alias("seq"), *(c for c in raw.columns if c not in ("open_time", "close_time", "ignore")))
     return bars.where("high >= low"), bars.where("high < low")
 
 
-def read_agg_trades(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    """Aggregated-trade archives (no header) as trades."""
-    raw = spark.read.schema(AGG_TRADE).csv(path).where("time is not null")
+def read_agg_trades(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+    """Aggregated-trade archives (no header) of one symbol, or of all by their names, as trades."""
+    raw = spark.read.option("recursiveFileLookup", True).schema(AGG_TRADE).csv(path).where("time is not null")
+    name = F.lit(symbol) if symbol else symbol_of(F.col("_metadata.file_path"))
     return raw.select(
-        F.lit(symbol).alias(KEY), auto_ns(F.col("time")).alias("event_time_ns"), F.col("agg_trade_id").alias("seq"), "price", "quantity",
+        name.alias(KEY), auto_ns(F.col("time")).alias("event_time_ns"), F.col("agg_trade_id").alias("seq"), "price", "quantity",
         (F.col("price") * F.col("quantity")).alias("quote_quantity"), F.when(F.col("is_buyer_maker"), "SELL").otherwise("BUY").alias("side"), "is_buyer_maker",
     )
 
 
+def inventory(df: DataFrame) -> DataFrame:
+    """What is found in each file of a table: its folder's name, rows, kind of data and first and
+    last time by the inferred columns, and the bar size in its path."""
+    found = infer(df.columns)
+    at = time_ns(df) if found["time"] else F.lit(None).cast("long")
+    rows = df.select(F.col("_metadata.file_path").alias("file"), at.alias("t"))
+    out = rows.groupBy("file").agg(F.count("*").alias("rows"), F.min("t").alias("first_ns"), F.max("t").alias("last_ns"))
+    return out.withColumns({"kind": F.lit(found["kind"]), "timeframe": timeframe(F.col("file"))})
+
+
 def generic(df: DataFrame, symbol: str = "UNKNOWN") -> DataFrame:
     """A foreign bar or tick table in our layout, by inferred columns."""
     found = infer(df.columns)
@@ -181,7 +198,7 @@ def decode_fixed(df: DataFrame, columns: list[str], scale: int) -> DataFrame:
 
 def normalize(bars: DataFrame, arrival: str) -> DataFrame:
     """One row for each instrument and time: the one that arrived last."""
-    last = Window.partitionBy(KEY, "event_time_ns").orderBy(F.desc(arrival))
+    last = Window.partitionBy(KEY, "event_time_ns").orderBy(F.desc(arrival), F.xxhash64(*bars.columns))
     return bars.withColumn("n_", F.row_number().over(last)).where("n_ = 1").drop("n_")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,38 +61,48 @@ def dedup(events: DataFrame, keys: list[str], lateness: str = "10 minutes") -> D
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
 
 
-FEATURES = "instrument_id string, event_time_ns long, seq long, price double, ema double, mean_5 double, is_ready boolean, is_late boolean"
+FEATURES = "instrument_id string, event_time_ns long, seq long, price double, ema double, mean_5 double, is_ready boolean, is_late boolean, n long"
 _STATE = "ema double, high_ns long, n long, tail array<double>"
 
 
-def step(state: tuple | None, t: int, x: float, alpha: float, k: int, lateness_ns: int, policy: str) -> tuple[tuple, tuple | None]:
+def is_used(late: bool, t: int, high: int | None, window_ns: int, policy: str, live: bool) -> bool:
+    """Whether an event changes the state: late ones by policy. drop and log_only use none,
+    update_if_not_finalized those still inside the window before the latest time, and
+    recompute_for_backtest_only all of them, but none in a live run."""
+    if not late:
+        return True
+    if policy == "update_if_not_finalized":
+        return t > high - window_ns
+    return policy == "recompute_for_backtest_only" and not live
+
+
+def step(state: tuple | None, t: int, x: float, alpha: float, k: int, lateness_ns: int, policy: str, window_ns: int = 3600 * 10**9, live: bool = False) -> tuple[tuple, tuple | None]:
     """One event: the new state, and what to emit for it.
 
     state: exponential mean, the latest time seen, events counted, and the last k prices. An event
-    is late if it is older than the latest time less the lateness of this instrument alone.
+    is late if it is older than the latest time less the lateness of this instrument alone. A late
+    event that isn't used gives no row, or under log_only one with the state as it is.
     """
     if state is None:
         state = (None, None, 0, [])
     ema, high, n, tail = state
     late = high is not None and t < high - lateness_ns
-    if late and policy == "drop":
-        return state, None
-    if late and policy == "log_only":
-        return state, (ema, None, n >= k, True)
+    if not is_used(late, t, high, window_ns, policy, live):
+        return state, (ema, None, n >= k, True, n) if policy == "log_only" else None
     ema = x if ema is None else ema + alpha * (x - ema)
     tail = [*tail, x][-k:]
     n += 1
     high = t if high is None else max(high, t)
-    return (ema, high, n, tail), (ema, sum(tail) / k if len(tail) == k else None, n >= k, late)
+    return (ema, high, n, tail), (ema, sum(tail) / k if len(tail) == k else None, n >= k, late, n)
 
 
 class FeatureProcessor(StatefulProcessor):
     """Keeps each instrument's state between micro-batches, in the query's checkpoint."""
 
-    def __init__(self, alpha: float, k: int, lateness_ns: int, policy: str):
+    def __init__(self, alpha: float, k: int, lateness_ns: int, policy: str, window_ns: int, live: bool):
         if policy not in POLICIES:
             raise ValueError(f"unknown late policy {policy!r}")
-        self.args = alpha, k, lateness_ns, policy
+        self.args = alpha, k, lateness_ns, policy, window_ns, live
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("features", _STATE)
@@ -112,18 +123,104 @@ class FeatureProcessor(StatefulProcessor):
         pass
 
 
-def features(trades: DataFrame, alpha: float = 2 / 11, k: int = 5, lateness_ns: int = 60 * 10**9, policy: str = "update_if_not_finalized") -> DataFrame:
+def features(trades: DataFrame, alpha: float = 2 / 11, k: int = 5, lateness_ns: int = 60 * 10**9, policy: str = "update_if_not_finalized", window_ns: int = 3600 * 10**9, live: bool = False) -> DataFrame:
     """Per-instrument exponential and rolling means over a stream of trades, with late events by
-    policy: drop, log_only, or used (update_if_not_finalized, recompute_for_backtest_only)."""
+    policy (`is_used`)."""
     rows = trades.select(KEY, "event_time_ns", "seq", "price")
-    return rows.groupBy(KEY).transformWithStateInPandas(FeatureProcessor(alpha, k, lateness_ns, policy), FEATURES, "append", "none")
+    return rows.groupBy(KEY).transformWithStateInPandas(FeatureProcessor(alpha, k, lateness_ns, policy, window_ns, live), FEATURES, "append", "none")
+
+
+STREAM = (KEY, "kind", "source")
+MARKS = "instrument_id string, kind string, source string, event_time_ns long, seq long, watermark_ns long, is_late boolean"
+
+
+class WatermarkProcessor(StatefulProcessor):
+    """Keeps the latest time of each stream of events."""
+
+    def __init__(self, lateness_ns: int):
+        self.lateness_ns = lateness_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("latest", "high_ns long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        table = pd.concat(list(rows)).sort_values(["event_time_ns", "seq"], kind="stable")
+        at = table["event_time_ns"].to_numpy(np.int64)
+        before = self.value.get()[0] if self.value.exists() else None
+        high = np.maximum.accumulate(at if before is None else np.maximum(at, before))
+        earlier = np.concatenate(([at[0] if before is None else before], high[:-1]))
+        self.value.update((int(high[-1]),))
+        made = {"event_time_ns": at, "seq": table["seq"].to_numpy(np.int64), "watermark_ns": high - self.lateness_ns, "is_late": at < earlier - self.lateness_ns}
+        yield pd.DataFrame(dict(zip(STREAM, key)) | made)
+
+    def close(self) -> None:
+        pass
+
+
+def watermarks(events: DataFrame, lateness_ns: int = 60 * 10**9) -> DataFrame:
+    """Each event of the streams (instrument, kind, source) with its stream's watermark after it
+    and whether it came late. A fast stream doesn't make the events of a slow one late."""
+    rows = events.select(*STREAM, "event_time_ns", "seq")
+    return rows.groupBy(*STREAM).transformWithStateInPandas(WatermarkProcessor(lateness_ns), MARKS, "append", "none")
+
+
+CONTAINERS = "instrument_id string, event_time_ns long, seq long, ema double, mean_k double, std_k double, span_sum double, span_vwap double, n long"
+_HELD = "ema double, n long, tail array<double>, times array<bigint>, prices array<double>, sizes array<double>"
+
+
+class ContainerProcessor(StatefulProcessor):
+    """Keeps, for each instrument, an exponential mean, the last k prices, and the prices and sizes
+    of a time span; Spark saves them with the query's checkpoint and restores them from it."""
+
+    def __init__(self, alpha: float, k: int, span_ns: int):
+        self.alpha, self.k, self.span_ns = alpha, k, span_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("containers", _HELD)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ema, n, tail, times, prices, sizes = self.value.get() if self.value.exists() else (None, 0, [], [], [], [])
+        table = pd.concat(list(rows)).sort_values(["event_time_ns", "seq"], kind="stable")
+        at, price, size = (np.concatenate((np.array(list(held), kind), table[c].to_numpy(kind))) for held, c, kind in ((times, "event_time_ns", np.int64), (prices, "price", float), (sizes, "quantity", float)))
+        size = np.nan_to_num(size)
+        new, old = len(table), len(at) - len(table)
+        # spans: rows after (t - span, t], by running sums over what is held and what is new
+        first = np.searchsorted(at, at - self.span_ns, side="right")
+        total = lambda x: (np.concatenate(([0.0], np.cumsum(x)))[np.arange(1, len(x) + 1)] - np.concatenate(([0.0], np.cumsum(x)))[first])[old:]
+        span_sum, volume, money = total(price), total(size), total(price * size)
+        last = np.concatenate((np.array(list(tail), float), price[old:]))
+        frames = pd.Series(last).rolling(self.k)
+        mean, std = frames.mean().to_numpy()[-new:], frames.std().to_numpy()[-new:]
+        means = []
+        for x in price[old:].tolist():
+            ema = x if ema is None else ema + self.alpha * (x - ema)
+            means.append(ema)
+        keep = first[-1]
+        self.value.update((ema, n + new, last[-(self.k - 1) :].tolist() if self.k > 1 else [], at[keep:].tolist(), price[keep:].tolist(), size[keep:].tolist()))
+        yield pd.DataFrame({
+            KEY: key[0], "event_time_ns": at[old:], "seq": table["seq"].to_numpy(np.int64), "ema": means, "mean_k": mean, "std_k": std, "span_sum": span_sum,
+            "span_vwap": np.divide(money, volume, out=np.full(new, np.nan), where=volume > 0), "n": np.arange(n + 1, n + new + 1),
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def containers(trades: DataFrame, alpha: float = 2 / 11, k: int = 5, span_ns: int = 3600 * 10**9) -> DataFrame:
+    """Exponential mean, mean and sample deviation of the last k prices, and the sum of prices and
+    the volume-weighted price over (t - span, t], after each trade of a stream in time order."""
+    rows = trades.select(KEY, "event_time_ns", "seq", "price", "quantity")
+    return rows.groupBy(KEY).transformWithStateInPandas(ContainerProcessor(alpha, k, span_ns), CONTAINERS, "append", "none")
+
+
+def run_to_snapshot(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run an aggregation over all that is there; each micro-batch replaces the whole result at
+    path, which executors write."""
 
+    def replace(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into an in-memory table (for tests and small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    stream.writeStream.foreachBatch(replace).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:

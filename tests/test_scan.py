@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.features import Registry
 from marketloom.functions.ints import idiv
-from marketloom.operators import bars, indicators, joins, labels, scan
+from marketloom.operators import bars, indicators, joins, labels, ml, scan
 from marketloom.schemas import DAY, HOUR
 
 KEYS = "instrument_id string, event_time_ns long, seq long"
@@ -107,3 +107,71 @@ def test_empty_inputs(spark):
     assert bars.signed_bars(empty, 2.0).count() == 0
     assert joins.concat({"a": empty, "b": empty}).count() == 0
     assert indicators.macd(bars.time_bars(empty, HOUR)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Ticks of which some come two or three times, equal in time and number."""
+    rows = [("A", k // 2, 0, 100.0 + k // 2 % 5, 1.0 + k % 3 // 2, "BUY" if k // 2 % 3 else "SELL") for k in range(40)] + [("A", 7, 0, 102.0, 2.0, "BUY")] * 3 + [("B", 1, 1, 5.0, 1.0, "BUY")]
+    return spark.createDataFrame(rows, KEYS + ", price double, quantity double, side string").repartition(3).cache()
+
+
+def test_repeated_ticks_count_as_often_as_they_come(repeated):
+    total = repeated.groupBy("instrument_id").agg(F.count("*").alias("n"), F.sum("quantity").alias("q")).collect()
+    for kind in ("tick", "volume", "value"):
+        for runs in (False, True):
+            got = bars.signed_bars(repeated, 3.0, kind, runs).groupBy("instrument_id").agg(F.sum("tick_count").alias("n"), F.sum("volume").alias("q")).collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, total)), (kind, runs)
+    for made in (bars.tick_bars(repeated, 4), bars.amount_bars(repeated, 3.0)):
+        assert {r[0]: r[1] for r in made.groupBy("instrument_id").agg(F.sum("volume")).collect()} == pytest.approx({r[0]: r[2] for r in total})
+
+
+def test_scans_of_repeated_rows(repeated):
+    n = repeated.count()
+    numbered = scan.numbered(repeated).toPandas()
+    assert all(sorted(g.ord_) == list(range(len(g))) for _, g in numbered.groupby("instrument_id"))
+    assert scan.prefix(repeated, {"s": F.col("quantity")}).groupBy("instrument_id").agg(F.max("s")).collect()[0][1] is not None
+    assert scan.ema(repeated, {"e": ("price", 0.5)}, block=4).count() == n == scan.home(scan.halo(repeated, 3, block=5)).count()
+
+    def places(rows, key):
+        for k, (t,) in enumerate(rows):
+            yield key, k, t
+
+    got = scan.fold(repeated, places, ["event_time_ns"], "instrument_id string, k long, t long").toPandas()
+    assert len(got) == n and all(g.sort_values("k").t.is_monotonic_increasing for _, g in got.groupby("instrument_id"))
+
+
+def test_affine_maps_run_side_by_side():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 1000):
+        a, b = np.where(rng.random(n) < 0.1, 0, rng.random(n)), rng.normal(size=n)
+        y, want = 2.5, []
+        for p, q in zip(a, b):
+            y = p * y + q
+            want.append(y)
+        assert np.allclose(scan.affine_run(a, b, 2.5), want)
+        p, q = scan.affine_map(a, b)
+        assert np.isclose(p * 2.5 + q, want[-1])
+
+
+@pytest.mark.parametrize("fit", ["fit_logistic", "fit_boosted"])
+def test_baselines_learn_a_simple_rule(spark, fit):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 2))
+    label = np.where(x[:, 0] > 0.4, 1, np.where(x[:, 0] < -0.4, 2, 0))
+    rows = spark.createDataFrame([(int(k), float(u), float(v)) for k, (u, v) in zip(label, x)], "label_code int, u double, v double")
+    got = getattr(ml, fit)(rows, ["u", "v"])(rows).toPandas()
+    assert np.allclose(got.p_notrade + got.p_long + got.p_short, 1) and (got.predicted == got.label_code).mean() > 0.85
+
+
+def test_late_events_by_policy():
+    from marketloom.streaming.streams import step
+
+    events = [(100, 1.0), (200, 2.0), (150, 9.0), (60, 5.0), (210, 3.0)]
+    want = {("drop", False): (3, 0, 3), ("log_only", False): (5, 2, 3), ("update_if_not_finalized", False): (4, 1, 4), ("recompute_for_backtest_only", False): (5, 2, 5), ("recompute_for_backtest_only", True): (3, 0, 3)}
+    for (policy, live), (rows, late, used) in want.items():
+        state, made = None, []
+        for t, x in events:
+            state, out = step(state, t, x, 0.5, 2, 10, policy, window_ns=100, live=live)
+            made += [out] if out else []
+        assert (len(made), sum(o[3] for o in made), state[2]) == (rows, late, used), policy
