@@ -142,7 +142,7 @@ ORACLES["sig_vwm_short"] = f"""{SETUP},
   b AS (SELECT *, coalesce(prev_vwm <= 0 AND vwm > 0, false) AS bull, coalesce(prev_vwm >= 0 AND vwm < 0, false) AS bear FROM s),
   t AS (SELECT *, last_value(CASE WHEN bear THEN k END IGNORE NULLS) {_past} AS mk, last_value(CASE WHEN bear THEN close END IGNORE NULLS) {_past} AS mc, lag(bull) {_next} AS was_bull, lag(atr) {_next} AS prev_atr FROM b),
   u AS (SELECT *, CASE WHEN k > 20 AND momentum IS NOT NULL THEN mc - 0.5::DOUBLE * prev_atr END AS trigger, coalesce(volume > 0 AND k - 1 - coalesce(mk, 0) <= 5 AND NOT bear, false) AS is_open FROM t),
-  v AS (SELECT k, instrument_id, event_time_ns, seq, NULL::DOUBLE AS entry_price, NULL AS reason, false AS short FROM u WHERE k = 1
+  v AS (SELECT k, instrument_id, event_time_ns, seq, NULL::DOUBLE AS entry_price, NULL::VARCHAR AS reason, false AS short FROM u WHERE k = 1
     UNION ALL SELECT k, instrument_id, event_time_ns, seq, entry_price, CASE WHEN enters THEN 'enter_short' WHEN leaves THEN 'exit_short' END, CASE WHEN enters THEN true WHEN leaves THEN false ELSE short END
     FROM (SELECT u.k, u.instrument_id, u.event_time_ns, u.seq, v.short, CASE WHEN u.is_open AND NOT v.short THEN u.trigger END AS entry_price,
       coalesce(NOT v.short AND u.is_open AND u.low <= u.trigger, false) AS enters, coalesce(v.short AND u.volume > 0 AND u.was_bull, false) AS leaves FROM v JOIN u ON u.instrument_id = v.instrument_id AND u.k = v.k + 1))
