@@ -18,7 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more):
+    the one with the smallest doc_id."""
     return near_dup.one_of_each(docs)
 
 
@@ -28,13 +29,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in training sequences."""
+    """Pieces of the documents with their token ids and places in training sequences."""
     return packing.pack(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packed)]
 
-#: The classifier and the tokenizer have no SQL form; tests hold each stage against brute force.
+#: The classifier and the tokenizer have no SQL form; tests/llm holds stages and operators against
+#: plain code.
 ORACLE_SQL = None
 
 
