@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators import scan
+
 
 def balanced(rows: DataFrame, label: str = "label_code") -> DataFrame:
     """rows with weights that give every class the same total."""
@@ -71,17 +73,18 @@ def thresholds(rows: DataFrame, levels: list[float], cost: float) -> DataFrame:
     """For each threshold: signals, precision and returns net of cost of longs, shorts and both.
 
     rows: y (1 long, 2 short), p_long, p_short, future_return. Each row is counted once per level
-    through a small array, in one pass.
+    through a small array; medians of returns come from counts of values.
     """
     level = F.explode(F.array(*(F.lit(float(x)) for x in levels)))
     r = rows.withColumn("threshold", level)
     side = F.when((F.col("p_long") >= F.col("threshold")) & (F.col("p_long") >= F.col("p_short")), 1).when(F.col("p_short") >= F.col("threshold"), 2)
     r = r.withColumn("side", side).withColumn("net", F.when(F.col("side") == 1, F.col("future_return")).when(F.col("side") == 2, -F.col("future_return")) - cost)
     hit = lambda s: F.avg(F.when(F.col("side") == s, (F.col("y") == s).cast("double")))
-    return r.groupBy("threshold").agg(
+    out = r.groupBy("threshold").agg(
         F.count(F.when(F.col("side") == 1, 1)).alias("longs"), F.count(F.when(F.col("side") == 2, 1)).alias("shorts"), hit(1).alias("long_precision"), hit(2).alias("short_precision"),
-        F.avg(F.when(F.col("side").isNotNull(), (F.col("y") == F.col("side")).cast("double"))).alias("precision"), (F.count("side") / F.count("*")).alias("coverage"), F.avg("net").alias("net_return"), F.median("net").alias("median_net"),
+        F.avg(F.when(F.col("side").isNotNull(), (F.col("y") == F.col("side")).cast("double"))).alias("precision"), (F.count("side") / F.count("*")).alias("coverage"), F.avg("net").alias("net_return"),
     )
+    return out.join(scan.medians(r, ["threshold"], "net", "median_net"), "threshold")
 
 
 def best_threshold(levels: DataFrame, least: int = 100) -> DataFrame:
@@ -92,7 +95,8 @@ def best_threshold(levels: DataFrame, least: int = 100) -> DataFrame:
 
 def top_share(rows: DataFrame, share: float, confidence: str, tie: str = "row_id") -> DataFrame:
     """The share of rows with the highest confidence: a threshold by exact counts of values, then
-    ties by id, so that no task orders the whole table."""
+    the first rows of the step it cuts, ties by id. No task orders the table or that step.
+    Rows are counted, and the step written, when this is called."""
     n = rows.count()
     want = int(n * share + 1e-9)
     line = Window.partitionBy(F.lit(0)).orderBy(F.desc("v"))
@@ -103,7 +107,7 @@ def top_share(rows: DataFrame, share: float, confidence: str, tie: str = "row_id
     if edge["v"] is None or want == 0:
         return rows.limit(0)
     r = rows.withColumn("v_", F.floor(F.col(confidence) * 4096))
-    last = r.where(F.col("v_") == edge["v"]).orderBy(F.desc(confidence), tie).limit(want - edge["above"])
+    last = scan.first_rows(r.where(F.col("v_") == edge["v"]), [F.desc(confidence), F.col(tie)], want - edge["above"])
     return r.where(F.col("v_") > edge["v"]).unionByName(last).drop("v_")
 
 

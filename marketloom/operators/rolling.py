@@ -32,8 +32,9 @@ _add("rolling_volume_sum", lambda w: w.full(N, F.sum("volume"), "volume"), lookb
 _add("simple_return", lambda w: _c("close") / w.lag("close") - 1, lookback=1)
 _add("log_return", lambda w: F.log(_c("close") / w.lag("close")), lookback=1)
 _add("realized_volatility", lambda w: w.full(N, F.stddev_samp("log_return"), "log_return"), ("log_return",), N - 1)
-_add("return_5", lambda w: F.when(F.abs(w.lag("close", 5)) >= EPS, _c("close") / w.lag("close", 5) - 1), lookback=5)
-_add("momentum_5", lambda w: _c("close") - w.lag("close", 5), lookback=5)
+for _n in (5, 10, 30):
+    _add(f"return_{_n}", lambda w, n=_n: F.when(F.abs(w.lag("close", n)) >= EPS, _c("close") / w.lag("close", n) - 1), lookback=_n)
+    _add(f"momentum_{_n}", lambda w, n=_n: _c("close") - w.lag("close", n), lookback=_n)
 _add("vwap_20", lambda w: w.full(N, F.sum("pv_"), "pv_") / F.nullif(w.full(N, F.sum("volume"), "volume"), F.lit(0.0)), ("pv_",), N - 1, ("close", "volume"))
 _add("pv_", lambda w: _c("close") * _c("volume"), inputs=("close", "volume"))
 _add("vwap_distance", lambda w: _c("close") / at_least(_c("vwap_20")) - 1, ("vwap_20",))

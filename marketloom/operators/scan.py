@@ -257,6 +257,47 @@ def fold(df: DataFrame, step: Callable[[Iterator[tuple], str], Iterable[tuple]],
     return picked.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of df in an order, however many they are: rows are range-partitioned,
+    sorted and written, and whole partitions are counted off. No task orders all rows."""
+    line = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place_", F.monotonically_increasing_id())
+    line = settled(line).withColumns({"part_": F.shiftright("place_", 33), "place_": F.col("place_").bitwiseAND((1 << 33) - 1)})
+    before = Window.partitionBy(F.lit(0)).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = line.groupBy("part_").agg(F.count("*").alias("n_"))  # a row per partition
+    starts = counts.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    return line.join(F.broadcast(starts), "part_").where(F.col("start_") + F.col("place_") < n).drop("part_", "place_", "start_")
+
+
+#: Steps of a value's logarithm in which `medians` counts values first.
+STEPS = 4096
+
+
+def medians(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """The exact median of each key's values that aren't null (null if all are; NaN is the largest).
+
+    Values are counted in steps of a logarithmic scale (some 200,000 for each sign, whatever the
+    table), and only the steps that hold a middle rank are counted value by value. A key's task
+    sees those counts, not its values.
+    """
+    x = F.col("x_")
+    rows = df.select(*keys, F.col(value).cast("double").alias("x_"))
+    some = rows.where(x.isNotNull())
+    step = F.when(F.isnan(x), (1 << 63) - 1).otherwise((F.signum(x) * F.floor(F.log1p(F.abs(x) * (1 << 20)) * STEPS)).cast("long"))
+    some = some.withColumn("step_", F.when(x == 0, 0).otherwise(step))
+    counts = some.groupBy(*keys, "step_").agg(F.count("*").alias("n_"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("step_").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumns({"all_": F.sum("n_").over(whole), "start_": F.sum("n_").over(upto) - F.col("n_")})
+    low, high = F.expr("(all_ - 1) div 2"), F.expr("all_ div 2")
+    middle = counts.where((F.col("start_") <= high) & (F.col("start_") + F.col("n_") > low)).drop("n_")
+    values = some.groupBy(*keys, "step_", "x_").agg(F.count("*").alias("n_")).join(middle, [*keys, "step_"])
+    upto = Window.partitionBy(*keys, "step_").orderBy("x_").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("end_", F.col("start_") + F.sum("n_").over(upto))
+    holds = lambda rank: (F.col("end_") - F.col("n_") <= rank) & (F.col("end_") > rank)
+    found = values.groupBy(*keys).agg(((F.max(F.when(holds(low), x)) + F.max(F.when(holds(high), x))) / 2).alias(out))
+    return rows.select(*keys).distinct().join(found, keys, "left")
+
+
 def as_of(left: DataFrame, right: DataFrame, columns: list[str], prefix: str = "", forward: bool = False, key: str = KEY, time: str = "event_time_ns", tie: str = "seq", width: int = DAY) -> DataFrame:
     """left with the latest right row at or before its time (or the first at or after it).
 

@@ -183,8 +183,8 @@ def streaks(trades: DataFrame, order=("exit_time_ns", "trade_id", "realized_pnl"
 
 def trade_stats(trades: DataFrame) -> DataFrame:
     p = F.col("realized_pnl")
-    out = trades.groupBy(RUN).agg(F.median(p).alias("median_pnl"), F.max(p).alias("best_pnl"), F.min(p).alias("worst_pnl"))
-    return out.join(streaks(trades), RUN)
+    ends = trades.groupBy(RUN).agg(F.max(p).alias("best_pnl"), F.min(p).alias("worst_pnl"))
+    return scan.medians(trades, [RUN], "realized_pnl", "median_pnl").join(ends, RUN).join(streaks(trades), RUN)
 
 
 def payoff(trades: DataFrame) -> DataFrame:

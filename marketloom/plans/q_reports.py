@@ -46,5 +46,9 @@ def _account(s, d):
 
 QUERIES["report_account"] = _account
 ORACLES["report_account"] = "SELECT c_custkey AS account_id, c_custkey * 1000 AS ts_event, 'USD' AS currency, c_acctbal AS total FROM customer UNION ALL SELECT c_custkey, c_custkey * 1000, 'EUR', round(c_acctbal / 2 + 1e-7, 4) FROM customer"
-for _new, _old in (("return_n", "return_5"), ("momentum_n", "momentum_5")):
-    QUERIES[_new], ORACLES[_new] = q_features.QUERIES[_old], q_features.ORACLES[_old]
+for _new, _what in (("return_n", "return"), ("momentum_n", "momentum")):
+    _names = [f"{_what}_{n}" for n in (10, 30)]
+    QUERIES[_new] = lambda s, d, names=_names: q_features.rounded(q_features.REGISTRY.compute(V.bars(s, d), names), names)
+    _expr = {"return": "CASE WHEN abs({0}) >= {1} THEN close / {0} - 1 END", "momentum": "close - {0}"}[_what]
+    _cols = ", ".join(f"round({_expr.format(q_features.lag('close', n), q_features.E)} + {q_features.NUDGE}, 6) AS {_what}_{n}" for n in (10, 30))
+    ORACLES[_new] = f"WITH {V.sql('v_bars')} SELECT instrument_id, event_time_ns, seq, {_cols} FROM v_bars"

@@ -210,8 +210,6 @@ QUERIES["ingest_plan"] = _plan
 ORACLES["ingest_plan"] = f"""{TR}, c AS (SELECT DISTINCT instrument_id AS symbol FROM v_trades), w AS (SELECT symbol, strftime(x, '%Y-%m-%d') AS period FROM c, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS x)),
   h AS (SELECT DISTINCT instrument_id AS symbol, strftime(make_timestamp(event_time_ns // 1000), '%Y-%m-%d') AS period FROM v_trades WHERE quantity > 60)
   SELECT w.symbol, w.period, CASE WHEN h.symbol IS NULL THEN 'download' ELSE 'skip' END AS action FROM w LEFT JOIN h ON h.symbol = w.symbol AND h.period = w.period"""
-QUERIES["ingest_canonicalize"] = lambda s, d: shown(C.canonical(_twice(s, d), "arrival")[0])
-ORACLES["ingest_canonicalize"] = ORACLES["normalize_bars"]
 
 
 def _manifest(s, d, key=("trading_date",)):
@@ -369,6 +367,21 @@ _fa = f"""fa AS (SELECT instrument_id, event_time_ns, open, high, close, CASE WH
   fc AS (SELECT *, lag(event_time_ns) OVER (PARTITION BY instrument_id ORDER BY seq) AS b, count(*) OVER (PARTITION BY instrument_id, event_time_ns) AS n FROM fb)"""
 QUERIES["validate_bars"] = lambda s, d: C.bar_issues(_faulty(s, d)).select("instrument_id", "event_time_ns", "seq", "issue")
 ORACLES["validate_bars"] = f"{BASE}, {_fa} SELECT instrument_id, event_time_ns, seq, 'illegal_ohlc' AS issue FROM fc WHERE high < low OR high < greatest(open, close) OR low > least(open, close) OR low <= 0 UNION ALL SELECT instrument_id, event_time_ns, seq, 'duplicate_time' FROM fc WHERE n > 1 UNION ALL SELECT instrument_id, event_time_ns, seq, 'not_monotonic' FROM fc WHERE b > event_time_ns"
+
+
+def _canonical(s, d):
+    """Clean bars, and beside them each issue of the rows that came in."""
+    clean, issues = C.canonical(_faulty(s, d), "seq")
+    clean = clean.select(*KEYS, *map(rnd, OHLCV[:4]), F.lit(None).cast("string").alias("issue"))
+    return clean.unionByName(issues, allowMissingColumns=True)
+
+
+QUERIES["ingest_canonicalize"] = _canonical
+_clean = ", ".join(rs(c) for c in OHLCV[:4])
+_bad = "high < low OR high < greatest(open, close) OR low > least(open, close) OR low <= 0"
+ORACLES["ingest_canonicalize"] = f"""{BASE}, {_fa}, la AS (SELECT * FROM fb QUALIFY row_number() OVER (PARTITION BY instrument_id, event_time_ns ORDER BY seq DESC) = 1),
+  iss AS (SELECT instrument_id, event_time_ns, seq, 'illegal_ohlc' AS issue FROM fc WHERE {_bad} UNION ALL SELECT instrument_id, event_time_ns, seq, 'duplicate_time' FROM fc WHERE n > 1 UNION ALL SELECT instrument_id, event_time_ns, seq, 'not_monotonic' FROM fc WHERE b > event_time_ns)
+  SELECT instrument_id, event_time_ns, seq, {_clean}, NULL AS issue FROM la WHERE NOT ({_bad}) UNION ALL SELECT instrument_id, event_time_ns, seq, NULL, NULL, NULL, NULL, issue FROM iss"""
 QUERIES["validate_partition"] = lambda s, d: C.partition_report(V.trades(s, d)).select("instrument_id", "rows", "price_nulls", "quantity_nulls", rnd("price_min"), rnd("price_max"), "bad_prices", "duplicate_ids", rnd("buy_share"))
 ORACLES["validate_partition"] = f"{TR} SELECT instrument_id, count(*) AS rows, count(*) - count(price) AS price_nulls, count(*) - count(quantity) AS quantity_nulls, {rs('min(price)', 'price_min')}, {rs('max(price)', 'price_max')}, count(*) FILTER (price <= 0) AS bad_prices, count(seq) - count(DISTINCT seq) AS duplicate_ids, {rs(chr(39).join(['avg((side = ', 'BUY', ')::INT)']), 'buy_share')} FROM v_trades GROUP BY 1"
 QUERIES["bar_integrity_stats"] = lambda s, d: C.daily_coverage(V.bars(s, d).where("not (instrument_id = 'I2' and trading_date = date'2024-01-09')"), 24).select("instrument_id", F.col("day").cast("string").alias("day"), "rows", "duplicates", "status")

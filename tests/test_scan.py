@@ -175,3 +175,25 @@ def test_late_events_by_policy():
             state, out = step(state, t, x, 0.5, 2, 10, policy, window_ns=100, live=live)
             made += [out] if out else []
         assert (len(made), sum(o[3] for o in made), state[2]) == (rows, late, used), policy
+
+
+def test_medians_of_any_values(spark):
+    """Exact medians of odd and even counts, ties, both signs, huge, tiny and missing values."""
+    rng = np.random.default_rng(6)
+    of = {
+        "a": list(rng.normal(size=501)), "b": list(rng.normal(0, 1e-7, 500)), "c": [1.0] * 70 + [-1.0] * 70, "d": [0.0, -0.0, 1e300, -1e300], "e": [2.5], "f": [None, 4.0, None, 1.0],
+        "g": [None], "h": list(rng.integers(-3, 4, 1000).astype(float)), "i": [float("inf"), float("-inf"), 7.0], "j": [-5.0, -4.0], "k": [1.0, float("nan"), float("nan")],
+    }
+    rows = [(k, None if x is None else float(x)) for k, xs in of.items() for x in xs]
+    got = {r.k: r.m for r in scan.medians(spark.createDataFrame(rows, "k string, x double").repartition(5), ["k"], "x", "m").collect()}
+    assert set(got) == set(of) and got["g"] is None and np.isnan(got["k"])
+    for k in of.keys() - {"g", "k"}:
+        assert np.isclose(got[k], np.median([x for x in of[k] if x is not None]), rtol=1e-12, atol=0), k
+
+
+def test_first_rows_of_ties(spark):
+    rows = spark.range(5000).select("id", (F.col("id") % 2).alias("v")).repartition(7)
+    for n in (0, 1, 1700, 2500, 4000, 9000):
+        got = {r.id for r in scan.first_rows(rows, [F.desc("v"), F.col("id")], n).collect()}
+        assert got == set(([*range(1, 5000, 2)] + [*range(0, 5000, 2)])[:n])
+    assert scan.first_rows(rows.where("false"), [F.col("id")], 3).count() == 0
