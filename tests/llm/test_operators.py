@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -104,6 +105,35 @@ def test_bilinear_base_scores_and_normalisation(docs, empty):
     assert abs(p.sum() - 1) < 1e-3
 
 
+def test_bilinear_scores_by_plain_code(spark):
+    """Every text's score, token by token: a softmax over the whole model, then a word's share of its class."""
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"w{min(4000, k)}" for k in rng.zipf(1.3, rng.integers(0, 40))) for _ in range(250)] + [" ".join(f"x{k}" for k in range(a, a + 60)) for a in range(0, 3000, 60)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3).cache()
+    got = {r.doc_id: r for r in bilinear_lm.score(docs).collect()}
+    flat = bilinear_lm.fit(docs)[3]
+    count = Counter(w.encode() for i, t in enumerate(lines) if not got[i].held_out for w in t.split())
+    own = {w: k for k, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: bilinear_lm.WORDS])}
+    rest = [w for w in count if w not in own]
+    assert rest  # classes are used
+    in_class = lambda k: [w for w in rest if bilinear_lm.word_class(w) == k]
+    total = {k: sum(count[w] for w in in_class(k)) + 0.5 * (len(in_class(k)) + 1) for k in range(bilinear_lm.CLASSES)}
+    p = bilinear_lm.Model(np.full(bilinear_lm.SIZE, 1.0)).load(flat).p
+    for i, t in enumerate(lines[::7]):
+        i *= 7
+        words = [w.encode() for w in t.split()]
+        ids = [own.get(w, bilinear_lm.WORDS + bilinear_lm.word_class(w)) for w in words] + [bilinear_lm.END]
+        want = sum(math.log10((count[w] + 0.5) / total[bilinear_lm.word_class(w)]) for w in words if w not in own)
+        before = [bilinear_lm.START, bilinear_lm.START]
+        for k in ids:
+            logit = p["q"].astype(float) @ (p["r"][before[-1]] * p["c"][0] + p["r"][before[-2]] * p["c"][1]) + p["b"][:, 0]
+            logit[bilinear_lm.START] = -np.inf
+            top = logit.max()
+            want += (logit[k] - top - math.log(np.exp(logit - top).sum())) / math.log(10)
+            before.append(k)
+        assert math.isclose(got[i].score, want, rel_tol=1e-3, abs_tol=0.01), i
+
+
 def vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(np.float32(v)) for v in x]) for i, x in enumerate(rng.normal(0, 0.2, (300, 16)))]
@@ -203,6 +233,16 @@ def test_quality(spark, docs, empty):
     assert factor_quality.scores(empty, labels).count() == 0
 
 
+def test_quality_of_held_out_rows(spark):
+    """Rows whose labels were not learnt from, of a table with 94 of them (the smallest
+    table has 23 only, of which 20 are predicted right)."""
+    path = f"{os.path.dirname(DATA.rstrip('/'))}/sf0.01"
+    d, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    unseen = factor_quality.scores(d, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert len(unseen) > 50 and unseen.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2).all()
+    assert (unseen.predicted == unseen.quality).mean() > 0.9
+
+
 def test_machine_uses_pairs():
     """The sum-of-squares form equals the double sum."""
     m = factor_quality.Machine()
