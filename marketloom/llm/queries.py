@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import bilinear_lm, chunk_bpe, factor_quality, hilbert_shards, near_dup, packing, rp_forest, secret_scan, segment_topk, url_lists
+from marketloom.llm import bilinear_lm, chunk_bpe, conversation_repair, factor_quality, fim_assembly, hilbert_shards, near_dup, packing, rank_fold, rp_forest, secret_scan, segment_topk, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +52,24 @@ def op10_simhash_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_fim_assembly(spark, sf_dir):
+    return fim_assembly.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op12_rank_fold_bpe(spark, sf_dir):
+    return rank_fold.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_bilinear_lm, op3_segment_topk, op4_factor_quality, op5_rp_forest, op6_best_fit_packing, op7_chunked_bpe, op8_guess_cost_secrets, op9_temporal_url_lists, op10_simhash_near_dup, pipeline)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_bilinear_lm, op3_segment_topk, op4_factor_quality, op5_rp_forest, op6_best_fit_packing, op7_chunked_bpe, op8_guess_cost_secrets, op9_temporal_url_lists, op10_simhash_near_dup, op11_fim_assembly, op12_rank_fold_bpe, op13_conversation_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
