@@ -21,7 +21,6 @@ import hashlib
 import heapq
 import json
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -37,8 +36,11 @@ from marketloom.llm.work import slim, texts
 VOCABULARY = "byte_bpe_multi_50k"
 #: Bytes of the longest word that is folded.
 WORD = 64
-#: Small maps of the rank map.
-MAPS = 16384
+#: Small maps of the rank map, and the factor that spreads pairs over them.
+MAPS, SPREAD = 16384, 7919
+#: Bits of an id and of a place in the packed state; the greatest id marks a part without a pair.
+ID_BITS, PLACE_BITS = 17, 7
+NO_PAIR = (1 << ID_BITS) - 1
 #: Rows of a bucket, as a power of 2.
 BUCKET_BITS = 14
 #: Buckets whose rows of one word are gathered at once.
@@ -69,10 +71,11 @@ def _ranges(characters: str) -> str:
 
 def java_pattern(spark: SparkSession, pattern: str = public_tokenizers.PATTERN) -> str:
     """The vocabulary's pattern for the JVM, whose Unicode tables are older: characters that only
-    newer tables know as letters or numbers are added to these classes as ranges."""
-    inside = {r"\s": _ranges(_members(r"\s"))}
-    for cls in (r"\p{L}", r"\p{N}"):
-        inside[cls] = cls + _ranges(spark.range(1).select(F.regexp_replace(F.lit(_members(cls)), cls + "+", "")).first()[0])
+    newer tables count to a class are added as ranges, which no ASCII character has to pass."""
+    inside = {}
+    for cls in (r"\s", r"\p{L}", r"\p{N}"):
+        more = _ranges(spark.range(1).select(F.regexp_replace(F.lit(_members(cls)), cls + "+", "")).first()[0])
+        inside[cls] = f"{cls}[\\x{{80}}-\\x{{10FFFF}}&&[{more}]]" if more else cls
 
     def put(m: re.Match) -> str:
         if m[0].startswith("["):
@@ -83,28 +86,54 @@ def java_pattern(spark: SparkSession, pattern: str = public_tokenizers.PATTERN)
 
 
 class Ranks:
-    """The rank map and the pieces as literals of a plan."""
+    """The ranks as literals of a plan: which pairs of ids merge into which id (a merged piece's
+    rank is its id), the ids of single bytes, and the pieces of ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
+        if max(ranks.values()) >= NO_PAIR or WORD >= 1 << PLACE_BITS:
+            raise ValueError("ids and places don't fit into the packed state")
+        maps: list[dict[int, int]] = [{} for _ in range(MAPS)]
         for piece, rank in ranks.items():
-            maps[zlib.crc32(piece) % MAPS][piece.hex().upper()] = rank
+            for k in range(1, len(piece)):
+                a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if a is not None and b is not None:
+                    maps[(a * SPREAD ^ b) & (MAPS - 1)][a << ID_BITS | b] = rank << ID_BITS | a
         # constant expressions: the optimiser turns each into one literal
-        self.maps = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+        self.maps = F.from_json(F.lit(json.dumps(maps)), "array<map<string,bigint>>")
+        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<bigint>")
         table = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             table[rank] = piece
         self.pieces = F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in table])), "array<binary>")
 
     def ids(self, word: Column) -> Column:
-        """Ids of a word (binary, not empty): one if the vocabulary holds all of it, or else ranked
-        merges folded over its bytes."""
-
-        def found(maps: Column) -> Column:
-            rank = lambda piece: F.try_element_at(F.element_at(maps, (F.crc32(piece) % MAPS + 1).cast("int")), F.hex(piece))
-            return _bind(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(_fold(word, rank)))
-
-        return _bind(self.maps, found)  # so the plan, and with it each task, holds the map once
+        """Ids of a word (string, not empty, at most WORD bytes): ranked merges folded over its
+        bytes. The state is an array of a number for each part: the rank of the pair that it makes
+        with the next part, then its id. A step finds the least rank, leftmost, and joins that pair."""
+        id_of = lambda x: x.bitwiseAND(NO_PAIR)
+        last = lambda x: x.bitwiseOR(F.lit(NO_PAIR << ID_BITS))
+        none = F.array().cast("array<bigint>")
+
+        def folded(maps: Column, latin: Column) -> Column:
+            def pack(a: Column, b: Column) -> Column:
+                some = F.get(maps, (a * SPREAD).bitwiseXOR(b).bitwiseAND(MAPS - 1).cast("int"))
+                return F.coalesce(F.try_element_at(some, F.shiftleft(a, ID_BITS).bitwiseOR(b).cast("string")), last(a))
+
+            def join(state: Column, k: Column, new: Column) -> Column:
+                before = F.when(k > 0, F.transform(F.slice(state, k, 1), lambda x: pack(id_of(x), new))).otherwise(none)
+                here = F.when(k + 2 < F.size(state), F.transform(F.slice(state, k + 3, 1), lambda x: pack(new, id_of(x)))).otherwise(F.array(last(new)))
+                return F.concat(F.slice(state, 1, F.greatest(k - 1, F.lit(0))), before, here, F.slice(state, k + 3, F.size(state)))
+
+            def step(state: Column, _: Column) -> Column:
+                least = F.array_min(F.transform(state, lambda x, i: F.shiftleft(F.shiftright(x, ID_BITS), PLACE_BITS).bitwiseOR(i.cast("bigint"))))
+                return _bind(least, lambda m: F.when(m < NO_PAIR << PLACE_BITS, join(state, m.bitwiseAND((1 << PLACE_BITS) - 1).cast("int"), F.shiftright(m, PLACE_BITS))).otherwise(state))
+
+            single = F.transform(F.sequence(F.lit(1), F.length(latin)), lambda i: F.get(self.bytes, F.ascii(F.substring(latin, i, F.lit(1)))))
+            pairs = lambda ids: F.concat(F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids)), pack), F.array(last(F.element_at(ids, -1))))
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(latin), F.lit(2))), _bind(single, pairs), step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
+
+        # a task holds the map once, and a word becomes a character for each byte once
+        return _bind(self.maps, lambda maps: _bind(F.decode(word.cast("binary"), "ISO-8859-1"), lambda latin: folded(maps, latin)))
 
     def decode(self, ids: Column) -> Column:
         """Bytes that ids stand for (binary)."""
@@ -117,33 +146,6 @@ def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def _fold(word: Column, rank: Callable[[Column], Column]) -> Column:
-    single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    none = F.array().cast("array<binary>")
-
-    def join(parts: Column, ranks: Column, k: Column) -> Column:
-        """Parts k and k + 1 become one; only the pairs on both sides of it are looked up."""
-
-        def put(whole: Column) -> Column:
-            left = F.when(k > 1, F.array(F.concat(F.element_at(parts, k - 1), whole))).otherwise(none)
-            right = F.when(k + 1 < F.size(parts), F.array(F.concat(whole, F.element_at(parts, k + 2)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(parts, 1, k - 1), F.array(whole), F.slice(parts, k + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(ranks, 1, F.greatest(k - 2, F.lit(0))), F.transform(F.concat(left, right), rank), F.slice(ranks, k + 2, F.size(ranks))).alias("ranks"),
-            )
-
-        return _bind(F.concat(F.element_at(parts, k), F.element_at(parts, k + 1)), put)
-
-    def step(state: Column, _: Column) -> Column:
-        place = F.array_position(state["ranks"], F.array_min(state["ranks"])).cast("int")
-        return _bind(place, lambda k: F.when(k > 0, join(state["parts"], state["ranks"], k)).otherwise(state))
-
-    pairs = lambda parts: F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), lambda a, b: rank(F.concat(a, b)))
-    start = _bind(single, lambda parts: F.struct(parts.alias("parts"), pairs(parts).alias("ranks")))
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: s["parts"])
-    return F.transform(folded, rank)
-
-
 def merge(word: bytes, ranks: dict[bytes, int]) -> bytes:
     """Ids of one word of any length, little-endian unsigned 32-bit: merges from a heap of pairs."""
     whole = ranks.get(word)
@@ -234,7 +236,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     rows = slim(docs, "doc_id", "text").withColumn("bucket", F.shiftright(F.monotonically_increasing_id(), BUCKET_BITS))
     pairs = rows.select("bucket", F.explode(F.array_distinct(words)).alias("word")).where(F.octet_length("word") <= WORD).distinct()
     gathered = pairs.groupBy("word", F.shiftright("bucket", SALT_BITS).alias("salt")).agg(F.collect_list("bucket").alias("buckets"))
-    folded = gathered.select("buckets", "word", table.ids(F.col("word").cast("binary")).alias("ids"))
+    folded = gathered.select("buckets", "word", table.ids(F.col("word")).alias("ids"))
     none = F.lit(None)
     known = folded.select(F.explode("buckets").alias("bucket"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "word", "ids")
     todo = rows.select("bucket", "doc_id", F.coalesce("text", F.lit("")).alias("text"), none.cast("string").alias("word"), none.cast("array<int>").alias("ids"))
