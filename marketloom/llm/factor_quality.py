@@ -127,10 +127,12 @@ def remainder(doc_id, modulus: int):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine fitted on at most `sample` labelled rows outside the held-out fold, chosen by a
     hash of doc_id. Labels that are null or neither 0 nor 1 count for nothing; of several labels
-    of one doc_id the smallest holds."""
+    of one doc_id the smallest holds, and of several rows that with the least hash of its text."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(remainder(F.col("doc_id"), 4) != 2)
     chosen = work.sample(known.groupBy("doc_id").agg(F.min("quality").cast("double").alias("y")), ["doc_id"], sample)
     rows = slim(docs, "doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "y")
+    one = F.struct(F.xxhash64("text").alias("hash"), "text", "n_chars", "y")
+    rows = rows.groupBy("doc_id").agg(F.min(one).alias("row")).select("doc_id", "row.text", "row.n_chars", "row.y")
     made = rows.mapInArrow(_sparse, "at array<int>, value array<float>, y double").toArrow()
     at, bounds = ragged(made.column("at").combine_chunks())
     value = ragged(made.column("value").combine_chunks())[0].astype(float)

@@ -143,7 +143,14 @@ def _asked(batches: Iterator[pa.RecordBatch], forest: Forest, parts: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), b.column("vec_id").take(take), b.column("v").take(take)], ["leaf", "part", "query_id", "q"])
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: squares and products
+    then stay in the doubles, and no digit of the cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    q, x = scaled(q), scaled(x)
     return np.einsum("nd,nd->n", q, x) / (np.sqrt(np.einsum("nd,nd->n", q, q)) * np.sqrt(np.einsum("nd,nd->n", x, x)))
 
 

@@ -35,6 +35,11 @@ _assign = re.compile(
     "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
 _context_names = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "pin")
+#: Credential words that count anywhere in a name; the others must be words of it (author, passage,
+#: monkey and opinion are none).
+_anywhere = ("password", "passwd", "passphrase", "secret", "token", "credential", "apikey")
+_name_words = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_fields = re.compile(r"[/._\-@?=&#:+~]+")
 _access = re.compile("AKIA[A-Z0-9]{14,}")
 _hex = re.compile("[0-9a-f]{16,}")
 _name, _lead = "[A-Za-z0-9_-]", "(?:(?:[Bb]earer|[Bb]asic)\\x20)?"
@@ -45,6 +50,7 @@ _context = re.compile(
     f"{_name}++[\"']?[\\x20\\t]*+(?:=>|:=|[:=])[\\x20\\t]*+{_lead}"
     f"(?:\"{_lead}((?:[^\"\\\\\r\n]|\\\\[^\r\n])++)\"|'{_lead}((?:[^'\\\\\r\n]|\\\\[^\r\n])++)'|[\"']?([^\\s\"'<>,;|]+))"
 )
+_names = re.compile(f"{_name}+")
 _assign_words = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _context_words = tuple(w.encode() for w in _context_names)
 
@@ -197,6 +203,38 @@ def is_prose(value: str, dictionary: Dictionary) -> bool:
     return all(w in dictionary.cost or len(w) < LETTERS[0] and not any(map(str.isdigit, w)) for w in bare)
 
 
+def is_credential(name: str) -> bool:
+    """Whether a name stands for a credential: by a word of it (split at digits, hyphens,
+    underscores and capitals), or by a word that means nothing else anywhere in it."""
+    low = name.lower()
+    return any(w in low for w in _anywhere) or any(w.lower() in _context_names for w in _name_words.findall(name))
+
+
+def _is_speakable(field: str) -> bool:
+    """A word in one case or with a capital first, of a shape that people can say, or a number of
+    up to four digits."""
+    if field.isdigit():
+        return len(field) <= 4
+    if not field.isalpha() or not (field.islower() or field.isupper() or field.istitle()):
+        return False
+    vowels = sum(c in "aeiouy" or not c.isascii() for c in field.lower())
+    return len(field) <= 4 or (vowels * 5 >= len(field) and not re.search("[bcdfghjklmnpqrstvwxz]{5}", field.lower()))
+
+
+def is_structured(value: str) -> bool:
+    """Whether value is a URL, a path, a mail address, or an identifier of words with one separator
+    throughout. Their parts are words that can be spoken, so a passphrase of this form is one too;
+    a URL that names a user's password isn't."""
+    scheme, found, rest = value.partition("://")
+    rest = rest if found else value
+    if found and (not scheme.isalnum() or "@" in rest.split("/")[0]):
+        return False
+    fields = [f for f in _fields.split(rest) if f]
+    if len(fields) < 2 or not all(map(_is_speakable, fields)):
+        return False
+    return bool(found) or value[:1] in "/~." or rest.count("@") == 1 or len(set("".join(_fields.findall(rest)))) == 1
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of words made of letters, outside values after credential words."""
     letters = re.compile(f"[^\\W\\d_]{{{LETTERS[0]},}}")
@@ -210,7 +248,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = t or ""
             low = t.lower()
             if any(w in low for w in _context_names):
-                low = _context.sub(" ", t).lower()
+                low = _context.sub(lambda m: " " if is_credential(_names.match(m[0])[0]) else m[0], t).lower()
             seen.update(w for w in letters.findall(low) if len(w) <= LETTERS[1])
             if len(seen) > HELD:
                 yield out()
@@ -235,7 +273,8 @@ def dictionary_of(docs: DataFrame, words: int = DICTIONARY) -> Dictionary:
 
 def spans(text: str, dictionary: Dictionary = PASSWORDS) -> list[tuple[str, int, int]]:
     """kind, start and end (code points) of every secret; the added kind is never wholly inside
-    another, and several words of the dictionary are prose, not a secret."""
+    another. Several words of the dictionary are prose, and URLs, paths, addresses and identifiers
+    of words are no secrets either."""
     low = text.encode().lower()
     found = []
     if any(w in low for w in _assign_words):
@@ -247,10 +286,10 @@ def spans(text: str, dictionary: Dictionary = PASSWORDS) -> list[tuple[str, int,
         taken = [(a, b) for _, a, b in found]
         for m in _context.finditer(text):
             a, b = m.span(m.lastindex)
-            if b - a < SHORTEST or any(x <= a and b <= y for x, y in taken):
+            if b - a < SHORTEST or any(x <= a and b <= y for x, y in taken) or not is_credential(_names.match(m[0])[0]):
                 continue
             value = text[a:b]
-            if not is_prose(value, dictionary) and guess_cost(value, dictionary, THRESHOLD) >= THRESHOLD:
+            if not is_prose(value, dictionary) and not is_structured(value) and guess_cost(value, dictionary, THRESHOLD) >= THRESHOLD:
                 found.append(("guess", a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

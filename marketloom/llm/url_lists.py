@@ -1,11 +1,13 @@
 """URL filtering with dated lists: an as-of join of captures and list entries.
 
-Entries (rule, action, at) become disjoint validity intervals of each rule, cut at month-long
-buckets. A capture looks up its host and every parent domain of two labels or more in the bucket
-of its fetch time; of the intervals that hold that time the most specific rule decides. Only
-DataFrame functions are used. Each (host, time) is looked up once, and keys of the join are
-(rule, bucket), so a hot host spreads over time and adaptive execution can split it further; the
-list is broadcast only where Spark knows it to be small.
+Entries (rule, action, at) become disjoint validity intervals of each rule. A capture looks up its
+host and every parent domain of two labels or more in the month of its fetch time; of the
+intervals that hold that time the most specific rule decides. A month of a rule has the intervals
+that begin in it, and the one that holds as it begins: that comes from a running last state over
+the months in which the rule is asked for or changes, so no interval is spread over time and an
+odd fetch time costs a row. Only DataFrame functions are used. Each (host, time) is looked up
+once, and keys of the join are (rule, month), so a hot host spreads over time and adaptive
+execution can split it further; the list is broadcast only where Spark knows it to be small.
 """
 
 from __future__ import annotations
@@ -14,17 +16,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 30 * 86_400
-FOREVER = 253_402_300_799  # the end of year 9999
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
-
+#: Scheme, what names a user (up to the last @), and the host, which may be an address in brackets;
+#: a backslash separates like a slash.
+HOST = r"^[a-z][a-z0-9+.-]*:[/\\]{2}(?:[^/?#\\]*@)?(\[[^\]/?#\\]*\]|[^/?#\\:@]*)"
+#: What is no part of a URL: blanks and control characters around it, tabs and line breaks in it.
+STRAY = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]"
 
 #: Characters of a host name, at most (longer ones aren't names).
 LONGEST = 253
 
 
+def bucket_of(at):
+    """The month-long bucket of a time; whole numbers only."""
+    return F.call_function("floor", F.call_function("div", at, F.lit(BUCKET)))
+
+
 def host_of(url):
     """Lower-case host of a URL, or null; a closing dot isn't part of it."""
-    host = F.regexp_replace(F.regexp_extract(F.lower(url), HOST, 1), r"\.+$", "")
+    host = F.regexp_replace(F.regexp_extract(F.lower(F.regexp_replace(url, STRAY, "")), HOST, 1), r"\.+$", "")
     return F.when(F.length(host).between(1, LONGEST), host)
 
 
@@ -42,7 +51,8 @@ def rules_of(host):
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """Disjoint intervals [since, until) in which a rule is listed, from rule, action, at.
+    """Disjoint intervals [since, until) in which a rule is listed, from rule, action, at; until is
+    null where nothing ends it.
 
     A rule is listed from an 'add' to the next 'remove'; further adds in between change nothing;
     of entries at one time a 'remove' holds. Entries with a null in any column, or another
@@ -52,8 +62,19 @@ def intervals(entries: DataFrame) -> DataFrame:
     known = known.groupBy("rule", "at").agg(F.max("action").alias("action"))
     line = Window.partitionBy("rule").orderBy("at")
     turns = known.withColumn("before", F.lag("action").over(line)).where("before is null or before <> action")
-    ends = turns.withColumn("until", F.coalesce(F.lead("at").over(line), F.lit(FOREVER)))
-    return ends.where("action = 'add'").select("rule", F.col("at").alias("since"), "until")
+    return turns.withColumn("until", F.lead("at").over(line)).where("action = 'add'").select("rule", F.col("at").alias("since"), "until")
+
+
+def by_month(listed: DataFrame, asked: DataFrame) -> DataFrame:
+    """The intervals that each month of `asked` (rule, bucket) needs: those that begin in it, and
+    the one that began before and is the last to do so."""
+    own = listed.select("rule", bucket_of(F.col("since")).alias("bucket"), "since", "until")
+    turns = own.groupBy("rule", "bucket").agg(F.max(F.struct("since", "until")).alias("x"), F.lit(False).alias("asked"))
+    months = turns.unionByName(asked.select("rule", "bucket", F.lit(None).cast(turns.schema["x"].dataType).alias("x"), F.lit(True).alias("asked")))
+    months = months.groupBy("rule", "bucket").agg(F.max("x").alias("x"), F.max("asked").alias("asked"))
+    line = Window.partitionBy("rule").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    held = months.withColumn("held", F.last("x", True).over(line)).where("asked and held is not null")
+    return own.unionByName(held.select("rule", "bucket", "held.since", "held.until"))
 
 
 def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -61,18 +82,15 @@ def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     captures: page_id, url, fetched_at (seconds). A null or malformed URL or a null time is never
     blocked; repeated captures stay; a host's own rule comes before its parent's, and a nearer
-    parent's before a farther one's; other columns are not read; empty tables are fine. The first
-    and the last fetch time are looked up when this is called.
+    parent's before a farther one's; any long is a fetch time; other columns are not read; empty
+    tables are fine.
     """
     rows = captures.select(captures["page_id"], captures["url"], captures["fetched_at"]).withColumn("host", host_of(F.col("url")))
-    first, last = rows.agg(F.min("fetched_at"), F.max("fetched_at")).first()
-    bucket = lambda c: F.floor(c / BUCKET)
-    listed = intervals(entries).where((F.col("since") <= F.lit(last)) & (F.col("until") > F.lit(first)))
-    span = F.sequence(bucket(F.greatest("since", F.lit(first))), bucket(F.least(F.col("until") - 1, F.lit(last))))
-    listed = listed.select("rule", "since", "until", F.explode(span).alias("bucket"))
+    listed = intervals(entries)
     asked = rows.where("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
-    tried = asked.select("host", "fetched_at", bucket(F.col("fetched_at")).alias("bucket"), F.posexplode(rules_of(F.col("host"))).alias("level", "rule"))
-    active = tried.join(listed, ["rule", "bucket"]).where("fetched_at >= since and fetched_at < until")
+    tried = asked.select("host", "fetched_at", bucket_of(F.col("fetched_at")).alias("bucket"), F.posexplode(rules_of(F.col("host"))).alias("level", "rule"))
+    months = by_month(listed, tried.select("rule", "bucket").distinct().join(listed.select("rule").distinct(), "rule", "left_semi"))
+    active = tried.join(months, ["rule", "bucket"]).where("fetched_at >= since and (until is null or fetched_at < until)")
     found = active.groupBy("host", "fetched_at").agg(F.min(F.struct("level", "rule", "since")).alias("x"))
     by = F.when(F.col("x.level") == 0, "host").when(F.col("x.level") > 0, "parent")
     found = found.select("host", "fetched_at", by.alias("blocked_by"), "x.rule", "x.since")
@@ -107,7 +125,7 @@ def entries_of(pages: DataFrame) -> DataFrame:
 ORACLE = rf"""
 WITH hosts AS (
   SELECT page_id, url, {START} + (page_id * 7919) % {YEAR} AS fetched_at,
-    regexp_replace(regexp_extract(lower(url), '{HOST}', 1), '\.+$', '') AS name FROM pages),
+    regexp_replace(regexp_extract(lower(regexp_replace(url, '{STRAY}', '', 'g')), '{HOST}', 1), '\.+$', '') AS name FROM pages),
 named AS (
   SELECT page_id, url, fetched_at, CASE WHEN length(name) BETWEEN 1 AND {LONGEST} THEN name END AS host,
     NULLIF(regexp_extract(CASE WHEN length(name) BETWEEN 1 AND {LONGEST} THEN name END, '^[^.]+\.(.+\..+)$', 1), '') AS parent FROM hosts),

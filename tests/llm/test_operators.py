@@ -71,12 +71,13 @@ def test_shards(docs, empty):
 
 def test_shard_files_and_their_ranges(spark, docs, tmp_path):
     """Files hold whole rows, a shard each, and the ranges of a shard hold all of its rows."""
-    some = docs.drop("shard")
+    some = docs
     ranges = {r.shard: r for r in hilbert_shards.write_shards(some, f"file://{tmp_path}/x", 4).collect()}
     back = spark.read.parquet(f"file://{tmp_path}/x")
     assert sorted(map(str, back.select(*some.columns).collect())) == sorted(map(str, some.collect()))
+    assert set(some.columns) | {"shard_"} == set(back.columns)
     for r in back.collect():
-        of = ranges[r.shard]
+        of = ranges[r.shard_]
         assert r.lang is None or of.least_lang <= r.lang <= of.greatest_lang
         assert r.source is None or of.least_source <= r.source <= of.greatest_source
         assert of.least_size <= len((r.text or "").encode()) + 8 <= of.greatest_size
@@ -417,6 +418,64 @@ def test_url_lists(spark):
     assert url_lists.decide(captures, entries.where("false")).where("blocked").count() == 0
 
 
+def test_url_lists_at_any_time_and_for_any_authority(spark):
+    """Captures at the ends of the long range, rules that nothing ends, and odd authorities."""
+    far = 2**63 - 1
+    urls = [(1, "http://b.com/", -far - 1), (2, "http://b.com/", far), (3, "http://b.com/", 3 * 10**11), (4, "http://user:p@ss@b.com/", 5), (5, "http://b.com\\x", 5), (6, "http://[2001:db8::1]:80/", 5), (7, " \thttp://b.com/", 5), (8, "http:\\\\b.com", 5), (9, "http://b.com/", -(10**17)), (10, "http://b.com:@x.org/", 5), (11, "http:///b.com", 5)]
+    captures = spark.createDataFrame(urls, "page_id long, url string, fetched_at long")
+    entries = spark.createDataFrame([("b.com", "add", 0), ("b.com", "remove", -far), ("b.com", "add", -far - 1), ("[2001:db8::1]", "add", 2)], "rule string, action string, at long")
+    got = {r.page_id: (r.host, r.blocked, r.since) for r in url_lists.decide(captures, entries).collect()}
+    yes = ("b.com", True, 0)
+    assert got == {1: ("b.com", True, -far - 1), 2: yes, 3: yes, 4: yes, 5: yes, 6: ("[2001:db8::1]", True, 2), 7: yes, 8: yes, 9: ("b.com", False, None), 10: ("x.org", False, None), 11: (None, False, None)}
+
+
+def test_url_lists_by_plain_code(spark):
+    rng = np.random.default_rng(8)
+    month = url_lists.BUCKET
+    entries = [(f"h{rng.integers(6)}.com", rng.choice(["add", "remove"]).item(), int(rng.integers(-40, 40)) * month // 7) for _ in range(120)]
+    captures = [(k, f"http://{rng.choice(['', 'www.']).item()}h{rng.integers(7)}.com/", int(rng.integers(-50, 60)) * month // 7 + int(rng.integers(3)) - 1) for k in range(600)]
+    got = {r.page_id: (r.rule, r.since) for r in url_lists.decide(spark.createDataFrame(captures, "page_id long, url string, fetched_at long"), spark.createDataFrame(entries, "rule string, action string, at long")).collect()}
+    for k, url, at in captures:
+        rule = url.split("/")[2].removeprefix("www.")
+        since = None
+        for t in sorted({e[2] for e in entries if e[0] == rule and e[2] <= at}):
+            last = max(e[1] for e in entries if e[0] == rule and e[2] == t)
+            since = None if last == "remove" else since if since is not None else t
+        assert got[k] == ((rule, since) if since is not None else (None, None))
+
+
+def test_cosine_of_doubles_of_any_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.9e200]), (2, [1e-200, 1e-200]), (3, [1.0, 1.0]), (4, [5e-324, 0.0]), (5, [0.0, -1e308]), (6, [1e308, 1e308]), (50, [1.0, 0.0])]
+    got = {(r.query_id, r.vec_id): r.score for r in rp_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=9).collect()}
+    unit = {i: [c / max(map(abs, v)) for c in v] for i, v in rows}
+    for q in (0, 50):
+        for i, v in unit.items():
+            if i != q:
+                want = sum(a * b for a, b in zip(unit[q], v)) / math.sqrt(sum(a * a for a in unit[q])) / math.sqrt(sum(a * a for a in v))
+                assert got[q, i] == pytest.approx(want, abs=1e-15)
+
+
+def test_labelled_rows_are_bounded(spark):
+    """Repeated rows of a labelled document count once, so the bound holds and weights don't change."""
+    docs = spark.createDataFrame([(i, f"text {i} of {'good words here ' * (i % 5)}", 10) for i in range(40)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    many = docs.withColumn("x", F.explode(F.array_repeat(F.lit(1), 50))).drop("x")
+    a, b = factor_quality.fit(docs, labels), factor_quality.fit(many, labels)
+    assert (a.w == b.w).all() and a.bias == b.bias
+
+
+PLAIN_LINES = [
+    "author: https://example.org/people/christopher", "passage: /usr/local/share/doc/readme.txt", "opinion: https://www.nytimes.com/2019/03/some-article-here", "key: primary_key_index_users_on_email", "monkey: bananas-and-grapes-forever",
+    "keyboard: qwertz-layout-german-extended", "author=christopher.marlowe@stratford.org", "key: /etc/ssl/private/server/", "auth: https://login.example.org/oauth/authorize", "auth: christopher.marlowe@stratford.org", "pinned: Zx9#kQ2!vB7$", "compass=Zx9#kQ2!vB7$",
+]
+
+
+def test_ordinary_lines_are_no_secrets():
+    assert not [x for x in PLAIN_LINES if secret_scan.spans(x)]
+    for line in ("apiKey: Zx9#kQ2!vB7$", "DB_PASS=Zx9#kQ2!vB7$", "myKEY: Zx9#kQ2!vB7$", "auth_2: Zx9#kQ2!vB7$", "key: https://bob:Zx9kQ2vB7@example.org/", "key: xqzv-kwjp-mdtr-ghfs", "userpasswords: Zx9#kQ2!vB7$"):
+        assert [k for k, _, _ in secret_scan.spans(line)] == ["guess"], line
+
+
 def test_fingerprint(docs):
     for t in TEXTS:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
