@@ -218,7 +218,7 @@ def _is_speakable(field: str) -> bool:
     if not field.isalpha() or not (field.islower() or field.isupper() or field.istitle()):
         return False
     vowels = sum(c in "aeiouy" or not c.isascii() for c in field.lower())
-    return len(field) <= 4 or (vowels * 5 >= len(field) and not re.search("[bcdfghjklmnpqrstvwxz]{5}", field.lower()))
+    return len(field) <= 3 or field == "html" or (vowels * 5 >= len(field) and not re.search("[bcdfghjklmnpqrstvwxz]{5}", field.lower()))
 
 
 def is_structured(value: str) -> bool:
