@@ -298,6 +298,30 @@ def medians(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     return rows.select(*keys).distinct().join(found, keys, "left")
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each key's values that aren't null, by name, linear between two values
+    where the rank falls between them; counted as in `medians`. Keys without values have nulls."""
+    x = F.col("x_")
+    rows = df.select(*keys, F.col(value).cast("double").alias("x_"))
+    step = F.when(F.isnan(x), (1 << 63) - 1).when(x == 0, 0).otherwise((F.signum(x) * F.floor(F.log1p(F.abs(x) * (1 << 20)) * STEPS)).cast("long"))
+    some = rows.where(x.isNotNull()).withColumn("step_", step)
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("step_").rowsBetween(Window.unboundedPreceding, 0)
+    counts = some.groupBy(*keys, "step_").agg(F.count("*").alias("n_"))
+    counts = counts.withColumns({"all_": F.sum("n_").over(whole), "start_": F.sum("n_").over(upto) - F.col("n_")})
+    asked = F.array(*(F.struct(F.lit(name).alias("name_"), F.lit(float(q)).alias("q_")) for name, q in points.items()))
+    ranks = counts.select(*keys, "step_", "n_", "start_", "all_", F.inline(asked)).withColumn("at_", (F.col("all_") - 1) * F.col("q_"))
+    ranks = ranks.withColumns({"low_": F.floor("at_"), "high_": F.ceil("at_")}).where((F.col("start_") <= F.col("high_")) & (F.col("start_") + F.col("n_") > F.col("low_"))).drop("n_")
+    values = some.groupBy(*keys, "step_", "x_").agg(F.count("*").alias("n_")).join(ranks, [*keys, "step_"])
+    upto = Window.partitionBy(*keys, "step_", "name_").orderBy("x_").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("end_", F.col("start_") + F.sum("n_").over(upto))
+    holds = lambda rank: F.max(F.when((F.col("end_") - F.col("n_") <= F.col(rank)) & (F.col("end_") > F.col(rank)), x))
+    found = values.groupBy(*keys, "name_").agg(holds("low_").alias("a_"), holds("high_").alias("b_"), F.max(F.col("at_") - F.col("low_")).alias("part_"))
+    found = found.withColumn("v_", F.when(F.col("part_") > 0, F.col("a_") + (F.col("b_") - F.col("a_")) * F.col("part_")).otherwise(F.col("a_")))
+    wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("name_") == name, F.col("v_"))).alias(name) for name in points))
+    return rows.select(*keys).distinct().join(wide, keys, "left")
+
+
 def as_of(left: DataFrame, right: DataFrame, columns: list[str], prefix: str = "", forward: bool = False, key: str = KEY, time: str = "event_time_ns", tie: str = "seq", width: int = DAY) -> DataFrame:
     """left with the latest right row at or before its time (or the first at or after it).
 

@@ -70,6 +70,15 @@ def latencies(events: DataFrame, receive: str = "receive_time_ns", process: str
     return events.withColumns({"receive_latency_ns": F.col(receive) - F.col("event_time_ns"), "process_latency_ns": F.col(process) - F.col(receive), "total_latency_ns": F.col(process) - F.col("event_time_ns")})
 
 
+def latency_stats(events: DataFrame, keys: list[str], points: dict[str, float], receive: str = "receive_latency_ns", process: str = "process_latency_ns", total: str = "total_latency_ns") -> DataFrame:
+    """For each key and clock (receive, process, total): count, mean, greatest value and exact
+    quantiles by name of the latencies that are known. A clock that a key never has keeps its row."""
+    each = F.array(*(F.struct(F.lit(name).alias("clock"), F.col(c).alias("latency")) for name, c in (("receive", receive), ("process", process), ("total", total))))
+    rows = events.select(*keys, F.inline(each))
+    sums = rows.groupBy(*keys, "clock").agg(F.count("latency").alias("n"), F.avg("latency").alias("mean"), F.max("latency").alias("most"))
+    return sums.join(scan.quantiles(rows, [*keys, "clock"], "latency", points), [*keys, "clock"])
+
+
 def choose_time(semantics: str) -> F.Column:
     """event, receive or process time, falling back to the clock before."""
     order = {"event": ("event_time_ns",), "receive": ("receive_time_ns", "event_time_ns"), "process": ("process_time_ns", "receive_time_ns", "event_time_ns")}[semantics]

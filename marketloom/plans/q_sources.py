@@ -293,8 +293,8 @@ ORACLES["feature_scan"] = f"{BASE}, f AS (SELECT *, {EXPR['feat_sma_20']} AS x F
 def _events(s, d):
     """Two feature sets of bars on different grids, with 5 warm-up rows each, some rows twice."""
     b = scan.numbered(V.bars(s, d))
-    one = b.select((F.col("event_time_ns") / 10**6).cast("long").alias("ts_event"), "instrument_id", F.lit("px").alias("feature_set_id"), (F.col("ord_") < 5).alias("is_warmup"), F.col("close").alias("value"))
-    two = b.where(F.col("event_time_ns") / HOUR % 4 == 0).select((F.col("event_time_ns") / 10**6).cast("long").alias("ts_event"), "instrument_id", F.lit("vol").alias("feature_set_id"), (F.col("ord_") < 5).alias("is_warmup"), F.col("volume").alias("value"))
+    one = b.select(idiv("event_time_ns", 10**6).alias("ts_event"), "instrument_id", F.lit("px").alias("feature_set_id"), (F.col("ord_") < 5).alias("is_warmup"), F.col("close").alias("value"))
+    two = b.where(idiv("event_time_ns", HOUR) % 4 == 0).select(idiv("event_time_ns", 10**6).alias("ts_event"), "instrument_id", F.lit("vol").alias("feature_set_id"), (F.col("ord_") < 5).alias("is_warmup"), F.col("volume").alias("value"))
     e = one.unionByName(two)
     return e.unionByName(e.where("ts_event % 7200000 = 0"))
 
@@ -346,8 +346,9 @@ def _clocks(s, d):
 _cl = "cl AS (SELECT *, CASE WHEN seq % 5 <> 0 THEN event_time_ns + (seq % 90 + 1) * 1000000 END AS rt, CASE WHEN seq % 3 <> 0 THEN event_time_ns + (seq % 70 + 95) * 1000000 END AS pt FROM v_trades)"
 QUERIES["time_semantics"] = lambda s, d: C.latencies(_clocks(s, d)).select("seq", C.choose_time("receive").alias("receive"), C.choose_time("process").alias("process"), "receive_latency_ns", "process_latency_ns", "total_latency_ns")
 ORACLES["time_semantics"] = f"{TR}, {_cl} SELECT seq, coalesce(rt, event_time_ns) AS receive, coalesce(pt, rt, event_time_ns) AS process, rt - event_time_ns AS receive_latency_ns, pt - rt AS process_latency_ns, pt - event_time_ns AS total_latency_ns FROM cl"
-QUERIES["latency_stats"] = lambda s, d: C.latencies(_clocks(s, d)).groupBy("instrument_id").agg(F.round(F.avg("receive_latency_ns"), 3).alias("mean"), F.max("receive_latency_ns").alias("most"), F.count("process_latency_ns").alias("n"))
-ORACLES["latency_stats"] = f"{TR}, {_cl} SELECT instrument_id, round(avg(rt - event_time_ns), 3) AS mean, max(rt - event_time_ns) AS most, count(pt - rt) AS n FROM cl GROUP BY 1"
+_LATE = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+QUERIES["latency_stats"] = lambda s, d: C.latency_stats(C.latencies(_clocks(s, d)), ["instrument_id"], _LATE).select("instrument_id", "clock", "n", *(F.round(c, 3).alias(c) for c in ("mean", *_LATE)), "most")
+ORACLES["latency_stats"] = f"{TR}, {_cl}, x AS (SELECT instrument_id, 'receive' AS clock, rt - event_time_ns AS v FROM cl UNION ALL SELECT instrument_id, 'process', pt - rt FROM cl UNION ALL SELECT instrument_id, 'total', pt - event_time_ns FROM cl) SELECT instrument_id, clock, count(v) AS n, round(avg(v), 3) AS mean, {', '.join(f'round(quantile_cont(v::DOUBLE, {q}), 3) AS {c}' for c, q in _LATE.items())}, max(v) AS most FROM x GROUP BY 1, 2"
 QUERIES["trading_date"] = lambda s, d: V.trades(s, d).select("seq", trading_date().cast("string").alias("trading_date"))
 ORACLES["trading_date"] = f"{TR} SELECT seq, strftime(make_timestamp(event_time_ns // 1000), '%Y-%m-%d') AS trading_date FROM v_trades"
 QUERIES["warmup_live_split"] = lambda s, d: C.warmup_split(V.bars(s, d), 50).select(*KEYS, "is_warmup")

@@ -123,13 +123,17 @@ def merge_groups(features: DataFrame, columns: list[str], keys=(KEY, "event_time
 
 
 def feature_query(events: DataFrame, ids: list[str] | None = None, sets: list[str] | None = None, start: int | None = None, end: int | None = None, warmup: bool = False) -> DataFrame:
-    """Feature events by instrument, set and time, one for each (time, instrument, set), sorted."""
+    """Feature events by instrument, set and time, sorted; of several for one (time, instrument,
+    set) the least row."""
     for c, v in ((KEY, ids), ("feature_set_id", sets)):
         events = events.where(F.col(c).isin(v)) if v is not None else events
     events = events.where(F.col("ts_event") >= start) if start is not None else events
     events = events.where(F.col("ts_event") <= end) if end is not None else events
     events = events if warmup else events.where(~F.col("is_warmup"))
-    return events.dropDuplicates(["ts_event", KEY, "feature_set_id"]).orderBy("ts_event", KEY, "feature_set_id")
+    keys = ["ts_event", KEY, "feature_set_id"]
+    rest = [c for c in events.columns if c not in keys]
+    one = events.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r"))
+    return one.select(*keys, "r.*").select(*events.columns).orderBy(*keys)
 
 
 def available(manifest: DataFrame) -> DataFrame:
@@ -137,9 +141,9 @@ def available(manifest: DataFrame) -> DataFrame:
 
 
 def latest(events: DataFrame, time: str = "ts_event") -> DataFrame:
-    """The newest event of each instrument and set."""
-    rest = [c for c in events.columns if c not in (KEY, "feature_set_id")]
-    return events.groupBy(KEY, "feature_set_id").agg(F.max_by(F.struct(*rest), time).alias("r")).select(KEY, "feature_set_id", "r.*")
+    """The newest event of each instrument and set; of several at one time the greatest row."""
+    rest = [time, *(c for c in events.columns if c not in (KEY, "feature_set_id", time))]
+    return events.groupBy(KEY, "feature_set_id").agg(F.max(F.struct(*rest)).alias("r")).select(KEY, "feature_set_id", "r.*")
 
 
 def window(events: DataFrame, k: int, time: str = "ts_event") -> DataFrame:
@@ -176,7 +180,3 @@ def archive(df: DataFrame, root: str, groups: dict[str, list[str]], raw: list[st
 def compact_partition(spark: SparkSession, path: str, out: str, files: int = 1) -> None:
     """A partition's small files as few larger ones, written beside them."""
     spark.read.parquet(path).coalesce(files).write.mode("overwrite").parquet(out)
-
-
-def covers(start: Column, end: Column, a: int, b: int) -> Column:
-    return (start <= a) & (end >= b)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,7 +209,3 @@ def instruments(dumps: DataFrame) -> DataFrame:
         F.col("m.symbol").alias(KEY), F.col("m.type").alias("market_type"), F.col("m.precision.price").alias("tick_size"), F.col("m.precision.amount").alias("lot_size"),
         F.col("m.limits.amount.min").alias("min_quantity"), F.col("m.limits.amount.max").alias("max_quantity"), F.coalesce("m.active", F.lit(True)).alias("active"),
     ).dropDuplicates([KEY])
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_.=-]+", "-", text)

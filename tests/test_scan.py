@@ -197,3 +197,27 @@ def test_first_rows_of_ties(spark):
         got = {r.id for r in scan.first_rows(rows, [F.desc("v"), F.col("id")], n).collect()}
         assert got == set(([*range(1, 5000, 2)] + [*range(0, 5000, 2)])[:n])
     assert scan.first_rows(rows.where("false"), [F.col("id")], 3).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, v) for k in "ab" for v in [None, 0.0, -1.5, 3.0, 3.0, 1e12, *rng.normal(size=301).tolist(), *rng.integers(0, 5, 50).astype(float).tolist()]] + [("c", None), ("d", 2.0)]
+    points = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p333": 1 / 3, "p99": 0.99, "p100": 1.0}
+    got = {r.k: [r[c] for c in points] for r in scan.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", points).collect()}
+    want = [np.quantile([v for k, v in rows if k == "a" and v is not None], q) for q in points.values()]
+    assert got["a"] == pytest.approx(want) and got["c"] == [None] * 6 and got["d"] == [2.0] * 6
+
+
+def test_no_trade_rows_are_no_signals(spark):
+    """A side above the threshold counts only where it is the likeliest class."""
+    from marketloom.operators import ml
+
+    rows = [(1, 0, 1, 0.45, 0.44, 0.11, 0.5), (2, 1, 1, 0.1, 0.6, 0.3, 0.5), (3, 2, 1, 0.2, 0.2, 0.6, 0.5), (4, 0, 0, 0.3, 0.35, 0.35, -0.5)]
+    df = spark.createDataFrame(rows, "row_id int, y int, event_time_ns long, p_notrade double, p_long double, p_short double, future_return double").withColumn("predicted", ml.likeliest())
+    got = {r.kind: r for r in ml.thresholds(df, [0.4, 0.99], 0.1, 0.2).where("threshold = 0.4").collect()}
+    assert [r.predicted for r in df.orderBy("row_id").collect()] == [0, 1, 2, 2]
+    assert (got["long"].signals, got["short"].signals, got["both"].signals) == (1, 1, 2) and got["both"].precision == 1.0 and got["both"].per_day == 2.0
+    assert got["short"].avg_return == -0.5 and got["both"].median_return == 0.0 and got["both"].positive_rate == 0.5
+    assert ml.thresholds(df, [0.99], 0.1, 0.2).where("signals > 0 or precision is not null").count() == 0
+    assert [r.row_id for r in ml.top_share(df, 0.5).orderBy("row_id").collect()] == [2, 3]
+    assert ml.top_share(df, 1.0).count() == 3
