@@ -87,6 +87,14 @@ _add(
     ("feat_vwm_20",),
     59,
 )
+# recursions
+for _n in (12, 26):
+    REGISTRY.add_ema(f"ewma_{_n}", "close", _n, inputs=("close",), group="bars")
+_add("ewma_gap", lambda w: _c("ewma_12") - _c("ewma_26"), ("ewma_12", "ewma_26"))
+REGISTRY.add_ema("ewma_signal", "ewma_gap", 9, ("ewma_gap",), group="bars")
+_add("ewma_swing", lambda w: w.full(10, F.max("ewma_signal"), "ewma_signal") - w.full(10, F.min("ewma_signal"), "ewma_signal"), ("ewma_signal",), 9)
+REGISTRY.add_ema("ewma_price", "price", 10, inputs=("price",), group="trades")
+_add("ewma_price_gap", lambda w: _c("price") / at_least(_c("ewma_price")) - 1, ("ewma_price",), inputs=("price",), group="trades")
 # trades
 T = 50
 for _name, _dep in (("trade_volume_sum", F.sum), ("avg_trade_size", F.avg)):

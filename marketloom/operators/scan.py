@@ -220,6 +220,16 @@ def ema(df: DataFrame, outs: dict[str, tuple[str, float]], **parameters) -> Data
     return scanned.drop(*(f"{o}_{s}" for o in outs for s in ("a0", "b0", "x0", "f")))
 
 
+def recursions(df: DataFrame, names: list[str], **parameters) -> DataFrame:
+    """df with y = a y_before + b for each name, from columns <name>_a0, _b0 and _s0 (the value of
+    the first row whose b isn't null)."""
+    firsts = df.groupBy(KEY).agg(*(F.min(F.when(F.col(f"{n}_b0").isNotNull(), F.struct(*ORDER))).alias(f"{n}_f0") for n in names))
+    df = df.join(firsts, KEY)
+    first = {n: F.struct(*ORDER) == F.col(f"{n}_f0") for n in names}
+    df = df.withColumns({f"{n}_a0": F.when(first[n], 0.0).otherwise(F.col(f"{n}_a0")) for n in names} | {f"{n}_b0": F.when(first[n], F.col(f"{n}_s0")).otherwise(F.col(f"{n}_b0")) for n in names})
+    return affine_scan(df, {n: (f"{n}_a0", f"{n}_b0") for n in names}, **parameters).drop(*(f"{n}_{x}0" for n in names for x in "absf"))
+
+
 def fold(df: DataFrame, step: Callable[[Iterator[tuple], str], Iterable[tuple]], columns: list[str], schema: str, key: str = KEY, order=ORDER) -> DataFrame:
     """One pass of a state machine over each key's ordered rows.
 
