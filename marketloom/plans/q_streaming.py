@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from marketloom.functions.features import REGISTRY
 from marketloom.functions.ints import idiv
+from marketloom.operators import scan
 from marketloom.plans import views as V
 from marketloom.plans.q_bars import ohlcv_sql
-from marketloom.plans.q_features import KEYS, LINE, NUDGE
+from marketloom.plans.q_features import KEYS, LINE, NUDGE, feature_sql, rounded
 from marketloom.plans.q_sources import place
 from marketloom.schemas import HOUR
 from marketloom.streaming import streams as S
+from marketloom.streaming.feature_stream import FeatureStream, differences
 
 QUERIES, ORACLES = {}, {}
 TR = f"WITH {V.sql('v_trades')}"
@@ -108,15 +113,27 @@ QUERIES["stream_normalize_json"] = _json
 ORACLES["stream_normalize_json"] = f"{TR} SELECT 'trade' AS kind, instrument_id, (event_time_ns // 1000000 - CASE WHEN seq % 4 <> 0 THEN 5 ELSE 0 END) * 1000000 AS event_time_ns, seq, round(price + {NUDGE}, 6) AS price, round(quantity + {NUDGE}, 6) AS quantity, side FROM v_trades WHERE seq % 9 <> 0"
 
 
-def _features(s, d, **how):
-    return _files(s, S.features(S.replay(s, *_stored(s, d)), **how)).select(*KEYS, rnd("price"), rnd("ema"), rnd("mean_5"), "is_ready", "is_late")
+def _features(s, stored, **how):
+    return _files(s, S.features(S.replay(s, *stored), **how))
+
+
+STREAMED = ["trade_volume_sum", "avg_trade_size", "trade_quote_volume_sum", "trade_vwap", "signed_trade_volume", "trade_imbalance", "large_trade_ratio"]
+
+
+def _stream_features(s, d):
+    """Trade features and an exponential mean with what builds on it, from the registry."""
+    path, schema, files = _stored(s, d)
+    stream = FeatureStream([*STREAMED, "ewma_price", "ewma_price_gap"], place(s))
+    stream.run(S.replay(s, path, schema, files).drop("ts"), place(s))
+    return rounded(stream.read(s, schema), stream.names)
 
 
-QUERIES["stream_features"] = _features
+QUERIES["stream_features"] = _stream_features
 _ema = "r.e + (2.0::DOUBLE / 11) * (n.price - r.e)"
-ORACLES["stream_features"] = f"""WITH RECURSIVE {V.sql('v_trades')}, n AS (SELECT *, row_number() OVER ({LINE}) AS k, avg(price) OVER ({LINE} ROWS 4 PRECEDING) AS m FROM v_trades),
-  r AS (SELECT instrument_id, k, price AS e FROM n WHERE k = 1 UNION ALL SELECT n.instrument_id, n.k, {_ema} FROM r JOIN n ON n.instrument_id = r.instrument_id AND n.k = r.k + 1)
-  SELECT n.instrument_id, event_time_ns, seq, round(price + {NUDGE}, 6) AS price, round(e + {NUDGE}, 6) AS ema, CASE WHEN n.k >= 5 THEN round(m + {NUDGE}, 6) END AS mean_5, n.k >= 5 AS is_ready, false AS is_late FROM n JOIN r ON n.instrument_id = r.instrument_id AND n.k = r.k"""
+ORACLES["stream_features"] = f"""WITH RECURSIVE {V.sql('v_trades')}, n AS (SELECT *, row_number() OVER ({LINE}) AS k FROM v_trades),
+  r AS (SELECT instrument_id, k, price AS e FROM n WHERE k = 1 UNION ALL SELECT n.instrument_id, n.k, {_ema} FROM r JOIN n ON n.instrument_id = r.instrument_id AND n.k = r.k + 1),
+  f AS ({feature_sql(STREAMED, 'v_trades')})
+  SELECT f.*, round(e + {NUDGE}, 6) AS ewma_price, round(price / e - 1 + {NUDGE}, 6) AS ewma_price_gap FROM n JOIN r ON n.instrument_id = r.instrument_id AND n.k = r.k JOIN f ON f.instrument_id = n.instrument_id AND f.event_time_ns = n.event_time_ns AND f.seq = n.seq"""
 
 
 def _containers(s, d):
@@ -141,7 +158,7 @@ def _late(s, d):
     stored = _parts(s, V.trades(s, d), [newer, ~newer])
     out = None
     for policy, live in [(p, False) for p in S.POLICIES] + [("recompute_for_backtest_only", True)]:
-        rows = _files(s, S.features(S.replay(s, *stored), policy=policy, window_ns=WINDOW, live=live)).withColumn("policy", F.lit(policy + "_live" * live))
+        rows = _features(s, stored, policy=policy, window_ns=WINDOW, live=live).withColumn("policy", F.lit(policy + "_live" * live))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("policy", "instrument_id").agg(
         F.count("*").alias("n_rows"), F.sum(F.col("is_late").cast("long")).alias("late"), F.max("n").alias("used"), F.round(F.max_by("ema", "n") + NUDGE, 6).alias("ema")
@@ -160,15 +177,23 @@ ORACLES["stream_late_policy"] = f"""WITH RECURSIVE {V.sql('v_trades')}, a AS (SE
   FROM u JOIN r ON r.policy = u.policy AND r.instrument_id = u.instrument_id AND r.k = u.used LEFT JOIN l ON l.instrument_id = u.instrument_id"""
 
 
-def _parity(s, d):
-    """Rows in which the stream and the batch scan of the same trades differ, counted with all."""
-    from marketloom.operators import scan
+PARITY = sorted(f.name for f in REGISTRY.known.values() if f.group in ("bars", "research") and not f.name.endswith("_"))
+#: Parts of the parity's stream, and the seed of the places where they are cut.
+PARTS, CUT_SEED = 3, 11
 
-    stream = _features(s, d).select("instrument_id", "seq", F.round("ema", 6).alias("x"))
-    batch = scan.ema(V.trades(s, d), {"ema": ("price", 2 / 11)}).select("instrument_id", "seq", F.round(F.col("ema") + NUDGE, 6).alias("y"))
-    j = stream.join(batch, ["instrument_id", "seq"], "full_outer")
-    return j.groupBy("instrument_id").agg(F.count("*").alias("rows"), F.sum(F.when(F.abs(F.col("x") - F.col("y")) < 1e-5, 0).otherwise(1)).alias("different"))
+
+def _parity(s, d):
+    """For every feature of bars: rows, and rows in which the stream, cut at random places, and
+    the batch differ."""
+    b = scan.settled(V.bars(s, d))
+    first, last = b.agg(F.min("event_time_ns"), F.max("event_time_ns")).first()
+    draw = random.Random(CUT_SEED)
+    cuts = [first, *sorted(draw.randint(first, last) for _ in range(PARTS - 1)), last + 1]
+    path, schema, files = _parts(s, b, [(F.col("event_time_ns") >= x) & (F.col("event_time_ns") < y) for x, y in zip(cuts, cuts[1:])])
+    stream = FeatureStream(PARITY, place(s))
+    stream.run(S.replay(s, path, schema, files).drop("ts"), place(s))
+    return differences(stream.read(s, schema), REGISTRY.compute(b, PARITY), PARITY)
 
 
 QUERIES["stream_batch_parity"] = _parity
-ORACLES["stream_batch_parity"] = f"{TR} SELECT instrument_id, count(*) AS rows, 0 AS different FROM v_trades GROUP BY 1"
+ORACLES["stream_batch_parity"] = f"WITH {V.sql('v_bars')} SELECT feature, n AS rows, 0 AS different FROM (SELECT count(*) AS n FROM v_bars), (SELECT unnest([{', '.join(repr(n) for n in PARITY)}]) AS feature)"
