@@ -177,7 +177,8 @@ def top_share(rows: DataFrame, share: float, tie: str = "row_id") -> DataFrame:
 
 def top_stats(rows: DataFrame, shares: list[float], cost: float, label_at: float) -> DataFrame:
     """`signal_stats` of the most confident signals for each share, with the least confidence
-    among them (null if there are none)."""
+    among them (null if there are none). Rows are written when this is called."""
+    rows = scan.settled(rows)  # every share counts and reads it
     chosen = [top_share(rows, x).withColumn("share", F.lit(float(x))) for x in shares]
     r = reduce(DataFrame.unionByName, chosen).withColumn("side", F.col("predicted"))
     groups = rows.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")

@@ -136,8 +136,20 @@ ORACLES["stream_features"] = f"""WITH RECURSIVE {V.sql('v_trades')}, n AS (SELEC
   SELECT f.*, round(e + {NUDGE}, 6) AS ewma_price, round(price / e - 1 + {NUDGE}, 6) AS ewma_price_gap FROM n JOIN r ON n.instrument_id = r.instrument_id AND n.k = r.k JOIN f ON f.instrument_id = n.instrument_id AND f.event_time_ns = n.event_time_ns AND f.seq = n.seq"""
 
 
+#: How late trades of the containers' stream come.
+LATE = 6 * HOUR
+
+
 def _containers(s, d):
-    out = _files(s, S.containers(S.replay(s, *_stored(s, d))))
+    """Every fifth trade comes hours late, every seventh twice; heartbeats close the stream."""
+    t = V.trades(s, d)
+    first, last = t.agg(F.min("event_time_ns"), F.max("event_time_ns")).first()
+    ends = t.groupBy("instrument_id").agg(F.lit(last + LATE).alias("event_time_ns"), F.lit(-1).cast("long").alias("seq"))
+    every = t.withColumn("sent", F.when(F.col("seq") % 5 == 0, F.col("event_time_ns") + LATE).otherwise(F.col("event_time_ns")))
+    every = every.unionByName(every.where("seq % 7 = 0").withColumn("sent", F.col("sent") + 3 * HOUR)).unionByName(ends.withColumn("sent", F.lit(last + 2 * LATE)), True)
+    cuts = [first, *(first + (last - first) * k // 4 for k in (1, 2, 3)), last + 3 * LATE]
+    parts = [(F.col("sent") >= x) & (F.col("sent") < y) for x, y in zip(cuts, cuts[1:])]
+    out = _files(s, S.containers(S.replay(s, *_parts(s, every, parts)), lateness_ns=LATE))
     return out.select(*KEYS, rnd("ema"), *(F.when(F.col("n") >= 5, F.round(F.col(c) + NUDGE, 6)).alias(c) for c in ("mean_k", "std_k")), rnd("span_sum"), rnd("span_vwap"), "n")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from marketloom.functions.ints import idiv
+from marketloom.operators.scan import affine_run
 from marketloom.schemas import KEY
 
 POLICIES = ("drop", "log_only", "update_if_not_finalized", "recompute_for_backtest_only")
@@ -165,52 +166,96 @@ def watermarks(events: DataFrame, lateness_ns: int = 60 * 10**9) -> DataFrame:
 
 
 CONTAINERS = "instrument_id string, event_time_ns long, seq long, ema double, mean_k double, std_k double, span_sum double, span_vwap double, n long"
-_HELD = "ema double, n long, tail array<double>, times array<bigint>, prices array<double>, sizes array<double>"
+_SUMMED = "ema double, n long, tail array<double>, done_ns long, done_seq long, high_ns long"
+_BUCKET = "times array<bigint>, seqs array<bigint>, prices array<double>, sizes array<double>"
+#: Buckets that a span is kept in.
+BUCKETS = 8
 
 
 class ContainerProcessor(StatefulProcessor):
     """Keeps, for each instrument, an exponential mean, the last k prices, and the prices and sizes
-    of a time span; Spark saves them with the query's checkpoint and restores them from it."""
+    of a time span; Spark saves them with the query's checkpoint and restores them from it.
 
-    def __init__(self, alpha: float, k: int, span_ns: int):
-        self.alpha, self.k, self.span_ns = alpha, k, span_ns
+    Events are kept in a map by time bucket: a micro-batch writes the buckets that its events fall
+    into, and removes those that no span reaches any more. Events come out in order once they are
+    `lateness_ns` older than the instrument's newest, so those that come out of order by that much
+    stand where they belong. Later ones, and those seen before, change nothing.
+    """
+
+    def __init__(self, alpha: float, k: int, span_ns: int, lateness_ns: int):
+        self.alpha, self.k, self.span_ns, self.lateness_ns = alpha, k, span_ns, lateness_ns
+        self.width = max(1, span_ns // BUCKETS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("containers", _HELD)
+        self.sums = handle.getValueState("sums", _SUMMED)
+        self.events = handle.getMapState("events", "bucket long", _BUCKET)
+
+    def _keep(self, times: np.ndarray, seqs: np.ndarray, prices: np.ndarray, sizes: np.ndarray) -> None:
+        """Put events into their buckets, each (time, seq) once, in order."""
+        bucket = times // self.width
+        for key in np.unique(bucket).tolist():
+            own = bucket == key
+            parts = [x[own] for x in (times, seqs, prices, sizes)]
+            if self.events.containsKey((key,)):
+                parts = [np.concatenate((np.array(list(held), x.dtype), x)) for held, x in zip(self.events.getValue((key,)), parts)]
+            order = np.lexsort((parts[1], parts[0]))
+            parts = [x[order] for x in parts]
+            new = np.append(True, (np.diff(parts[0]) != 0) | (np.diff(parts[1]) != 0))
+            self.events.updateValue((key,), tuple(x[new].tolist() for x in parts))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ema, n, tail, times, prices, sizes = self.value.get() if self.value.exists() else (None, 0, [], [], [], [])
-        table = pd.concat(list(rows)).sort_values(["event_time_ns", "seq"], kind="stable")
-        at, price, size = (np.concatenate((np.array(list(held), kind), table[c].to_numpy(kind))) for held, c, kind in ((times, "event_time_ns", np.int64), (prices, "price", float), (sizes, "quantity", float)))
-        size = np.nan_to_num(size)
-        new, old = len(table), len(at) - len(table)
-        # spans: rows after (t - span, t], by running sums over what is held and what is new
-        first = np.searchsorted(at, at - self.span_ns, side="right")
-        total = lambda x: (np.concatenate(([0.0], np.cumsum(x)))[np.arange(1, len(x) + 1)] - np.concatenate(([0.0], np.cumsum(x)))[first])[old:]
-        span_sum, volume, money = total(price), total(size), total(price * size)
-        last = np.concatenate((np.array(list(tail), float), price[old:]))
-        frames = pd.Series(last).rolling(self.k)
-        mean, std = frames.mean().to_numpy()[-new:], frames.std().to_numpy()[-new:]
-        means = []
-        for x in price[old:].tolist():
-            ema = x if ema is None else ema + self.alpha * (x - ema)
-            means.append(ema)
-        keep = first[-1]
-        self.value.update((ema, n + new, last[-(self.k - 1) :].tolist() if self.k > 1 else [], at[keep:].tolist(), price[keep:].tolist(), size[keep:].tolist()))
-        yield pd.DataFrame({
-            KEY: key[0], "event_time_ns": at[old:], "seq": table["seq"].to_numpy(np.int64), "ema": means, "mean_k": mean, "std_k": std, "span_sum": span_sum,
-            "span_vwap": np.divide(money, volume, out=np.full(new, np.nan), where=volume > 0), "n": np.arange(n + 1, n + new + 1),
-        })
+        ema, n, tail, done, done_seq, high = self.sums.get() if self.sums.exists() else (None, 0, [], None, None, None)
+        table = pd.concat(list(rows))
+        times, seqs = (table[c].to_numpy(np.int64) for c in ("event_time_ns", "seq"))
+        prices, sizes = (table[c].to_numpy(float) for c in ("price", "quantity"))
+        high = int(times.max()) if high is None else max(high, int(times.max()))
+        use = ~np.isnan(prices)
+        if done is not None:
+            use &= (times > done) | ((times == done) & (seqs > done_seq))
+        if use.any():
+            self._keep(times[use], seqs[use], prices[use], np.nan_to_num(sizes[use]))
+        edge = high - self.lateness_ns
+        held = sorted(k[0] for k in self.events.keys())
+        near = [self.events.getValue((k,)) for k in held if k * self.width <= edge and (done is None or (k + 1) * self.width > done - self.span_ns)]
+        at, seq, price, size = (np.concatenate([np.array(list(x[c]), kind) for x in near]) if near else np.zeros(0, kind) for c, kind in enumerate((np.int64, np.int64, float, float)))
+        whole = at <= edge
+        at, seq, price, size = at[whole], seq[whole], price[whole], size[whole]
+        new = np.ones(len(at), bool) if done is None else (at > done) | ((at == done) & (seq > done_seq))
+        if new.any():
+            first, last = np.searchsorted(at, at[new] - self.span_ns, side="right"), np.searchsorted(at, at[new], side="right")
+            total = lambda x: (s := np.concatenate(([0.0], np.cumsum(x))))[last] - s[first]
+            span_sum, volume, money = total(price), total(size), total(price * size)
+            run = price[new]
+            frames = pd.Series(np.concatenate((np.array(list(tail), float), run))).rolling(self.k)
+            keep, gain = np.full(len(run), 1 - self.alpha), self.alpha * run
+            if ema is None:
+                keep[0], gain[0] = 0.0, run[0]
+            means = affine_run(keep, gain, ema or 0.0)
+            yield pd.DataFrame({
+                KEY: key[0], "event_time_ns": at[new], "seq": seq[new], "ema": means, "mean_k": frames.mean().to_numpy()[-len(run) :], "std_k": frames.std().to_numpy()[-len(run) :], "span_sum": span_sum,
+                "span_vwap": np.divide(money, volume, out=np.full(len(run), np.nan), where=volume > 0), "n": np.arange(n + 1, n + len(run) + 1),
+            })
+            ema, n, done, done_seq = float(means[-1]), n + len(run), int(at[-1]), int(seq[-1])
+            tail = [*tail, *run.tolist()][-(self.k - 1) :] if self.k > 1 else []
+        self.sums.update((ema, n, list(tail), done, done_seq, high))
+        for k in held:
+            if done is not None and (k + 1) * self.width <= done - self.span_ns:
+                self.events.removeKey((k,))
 
     def close(self) -> None:
         pass
 
 
-def containers(trades: DataFrame, alpha: float = 2 / 11, k: int = 5, span_ns: int = 3600 * 10**9) -> DataFrame:
+def containers(trades: DataFrame, alpha: float = 2 / 11, k: int = 5, span_ns: int = 3600 * 10**9, lateness_ns: int = 0) -> DataFrame:
     """Exponential mean, mean and sample deviation of the last k prices, and the sum of prices and
-    the volume-weighted price over (t - span, t], after each trade of a stream in time order."""
+    the volume-weighted price over (t - span, t], after each trade of a stream.
+
+    Trades may come out of order by `lateness_ns`; each comes out once nothing before it can come.
+    A trade without price is a heartbeat: it only says how far an instrument's time has come. Of
+    trades at one time each span holds all that came out together.
+    """
     rows = trades.select(KEY, "event_time_ns", "seq", "price", "quantity")
-    return rows.groupBy(KEY).transformWithStateInPandas(ContainerProcessor(alpha, k, span_ns), CONTAINERS, "append", "none")
+    return rows.groupBy(KEY).transformWithStateInPandas(ContainerProcessor(alpha, k, span_ns, lateness_ns), CONTAINERS, "append", "none")
 
 
 def run_to_snapshot(stream: DataFrame, path: str, checkpoint: str) -> None:
