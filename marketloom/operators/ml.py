@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.ints import idiv
-from marketloom.operators import scan
+from marketloom.operators import boosting, scan
 from marketloom.schemas import DAY
 
 #: Codes of classes.
@@ -41,22 +41,11 @@ def fit_logistic(train: DataFrame, features: list[str], label: str = "label_code
     return predict
 
 
-def fit_boosted(train: DataFrame, features: list[str], label: str = "label_code", classes: int = 3, rounds: int = 5):
-    """One boosted-tree classifier per class against the rest; scores are normalised to 1."""
-    assembler = VectorAssembler(inputCols=features, outputCol="x_", handleInvalid="skip")
-    rows = assembler.transform(train)
-    models = [GBTClassifier(featuresCol="x_", labelCol="y_", maxIter=rounds, maxDepth=3, seed=1).fit(rows.withColumn("y_", (F.col(label) == k).cast("double"))) for k in range(classes)]
-
-    def predict(df: DataFrame) -> DataFrame:
-        out = assembler.transform(df)
-        for k, m in enumerate(models):
-            out = m.transform(out).withColumn(f"s{k}_", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-        total = sum((F.col(f"s{k}_") for k in range(classes)), F.lit(0.0))
-        names = ("p_notrade", "p_long", "p_short")
-        out = out.withColumns({names[k]: F.col(f"s{k}_") / total for k in range(classes)})
-        return out.withColumn("predicted", likeliest()).drop("x_", *(f"s{k}_" for k in range(classes)))
-
-    return predict
+def fit_boosted(train: DataFrame, features: list[str], label: str = "label_code", valid: DataFrame | None = None, **parameters):
+    """Boosted trees by histograms (`boosting.fit`): a function from rows to rows with one
+    probability per class."""
+    model = boosting.fit(train, features, label, valid, **parameters)
+    return lambda df: boosting.predict(df, model).withColumn("predicted", likeliest())
 
 
 def class_scores(rows: DataFrame, label: str = "y", predicted: str = "predicted") -> DataFrame:

@@ -107,3 +107,14 @@ def _train(s, d):
 
 
 QUERIES["ml_baseline_train"] = _train
+
+
+def _boosted(s, d):
+    """Boosted trees on the training split, stopped by the validation split: its probabilities."""
+    rows = L.kept(L.dataset(V.bars(s, d), FEATURES, SPLITS, long_at=0.1, short_at=0.1))
+    train, held = (rows.where(f"split {op} 'train'").select("instrument_id", "event_time_ns", "split", "label_code", *FEATURES) for op in ("=", "<>"))
+    predict = M.fit_boosted(train, FEATURES, valid=held.where("split = 'validation'"), rounds=6, patience=2)
+    return predict(held).select("instrument_id", "event_time_ns", "split", "label_code", "predicted", *(F.round(c, 6).alias(c) for c in ("p_notrade", "p_long", "p_short")))
+
+
+QUERIES["ml_boosted_train"] = _boosted
