@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,48 +133,64 @@ def amount_bars(ticks: DataFrame, step: float, notional: bool = False) -> DataFr
     return _numbered_bars(rows)
 
 
-def signed_bars(ticks: DataFrame, step: float, kind: str = "tick", runs: bool = False) -> DataFrame:
+def signed_bars(ticks: DataFrame, step: float, kind: str = "tick", runs: bool = False, **parameters) -> DataFrame:
     """Imbalance bars (a bar closes when the signed sum reaches `step` either way) or run bars
     (when one side's run reaches it; a change of side starts the run afresh).
 
     kind: tick, volume or value. Ticks of unknown side count with neither. The state decides where
-    bars end, so an instrument is one task; only the bar numbers come from the fold, by the rows'
-    places, so that repeated ticks count as often as they come.
+    bars end; as it starts afresh with each bar, blocks of one instrument run side by side from
+    guesses that are checked (`scan.speculate`, which gets the parameters). Repeated ticks count
+    as often as they come.
     """
     weight = {"tick": F.lit(1.0), "volume": F.col("quantity"), "value": F.col("price") * F.col("quantity")}[kind]
     sign = F.when(F.col("side") == "BUY", 1.0).when(F.col("side") == "SELL", -1.0).otherwise(0.0)
-    rows = scan.settled(scan.numbered(ticks.withColumn("x_", F.coalesce(weight, F.lit(0.0)) * sign)))
 
-    def step_fn(history: Iterator[tuple], key: str) -> Iterator[tuple]:
-        bar, held = 0, 0.0
-        for place, x in history:
+    def run(columns: dict[str, np.ndarray], held: float) -> tuple[float, int, dict[str, np.ndarray]]:
+        bar, bars = 0, []
+        for x in columns["x_"].tolist():
             if runs and held * x < 0:
                 held = 0.0
             held += x
-            yield key, place, bar
+            bars.append(bar)
             if abs(held) >= step:
                 bar, held = bar + 1, 0.0
+        return held, bar, {"bar_": np.array(bars, np.int64)}
 
-    numbers = scan.fold(rows, step_fn, ["ord_", "x_"], f"{KEY} string, ord_ long, bar long", order=("ord_",))
-    return _numbered_bars(rows.withColumn("size", fallback(ticks, SIZE_NAMES)).join(numbers, [KEY, "ord_"]))
-
+    rows = scan.speculate(ticks.withColumn("x_", F.coalesce(weight, F.lit(0.0)) * sign), run, lambda _: 0.0, ["x_"], "bar_ long", **parameters)
+    return _numbered_bars(rows.withColumns({"size": fallback(ticks, SIZE_NAMES), "bar": F.col("before_") + F.col("bar_")}))
 
-def renko(ticks: DataFrame, brick: float) -> DataFrame:
-    """Bricks of fixed height: a move of k heights from the last brick's close makes k bricks."""
 
-    def step_fn(history: Iterator[tuple], key: str) -> Iterator[tuple]:
-        last, n = None, 0
-        for t, p in history:
-            if last is None:
-                last = p
-            while abs(p - last) >= brick - 1e-9:
-                close = last + brick if p > last else last - brick
-                yield key, n, t, last, close, 1 if close > last else -1
-                last, n = close, n + 1
+def renko(ticks: DataFrame, brick: float, **parameters) -> DataFrame:
+    """Bricks of fixed height: a move of k heights from the last brick's close makes k bricks.
 
+    Closes lie on a grid from the instrument's first price, so the state is a whole number, and
+    blocks run side by side (`scan.speculate`, which gets the parameters).
+    """
     # prices order equal times and numbers, so that a rerun makes the same bricks
-    ordered = ("event_time_ns", "seq", "price")
-    return scan.fold(ticks.where("price is not null"), step_fn, ["event_time_ns", "price"], f"{KEY} string, brick long, event_time_ns long, open double, close double, direction int", order=ordered)
+    known = ticks.where("price is not null and not isnan(price)").select(KEY, "event_time_ns", "seq", "price")
+    base = known.groupBy(KEY).agg(F.min(F.struct("event_time_ns", "seq", "price")).alias("first_"))
+    known = scan.numbered(known.join(base, KEY).withColumn("first_", F.col("first_.price")), order=("event_time_ns", "seq", "price"))
+
+    def run(columns: dict[str, np.ndarray], at: float) -> tuple[float, int, dict[str, np.ndarray]]:
+        base, begun, made, n = columns["first_"][0] if len(columns["first_"]) else 0.0, [], [], 0
+        for p in columns["price"].tolist():
+            move = p - (base + at * brick)
+            k = int((abs(move) + 1e-9) // brick)
+            begun.append(at)
+            made.append(k if move > 0 else -k)
+            at += made[-1]
+            n += k
+        made = np.array(made, np.int64)
+        return at, n, {"at_": np.array(begun, np.int64), "made_": made, "prior_": np.cumsum(np.abs(made)) - np.abs(made)}
+
+    def guess(columns: dict[str, np.ndarray]) -> float:
+        return float(np.trunc((columns["price"][0] - columns["first_"][0]) / brick))
+
+    rows = scan.speculate(known, run, guess, ["price", "first_"], "at_ long, made_ long, prior_ long", **parameters).where("made_ <> 0")
+    rows = rows.withColumn("j_", F.explode(F.sequence(F.lit(0), F.abs("made_").cast("int") - 1)))
+    way = F.signum("made_").cast("int")
+    level = lambda k: F.col("first_") + (F.col("at_") + way * k) * F.lit(brick)
+    return rows.select(KEY, (F.col("before_") + F.col("prior_") + F.col("j_")).alias("brick"), "event_time_ns", level(F.col("j_")).alias("open"), level(F.col("j_") + 1).alias("close"), way.alias("direction"))
 
 
 def adjust(ticks: DataFrame, rolls: DataFrame, ratio: bool = True) -> DataFrame:

@@ -267,6 +267,85 @@ def fold(df: DataFrame, step: Callable[[Iterator[tuple], str], Iterable[tuple]],
     return picked.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+#: Rows before a block from which a guessed state runs up to it, and rounds of guesses that are
+#: mended before the rest is run in order.
+WARM, ROUNDS = 4096, 8
+Run = Callable[[dict[str, np.ndarray], float], tuple[float, int, dict[str, np.ndarray]]]
+
+
+def speculate(df: DataFrame, run: Run, guess: Callable[[dict[str, np.ndarray]], float], columns: list[str], made: str, block: int = BLOCK, warm: int = WARM, rounds: int = ROUNDS, key: str = KEY) -> DataFrame:
+    """df (with `ord_`) through a state machine, block by block side by side: adds the columns of
+    the schema `made`, and `before_`, what was counted in earlier blocks.
+
+    `run` takes arrays of `columns` and the state before them (one number), and gives the state
+    after them, a count, and the made columns; `guess` gives a state to start from, which must be
+    the true one on a key's first row. A block starts from what a guess has become `warm` rows
+    later; machines that forget their past mostly are in the true state by then. Where the end of
+    the block before says otherwise, the block runs again from there, until all blocks agree.
+    After `rounds` of this the rest runs in order, a key in one task, so the result is always that
+    of one pass. Rows and the blocks' states are written when this is called.
+    """
+    rows = settled(numbered(df))
+    own = F.floor(F.col("ord_") / block)
+    kind = next(f.dataType.simpleString() for f in rows.schema if f.name == key)
+    summary = f"`{key}` {kind}, block_ long, start_ double, end_ double, count_ long"
+
+    def arrays(table: pa.Table) -> dict[str, np.ndarray]:
+        return {c: table.column(c).to_numpy(zero_copy_only=False) for c in columns}
+
+    def told(table: pa.Table, start: float, end: float, count: int) -> pa.Table:
+        return pa.table({key: table.column(key).slice(0, 1), "block_": table.column("block_").slice(0, 1), "start_": [float(start)], "end_": [float(end)], "count_": [count]})
+
+    def first(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord_")
+        here = arrays(table)
+        n = int(len(table) - table.column("home_").to_numpy(zero_copy_only=False).sum())  # copies come first
+        start = run({c: x[:n] for c, x in here.items()}, guess(here))[0]
+        return told(table, start, *run({c: x[n:] for c, x in here.items()}, start)[:2])
+
+    def again(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord_")
+        start = table.column("start_")[0].as_py()
+        return told(table, start, *run(arrays(table), start)[:2])
+
+    sums = settled(halo(rows, warm, block=block, keys=(key,)).groupBy(key, "block_").applyInArrow(first, summary))
+    line = Window.partitionBy(key).orderBy("block_")
+    for turn in range(rounds + 1):
+        wrong = sums.select(key, "block_", "start_", F.lag("end_").over(line).alias("true_")).where("true_ <> start_").select(key, "block_", F.col("true_").alias("start_"))
+        if not wrong.limit(1).count():
+            break
+        if turn == rounds:
+            sums = settled(fold(rows, _in_order(run, guess, columns, block), ["ord_", *columns], summary, key, ("ord_",)))
+            break
+        redone = rows.withColumn("block_", own).join(wrong, [key, "block_"]).groupBy(key, "block_").applyInArrow(again, summary)
+        sums = settled(sums.join(wrong.select(key, "block_"), [key, "block_"], "left_anti").unionByName(redone))
+    before = F.coalesce(F.sum("count_").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(key, "block_", "start_", before.alias("before_"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("before_", T.LongType()), *T._parse_datatype_string(made).fields])
+
+    def emit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord_")
+        new = run(arrays(table), table.column("start_")[0].as_py())[2]
+        kept = [f.name for f in schema.fields if f.name not in new]
+        return pa.table({c: table.column(c) for c in kept} | {c: pa.array(x) for c, x in new.items()}).select([f.name for f in schema.fields])
+
+    return rows.withColumn("block_", own).join(starts, [key, "block_"]).groupBy(key, "block_").applyInArrow(emit, schema)
+
+
+def _in_order(run: Run, guess: Callable, columns: list[str], block: int) -> Callable[[Iterator[tuple], str], Iterator[tuple]]:
+    """A step of `fold` that gives the states of one key's blocks, one after the other."""
+
+    def step(history: Iterator[tuple], key: str) -> Iterator[tuple]:
+        state = None
+        for number, part in groupby(history, key=lambda r: r[0] // block):
+            here = {c: np.array(x) for c, x in zip(columns, list(zip(*part))[1:])}
+            start = guess(here) if state is None else state
+            state, count, _ = run(here, start)
+            yield key, number, float(start), float(state), count
+
+    return step
+
+
 def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first n rows of df in an order, however many they are: rows are range-partitioned,
     sorted and written, and whole partitions are counted off. No task orders all rows."""
