@@ -19,6 +19,7 @@ from marketloom.plans.q_features import EXPR, KEYS, LINE, NUDGE
 from marketloom.schemas import DAY, HOUR
 from marketloom.sources import catalog as A
 from marketloom.sources import files as S
+from marketloom.sources import store as K
 
 QUERIES, ORACLES = {}, {}
 rnd = lambda c: F.round(F.col(c).cast("double") + NUDGE, 6).alias(c)
@@ -260,8 +261,16 @@ ORACLES["sink_hive"] = f"{BASE} SELECT instrument_id, event_time_ns, seq, {', '.
 
 
 def _archive(s, d):
-    f = REGISTRY.compute(V.bars(s, d), ["feat_sma_20", "rolling_range"])
-    return A.archive(f, place(s), {"trend": ["feat_sma_20"], "range": ["rolling_range"]}, ["open", "close"], ["trading_date"]).select("partition_key", "feature_name", "row_count")
+    """Bars archived as a stream of two micro-batches; counts come from the manifests of files."""
+    b, source, root = V.bars(s, d), place(s), place(s)
+    for half in (F.col("event_time_ns") < _A, F.col("event_time_ns") >= _A):
+        b.where(half).coalesce(1).write.mode("append").parquet(source)
+    groups = {"raw": ["open", "close"], "trend": ["feat_sma_20"], "range": ["rolling_range"]}
+    stream = s.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    K.archive_stream(stream, root, groups, ["trading_date"], place(s), lambda rows: REGISTRY.compute(rows, ["feat_sma_20", "rolling_range"]))
+    files = s.read.parquet(f"{root}/manifest")
+    day = F.concat(F.lit("trading_date="), F.regexp_extract("path", "trading_date=([^/]+)/", 1))
+    return files.groupBy(day.alias("partition_key"), F.col("group").alias("feature_name")).agg(F.sum("row_count").alias("row_count"))
 
 
 QUERIES["sink_eod_archive"] = _archive
@@ -271,7 +280,7 @@ ORACLES["sink_eod_archive"] = f"{BASE}, m AS ({_mani}) SELECT partition_key, f A
 def _compact(s, d):
     path, out = place(s), place(s)
     V.bars(s, d).repartition(12).write.parquet(path)
-    A.compact_partition(s, path, out)
+    K.compact(s, path, out)
     return s.read.parquet(out).withColumn("file", F.input_file_name()).groupBy("instrument_id").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"))
 
 
@@ -280,14 +289,17 @@ ORACLES["compact_partition"] = f"{BASE} SELECT instrument_id, count(*) AS n, 1 A
 
 
 def _scan(s, d):
+    """Two feature groups at rest, read for a time range from the files that their manifest names."""
     f = REGISTRY.compute(V.bars(s, d), ["feat_sma_20", "rolling_range"])
-    a = f.select("instrument_id", "event_time_ns", "feat_sma_20", F.lit(None).cast("double").alias("rolling_range"))
-    b = f.select("instrument_id", "event_time_ns", F.lit(None).cast("double").alias("feat_sma_20"), "rolling_range")
-    return A.merge_groups(a.unionByName(b), ["feat_sma_20", "rolling_range"]).select("instrument_id", "event_time_ns", rnd("feat_sma_20"), rnd("rolling_range"))
+    groups, root = {"trend": ["feat_sma_20"], "range": ["rolling_range"]}, place(s)
+    manifest = K.write_groups(f, root, groups, ["trading_date"])
+    parts = [K.read_range(s, f"{root}/{g}", manifest.where(F.col("group") == g), _A, _B) for g in groups]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return A.merge_groups(both, ["feat_sma_20", "rolling_range"]).select("instrument_id", "event_time_ns", rnd("feat_sma_20"), rnd("rolling_range"))
 
 
 QUERIES["feature_scan"] = _scan
-ORACLES["feature_scan"] = f"{BASE}, f AS (SELECT *, {EXPR['feat_sma_20']} AS x FROM v_bars) SELECT instrument_id, event_time_ns, {rs('x', 'feat_sma_20')}, {rs('high - low', 'rolling_range')} FROM f"
+ORACLES["feature_scan"] = f"{BASE}, f AS (SELECT *, {EXPR['feat_sma_20']} AS x FROM v_bars) SELECT instrument_id, event_time_ns, {rs('x', 'feat_sma_20')}, {rs('high - low', 'rolling_range')} FROM f WHERE event_time_ns BETWEEN {_A} AND {_B}"
 
 
 def _events(s, d):

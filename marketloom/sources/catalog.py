@@ -164,19 +164,3 @@ def write_hive(df: DataFrame, path: str, partition: list[str], mode: str = "erro
     if mode == "overwrite":
         out = out.option("partitionOverwriteMode", "dynamic")
     out.mode(mode).parquet(path)
-
-
-def archive(df: DataFrame, root: str, groups: dict[str, list[str]], raw: list[str], partition: list[str], version: int = 1) -> DataFrame:
-    """Write raw columns and each feature group apart, then give the manifest rows."""
-    keys = [KEY, "event_time_ns", *partition]
-    rows = []
-    for name, columns in {"raw": raw, **groups}.items():
-        part = df.select(*dict.fromkeys([*keys, *columns]))
-        write_hive(part, f"{root}/{name}", partition, "overwrite")
-        rows.append(manifest_rows(part, partition, name, version, {"columns": columns}, "archive"))
-    return reduce(DataFrame.unionByName, rows)
-
-
-def compact_partition(spark: SparkSession, path: str, out: str, files: int = 1) -> None:
-    """A partition's small files as few larger ones, written beside them."""
-    spark.read.parquet(path).coalesce(files).write.mode("overwrite").parquet(out)
