@@ -13,8 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.operators import scan
 from marketloom.schemas import KEY, ORDER
@@ -68,6 +71,24 @@ class Recursion(Feature):
         return {f"{self.name}_{k}": f(line).cast("double") for k, f in (("a0", self.a), ("b0", self.fn), ("s0", self.start or self.fn))}
 
 
+@dataclass(frozen=True)
+class Grouped(Feature):
+    """A user's function of arrays: `arrays` gets the columns in `inputs` and `deps` of one block's
+    rows in time order, as numpy arrays, and gives a double for each row. It must not look further
+    back than `lookback` rows, so that blocks can be cut anywhere."""
+
+    arrays: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None
+
+
+def _grouped(f: Grouped) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ORDER])
+        made = f.arrays({c: table.column(c).to_numpy(zero_copy_only=False) for c in (*f.inputs, *f.deps)})
+        return table.append_column(f.name, pa.array(np.asarray(made, float), from_pandas=True))
+
+    return run
+
+
 class Registry:
     def __init__(self):
         self.known: dict[str, Feature] = {}
@@ -89,6 +110,13 @@ class Registry:
         alpha = 2 / (span + 1)
         return self.add_recursion(name, lambda _: F.lit(1 - alpha), lambda _: F.col(column) * alpha, lambda _: F.col(column), deps, 0, inputs, group, version)
 
+    def add_grouped(self, name: str, arrays: Callable[[dict[str, np.ndarray]], np.ndarray], lookback: int, inputs=(), deps=(), group: str = "default", version: int = 1) -> Feature:
+        """A user's function of numpy arrays with a declared lookback; NaN stands for null."""
+        if name in self.known:
+            raise ValueError(f"feature {name!r} is registered already")
+        self.known[name] = Grouped(name, lambda _: F.lit(None), tuple(deps), lookback, tuple(inputs), group, version, arrays)
+        return self.known[name]
+
     def stages(self, names: list[str]) -> list[list[list[str]]]:
         """Levels in stages, windows in even ones and recursions in odd ones: a stage builds on
         earlier stages only, or on windows of its own."""
@@ -137,7 +165,10 @@ class Registry:
         line = Line(*more)
         for level in levels:
             made = {n: f for n in level if (f"{n}_a0" if isinstance(f := self.known[n], Recursion) else n) not in df.columns}
-            df = df.withColumns({c: x for n, f in made.items() for c, x in (f.parts(line) if isinstance(f, Recursion) else {n: f.fn(line)}).items()})
+            df = df.withColumns({c: x for n, f in made.items() if not isinstance(f, Grouped) for c, x in (f.parts(line) if isinstance(f, Recursion) else {n: f.fn(line)}).items()})
+            for f in made.values():
+                if isinstance(f, Grouped):
+                    df = df.groupBy(KEY, *more).applyInArrow(_grouped(f), T.StructType([*df.schema.fields, T.StructField(f.name, T.DoubleType())]))
         return df
 
     def compute(self, df: DataFrame, names: list[str], reset: str | None = None, block: int = scan.BLOCK) -> DataFrame:
@@ -150,8 +181,9 @@ class Registry:
             return self.layered(df, names, reset).select(*keep)
         for k, levels in enumerate(self.stages(names)):
             far = max((self.lookback(n) for level in levels for n in level), default=0)
+            blocks = far or any(isinstance(self.known[n], Grouped) for level in levels for n in level)
             if levels:
-                df = scan.home(self.windows(scan.halo(df, far, block=block), levels, "block_")) if far else self.windows(df, levels)
+                df = scan.home(self.windows(scan.halo(df, far, block=block), levels, "block_")) if blocks else self.windows(df, levels)
             if k % 2:
                 df = scan.recursions(df, [n for level in levels for n in level], block=block)
         return df.select(*keep)

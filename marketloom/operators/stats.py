@@ -6,8 +6,11 @@ whose denominator is zero is null. Path statistics use block scans, so a long ru
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,37 @@ from marketloom.operators import scan
 from marketloom.operators.bars import trading_date
 from marketloom.schemas import DAY
 
+#: How partial results of user statistics are merged.
+MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def user_statistic(df: DataFrame, keys: list[str], name: str, partial: Callable[[dict[str, np.ndarray]], dict[str, float]], merge: dict[str, str], finish: Column, columns: list[str]) -> DataFrame:
+    """A user's statistic of each group, from mergeable partial results.
+
+    `partial` gets arrays of `columns` of some rows of a group and gives a double for each name in
+    `merge`, which says how two partial results become one (sum, min or max); `finish` is a column
+    over these names. Rows are never gathered: each Arrow batch gives a partial row for each group
+    in it, and Spark merges them. NaN and missing partial results count for nothing.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` double" for n in merge])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            number = pa.array(range(len(table)), pa.int64())
+            groups = table.select(keys).append_column("row_", number).group_by(keys, use_threads=False).aggregate([("row_", "list")])
+            rows = []
+            for r in groups.to_pylist():
+                some = table.take(pa.array(r["row__list"], pa.int64()))
+                found = partial({c: some.column(c).to_numpy(zero_copy_only=False) for c in columns})
+                rows.append({k: r[k] for k in keys} | {n: None if (v := found.get(n)) is None or v != v else float(v) for n in merge})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*(b.schema.field(k) for k in keys), *(pa.field(n, pa.float64()) for n in merge)]))
+
+    parts = df.select(*dict.fromkeys([*keys, *columns])).mapInArrow(run, schema)
+    return parts.groupBy(*keys).agg(*(MERGES[how](n).alias(n) for n, how in merge.items())).select(*keys, finish.alias(name))
+
+
 RUN, YEAR = "run_uid", 252
 CASH = 100_000.0
 

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marketloom.functions.ints import idiv
 from marketloom.functions.features import REGISTRY
-from marketloom.operators import scan
+from marketloom.operators import scan, stats
 from marketloom.operators import validate as C
 from marketloom.operators.bars import trading_date
 from marketloom.plans import views as V
@@ -423,3 +424,33 @@ def _udf(s, d):
 QUERIES["udf_register_feature"] = _udf
 _w10 = f"OVER ({LINE} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
 ORACLES["udf_register_feature"] = f"{BASE}, x AS (SELECT *, high - low AS rr FROM v_bars) SELECT instrument_id, event_time_ns, seq, round(rr / nullif(CASE WHEN count(rr) {_w10} >= 10 THEN avg(rr) {_w10} END, 0) + {NUDGE}, 6) AS user_range_share FROM x"
+
+
+def _rolling_median(columns):
+    x = columns["close"]
+    out = np.full(len(x), np.nan)
+    if len(x) >= 15:
+        out[14:] = np.median(np.lib.stride_tricks.sliding_window_view(x, 15), axis=1)
+    return out
+
+
+def _udf_grouped(s, d):
+    """A user's function of arrays with a lookback, and a feature that builds on it."""
+    if "user_median_15" not in REGISTRY.known:
+        REGISTRY.add_grouped("user_median_15", _rolling_median, 14, ("close",), group="user")
+        REGISTRY.add("user_median_gap", lambda w: F.col("close") - w.lag("user_median_15", 2), ("user_median_15",), 2, group="user")
+    return REGISTRY.compute(V.bars(s, d), ["user_median_15", "user_median_gap"]).select(*KEYS, rnd("user_median_15"), rnd("user_median_gap"))
+
+
+QUERIES["udf_register_grouped"] = _udf_grouped
+_w15 = f"OVER ({LINE} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)"
+ORACLES["udf_register_grouped"] = f"{BASE}, x AS (SELECT *, CASE WHEN count(*) {_w15} >= 15 THEN median(close) {_w15} END AS m FROM v_bars) SELECT instrument_id, event_time_ns, seq, {rs('m', 'user_median_15')}, {rs(f'close - lag(m, 2) OVER ({LINE})', 'user_median_gap')} FROM x"
+
+
+def _geometric(columns):
+    x = columns["price"]
+    return {"logs": float(np.log(x).sum()), "n": len(x), "least": float(x.min())}
+
+
+QUERIES["udf_register_statistic"] = lambda s, d: stats.user_statistic(V.trades(s, d), ["instrument_id"], "share", _geometric, {"logs": "sum", "n": "sum", "least": "min"}, F.round(F.exp(F.col("logs") / F.col("n")) / F.col("least") + NUDGE, 6), ["price"])
+ORACLES["udf_register_statistic"] = f"{TR} SELECT instrument_id, round(exp(avg(ln(price))) / min(price) + {NUDGE}, 6) AS share FROM v_trades GROUP BY 1"

@@ -107,3 +107,18 @@ def test_versions_and_user_features(spark, tmp_path):
     check(spark, stream.read(spark, spark.createDataFrame([], KIND).schema), batch(spark, data, names, one), names)
     with pytest.raises(ValueError, match="versions"):
         FeatureStream(names, f"file://{tmp_path}/a", registry=two).claim(spark)
+
+
+def test_grouped_functions_in_blocks_and_streams(spark, tmp_path):
+    """A user's function of arrays gives the same in any block, and as a stream."""
+    import numpy as np
+
+    own = Registry()
+    own.add_grouped("spread", lambda c: np.array([np.nan if k < 3 else np.ptp(c["high"][k - 3 : k + 1]) for k in range(len(c["high"]))]), 3, ("high",))
+    own.add("calm", lambda w: F.avg("spread").over(w.rows(5)), ("spread",), 4)
+    data = rows(150)
+    whole = own.compute(spark.createDataFrame(data, KIND), ["spread", "calm"])
+    check(spark, own.compute(spark.createDataFrame(data, KIND), ["spread", "calm"], block=7), whole, ["spread", "calm"])
+    stream = FeatureStream(["spread", "calm"], f"file://{tmp_path}/a", registry=own)
+    fed(spark, stream, [data[:50], data[50:53], data[53:]])
+    check(spark, stream.read(spark, spark.createDataFrame([], KIND).schema), whole, ["spread", "calm"])
