@@ -19,6 +19,7 @@ from marketloom.plans import views as V
 from marketloom.plans.q_features import EXPR, KEYS, LINE, NUDGE
 from marketloom.schemas import DAY, HOUR
 from marketloom.sources import catalog as A
+from marketloom.sources import dataset as D
 from marketloom.sources import files as S
 from marketloom.sources import store as K
 
@@ -321,8 +322,23 @@ QUERIES["feature_latest"] = lambda s, d: A.latest(_events(s, d)).select("instrum
 ORACLES["feature_latest"] = f"{BASE}, {_ev} SELECT instrument_id, feature_set_id, max(ts_event) AS ts_event, {rs('arg_max(value, ts_event)', 'value')} FROM ev GROUP BY 1, 2"
 QUERIES["feature_window"] = lambda s, d: A.window(_events(s, d).distinct(), 5).select("instrument_id", "feature_set_id", "ts_event", rnd("value"))
 ORACLES["feature_window"] = f"{BASE}, {_ev} SELECT instrument_id, feature_set_id, ts_event, {rs('value')} FROM ev QUALIFY row_number() OVER (PARTITION BY instrument_id, feature_set_id ORDER BY ts_event DESC) <= 5"
-QUERIES["dataset_load"] = lambda s, d: A.feature_query(_events(s, d), None, ["px"], warmup=True).select("ts_event", "instrument_id", rnd("value"))
-ORACLES["dataset_load"] = f"{BASE}, {_ev} SELECT ts_event, instrument_id, {rs('value')} FROM ev WHERE feature_set_id = 'px'"
+def _label_rows(s, d):
+    """A label every 6 hours."""
+    b = V.bars(s, d).where(idiv("event_time_ns", HOUR) % 6 == 0)
+    return b.select(idiv("event_time_ns", 10**6).alias("ts_event"), "instrument_id", F.col("open").alias("label"))
+
+
+_SETS = ["vol", "px"]
+QUERIES["dataset_load"] = lambda s, d: D.load(_events(s, d), _SETS, ["I1", "I4"], None, _B // 10**6, True).select("ts_event", "instrument_id", "feature_set_id", "is_warmup", rnd("value"))
+ORACLES["dataset_load"] = f"{BASE}, {_ev} SELECT ts_event, instrument_id, feature_set_id, is_warmup, {rs('value')} FROM ev WHERE instrument_id IN ('I1', 'I4') AND ts_event <= {_B // 10**6}"
+QUERIES["dataset_load_exact"] = lambda s, d: D.load(_events(s, d), ["px", "vol"], join="exact").select("ts_event", "instrument_id", rnd("px__value"), rnd("vol__value"))
+ORACLES["dataset_load_exact"] = f"{BASE}, {_ev} SELECT a.ts_event, a.instrument_id, {rs('a.value', 'px__value')}, {rs('b.value', 'vol__value')} FROM ev a JOIN ev b USING (instrument_id, ts_event) WHERE a.feature_set_id = 'px' AND b.feature_set_id = 'vol' AND NOT a.is_warmup AND NOT b.is_warmup"
+QUERIES["dataset_load_asof"] = lambda s, d: D.load(_events(s, d), ["px", "vol", "none"], join="asof", labels=_label_rows(s, d)).select("ts_event", "instrument_id", rnd("px__value"), rnd("vol__value"), rnd("label"))
+_later = "SELECT event_time_ns // 1000000 AS ts_event, instrument_id, open AS label FROM v_bars WHERE event_time_ns // 3600000000000 % 6 = 0"
+_loaded = f"a AS (SELECT * FROM ev WHERE feature_set_id = 'px' AND NOT is_warmup), b AS (SELECT * FROM ev WHERE feature_set_id = 'vol' AND NOT is_warmup), l AS ({_later}), ld AS (SELECT a.ts_event, a.instrument_id, a.value AS x, b.value AS y, l.label FROM a ASOF LEFT JOIN b ON a.instrument_id = b.instrument_id AND a.ts_event >= b.ts_event ASOF LEFT JOIN l ON a.instrument_id = l.instrument_id AND a.ts_event <= l.ts_event)"
+ORACLES["dataset_load_asof"] = f"{BASE}, {_ev}, {_loaded} SELECT ts_event, instrument_id, {rs('x', 'px__value')}, {rs('y', 'vol__value')}, {rs('label')} FROM ld"
+QUERIES["dataset_load_metadata"] = lambda s, d: D.describe(D.load(_events(s, d), ["px", "vol", "none"], join="asof"), ["px", "vol", "none"]).select(F.array_join("used_feature_sets", ",").alias("used"), "row_count", "start", "end")
+ORACLES["dataset_load_metadata"] = f"{BASE}, {_ev} SELECT 'px,vol' AS used, count(*) AS row_count, min(ts_event) AS start, max(ts_event) AS end FROM ev WHERE feature_set_id = 'px' AND NOT is_warmup"
 
 
 def _vector(s, d):
