@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.ints import idiv
+from marketloom.operators import scan
 from marketloom.operators.bars import trading_date
 from marketloom.schemas import DAY, KEY
 
@@ -38,10 +39,13 @@ def first_last(df: DataFrame) -> DataFrame:
 
 def missing_intervals(stored: DataFrame, start: int, end: int) -> DataFrame:
     """Gaps of [start, end] that no stored interval (instrument_id, start_ns, end_ns) covers."""
-    line = Window.partitionBy(KEY).orderBy("start_ns", "end_ns")
-    inside = stored.where((F.col("end_ns") >= start) & (F.col("start_ns") <= end))
-    reach = F.max("end_ns").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    gaps = inside.select(KEY, (F.coalesce(reach, F.lit(start - 1)) + 1).alias("gap_start"), (F.col("start_ns") - 1).alias("gap_end")).where("gap_start <= gap_end")
+    inside = stored.where((F.col("end_ns") >= start) & (F.col("start_ns") <= end)).select(KEY, "start_ns", "end_ns")
+    reached = scan.running_max(inside, "end_ns", "reach_", order=("start_ns", "end_ns"))  # in blocks, as histories may be long
+    near = scan.halo(reached, 0, 1, order=("start_ns", "end_ns"))
+    after = F.lead("start_ns").over(Window.partitionBy(KEY, "block_").orderBy("ord_"))
+    gaps = scan.home(near.withColumn("after_", after)).select(KEY, (F.col("reach_") + 1).alias("gap_start"), (F.col("after_") - 1).alias("gap_end")).where("gap_start <= gap_end")
+    head = inside.groupBy(KEY).agg(F.lit(start).alias("gap_start"), (F.min("start_ns") - 1).alias("gap_end")).where("gap_start <= gap_end")
+    gaps = gaps.unionByName(head)
     tail = inside.groupBy(KEY).agg((F.max("end_ns") + 1).alias("gap_start")).withColumn("gap_end", F.lit(end)).where("gap_start <= gap_end")
     none = stored.select(KEY).distinct().join(inside.select(KEY).distinct(), KEY, "left_anti").select(KEY, F.lit(start).alias("gap_start"), F.lit(end).alias("gap_end"))
     return gaps.unionByName(tail).unionByName(none)

@@ -52,8 +52,9 @@ def infer(columns: list[str]) -> dict[str, str | None]:
 
 
 def timeframe(path: Column) -> Column:
-    """Bar size in a path, such as 15m, 1h or 1d, or null."""
-    return F.nullif(F.regexp_extract(path, r"(?:^|[/_.\-])(\d+(?:ms|s|m|h|d|w))(?:[/_.\-]|$)", 1), F.lit(""))
+    """Bar size in a path, such as 15m, 1h or 1d, or null. Random ids in names of files are no sizes."""
+    named = F.regexp_replace(path, "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{32}", "")
+    return F.nullif(F.regexp_extract(named, r"(?:^|[/_.\-])(\d+(?:ms|s|m|h|d|w))(?:[/_.\-]|$)", 1), F.lit(""))
 
 
 def time_ns(df: DataFrame) -> Column:

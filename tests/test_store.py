@@ -62,3 +62,23 @@ def test_compaction_by_size(spark, tmp_path):
     assert {(r.path, r.bin, r.parts) for r in big} == {("q", 0, 3), ("p", 1, 1), ("r", 1, 1), ("s", 0, 1)}
     store.replace(spark, path, out)
     assert files_of(tmp_path / "a") and not os.path.exists(tmp_path / "b") and spark.read.parquet(path).count() == 60_000
+
+
+def test_gaps_of_overlapping_intervals(spark):
+    import random
+
+    from marketloom.sources import catalog
+
+    draw = random.Random(3)
+    stored = [(f"I{draw.randint(0, 3)}", a := draw.randint(0, 900), a + draw.randint(0, 30)) for _ in range(40)] + [("I9", 5000, 5001)]
+    want = []
+    for k in sorted({r[0] for r in stored}):
+        held, begun = {t for n, a, b in stored if n == k for t in range(a, b + 1)}, None
+        for t in range(100, 802):
+            if t <= 800 and t not in held:
+                begun = t if begun is None else begun
+            elif begun is not None:
+                want.append((k, begun, t - 1))
+                begun = None
+    got = catalog.missing_intervals(spark.createDataFrame(stored, "instrument_id string, start_ns long, end_ns long"), 100, 800)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
