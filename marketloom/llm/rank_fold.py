@@ -1,15 +1,16 @@
 """Byte-level BPE by folding ranked merges over the bytes of distinct words.
 
-Spark splits texts into words (matches of the vocabulary's pattern), takes each distinct word
-once, and folds merges over its bytes with higher-order functions: every step looks all adjacent
-pairs up in the rank map, a literal of the plan, and joins the leftmost pair of least rank. The
-map is an array of small maps by CRC-32, as a lookup in one large literal map would walk it.
-
-Texts are not exploded. Rows fall into buckets (some 16,000 rows of one input partition); each
-bucket gets the words that its texts hold, with their ids, and then streams its texts past them.
-A frequent word costs a row for each bucket, not for each place, so no key is hot. Words above
-`WORD` bytes would make the fold quadratic: they are merged by a heap in the task, which also
-serves a word that the bucket should lack, so a re-read that deals rows otherwise costs time only.
+Spark splits texts into words (matches of the vocabulary's pattern), counts each distinct word
+once, and folds merges over the bytes of the frequent ones with higher-order functions: the state
+of a word is an array of its parts, a step looks the new pairs up in the rank map, a literal of the
+plan, and joins the leftmost pair of least rank. The map is an array of small maps by hash, as a
+lookup in one large literal map would walk it.
+
+The frequent words with their ids (a bounded number of bounded words) go to all tasks, and texts are
+encoded where they are read, without a shuffle of texts. A word beyond that bound, rare or above
+`WORD` bytes (which would make the fold quadratic), is merged in the task, by a heap of the same
+ranks, and remembered; every id is exact either way. Folding all distinct words with Spark costs
+more than the check allows; the README has figures.
 
 Decoding looks up the binary piece of each id in a literal array and concatenates them in the JVM.
 """
@@ -22,7 +23,6 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +31,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.work import slim, texts
+from marketloom.llm.work import cut, ragged, slim
 
 VOCABULARY = "byte_bpe_multi_50k"
 #: Bytes of the longest word that is folded.
@@ -41,11 +41,9 @@ MAPS, SPREAD = 16384, 7919
 #: Bits of an id and of a place in the packed state; the greatest id marks a part without a pair.
 ID_BITS, PLACE_BITS = 17, 7
 NO_PAIR = (1 << ID_BITS) - 1
-#: Rows of a bucket, as a power of 2.
-BUCKET_BITS = 14
-#: Buckets whose rows of one word are gathered at once.
-SALT_BITS = 12
-#: Bytes of words and ids that a task remembers beside its bucket's.
+#: Distinct words that Spark folds, the most frequent ones; they are sent to all tasks.
+FREQUENT = 1 << 18
+#: Bytes of words and ids that a task remembers beside the frequent ones.
 REMEMBERED = 32 << 20
 
 
@@ -181,69 +179,62 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> bytes:
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string())])
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    """Each bucket's words, then its texts as words: ids of the texts."""
-    ranks, bucket, known, other, held = None, None, {}, {}, 0
+def _encode(batches: Iterator[pa.RecordBatch], known, vocabulary: str) -> Iterator[pa.RecordBatch]:
+    """Texts as words to their ids."""
+    frequent, ranks, other, held = known.value, None, {}, 0
     for b in batches:
-        buckets = b.column("bucket").to_numpy(zero_copy_only=False)
-        turns = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), b.num_rows]
-        for lo, hi in zip(turns, turns[1:]):
-            if hi == lo:
-                continue
-            part = b.slice(lo, hi - lo)
-            if buckets[lo] != bucket:
-                bucket, known = buckets[lo], {}
-            word = part.column("word")
-            n_words = len(word) - word.null_count
-            if n_words:
-                lists = part.column("ids").slice(0, n_words)
-                ids = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                ends = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths())))) * 4
-                known |= {w: ids[a:z] for w, a, z in zip(word.slice(0, n_words).to_pylist(), ends.tolist(), ends[1:].tolist())}
-            for at in range(n_words, hi - lo, 64):
-                some = part.slice(at, 64)
-                rows = []
-                for words in some.column("words"):
-                    row = []
-                    for w in words.values.to_pylist() if words.is_valid else ():
-                        got = known.get(w)
-                        if got is None:
-                            got = other.get(w)
-                        if got is None:
-                            ranks = ranks or ranks_of(vocabulary)
-                            got = merge(w.encode(), ranks)
-                            held += len(w) + len(got) + 200
-                            if held > REMEMBERED:
-                                other, held = {}, 0
-                            other[w] = got
-                        row.append(got)
-                    rows.append(b"".join(row))
-                sizes = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), values), pa.array([hashlib.sha256(r).hexdigest() for r in rows])], schema=_SCHEMA)
-
-
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+        for some in (b.slice(at, 64) for at in range(0, b.num_rows, 64)):
+            rows = []
+            for words in some.column("words"):
+                row = []
+                for w in words.values.to_pylist():
+                    got = frequent.get(w)
+                    if got is None:
+                        got = other.get(w)
+                    if got is None:
+                        ranks = ranks or ranks_of(vocabulary)
+                        got = merge(w.encode(), ranks)
+                        held += len(w) + len(got) + 200
+                        if held > REMEMBERED:
+                            other, held = {}, 0
+                        other[w] = got
+                    row.append(got)
+                rows.append(b"".join(row))
+            sizes = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), values), pa.array([hashlib.sha256(r).hexdigest() for r in rows])], schema=_SCHEMA)
+
+
+def frequent_words(words: DataFrame, size: int = FREQUENT) -> DataFrame:
+    """Distinct words (column word) of at most WORD bytes that stand more than once: all that are
+    at least as frequent as a bound, which leaves at most `size` of them."""
+    counts = words.where(F.octet_length("word") <= WORD).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counts = cut(counts.withColumn("step", F.floor(F.log2("n") * 64).cast("int")), "words")
+    total, bound = 0, None
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):  # some thousands at most
+        if total + r["count"] > size:
+            break
+        total, bound = total + r["count"], r["step"]
+    return counts.where(F.col("step") >= bound if bound is not None else F.lit(False)).select("word")
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, ids (array<int>) and their digest (little-endian unsigned 32-bit) of every text.
 
     A null or empty text has no ids; rows stay as they come, repeated or without doc_id; columns
-    other than doc_id and text are not read.
+    other than doc_id and text are not read. Words are counted and the frequent ones folded when
+    this is called.
     """
     spark = docs.sparkSession
-    table = Ranks(ranks_of(vocabulary))
     pattern = F.lit(java_pattern(spark))
-    words = F.regexp_extract_all("text", pattern, F.lit(0))
-    rows = slim(docs, "doc_id", "text").withColumn("bucket", F.shiftright(F.monotonically_increasing_id(), BUCKET_BITS))
-    pairs = rows.select("bucket", F.explode(F.array_distinct(words)).alias("word")).where(F.octet_length("word") <= WORD).distinct()
-    gathered = pairs.groupBy("word", F.shiftright("bucket", SALT_BITS).alias("salt")).agg(F.collect_list("bucket").alias("buckets"))
-    folded = gathered.select("buckets", "word", table.ids(F.col("word")).alias("ids"))
-    none = F.lit(None)
-    known = folded.select(F.explode("buckets").alias("bucket"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "word", "ids")
-    todo = rows.select("bucket", "doc_id", F.coalesce("text", F.lit("")).alias("text"), none.cast("string").alias("word"), none.cast("array<int>").alias("ids"))
-    dealt = known.unionByName(todo).repartition("bucket").sortWithinPartitions("bucket", F.col("word").isNull())
-    return dealt.select("bucket", "doc_id", "word", "ids", F.when(F.col("word").isNull(), words).alias("words")).mapInArrow(
-        partial(_assemble, vocabulary=vocabulary), "doc_id long, ids array<int>, ids_sha256 string"
-    )
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), pattern, F.lit(0))
+    rows = slim(docs, "doc_id", "text")
+    folded = frequent_words(rows.select(F.explode(words).alias("word")), frequent)
+    table = folded.select("word", Ranks(ranks_of(vocabulary)).ids(F.col("word")).alias("ids")).toArrow()
+    ids, ends = ragged(table.column("ids").combine_chunks())
+    ids, ends = ids.astype("<u4").tobytes(), (ends * 4).tolist()
+    known = spark.sparkContext.broadcast({w: ids[a:z] for w, a, z in zip(table.column("word").to_pylist(), ends, ends[1:])})
+    return rows.select("doc_id", words.alias("words")).mapInArrow(lambda it: _encode(it, known, vocabulary), "doc_id long, ids array<int>, ids_sha256 string")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -251,6 +242,6 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return encoded.withColumn("decoded", Ranks(ranks_of(vocabulary)).decode(F.col("ids")))
 
 
-def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_tokens, and digests of every text's ids and of what they decode to."""
-    return decode(encode(docs, vocabulary), vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decode(encode(docs, vocabulary, frequent), vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -83,8 +83,22 @@ def test_fold_equals_the_library(docs):
     for r in docs.collect():
         ids = enc.encode_ordinary(r.text or "")
         want.append((r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(r.text or "")))
-    got = rank_fold.round_trip(docs).collect()
-    assert sorted(map(str, ((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got))) == sorted(map(str, want))
+    for frequent in (rank_fold.FREQUENT, 5, 0):
+        got = rank_fold.round_trip(docs, frequent=frequent).collect()
+        assert sorted(map(str, ((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got))) == sorted(map(str, want))
+
+
+def test_every_folded_word_equals_the_heap(spark):
+    """Words of one to 64 bytes, of every script in the documents and of random bytes' characters."""
+    draw, ranks = random.Random(9), rank_fold.ranks_of()
+    words = [" naïveté", "a", "\u00e9", "  ", "日本語日本語", "x" * 64, "zqzqzqzq", "0123456789012345", "\u0000\u0001", "🤖🤖🤖"]
+    words += ["".join(draw.choice("abcdefgh étß日\U0001f600") for _ in range(draw.randint(1, 12))) for _ in range(800)]
+    words = [w for w in words if len(w.encode()) <= 64]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = df.select("word", rank_fold.Ranks(ranks).ids(F.col("word")).alias("ids")).collect()
+    enc = plain_encoder()
+    for r in got:
+        assert r.ids == enc._encode_single_piece(r.word) == np.frombuffer(rank_fold.merge(r.word.encode(), ranks), "<u4").tolist()
 
 
 def test_splitting_pattern_knows_every_character(spark):
