@@ -42,7 +42,7 @@ MAPS, SPREAD = 16384, 7919
 ID_BITS, PLACE_BITS = 17, 7
 NO_PAIR = (1 << ID_BITS) - 1
 #: Distinct words that Spark folds, the most frequent ones; they are sent to all tasks.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 #: Bytes of words and ids that a task remembers beside the frequent ones.
 REMEMBERED = 32 << 20
 
@@ -150,6 +150,8 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> bytes:
     if whole is not None:
         return whole.to_bytes(4, "little")
     n = len(word)
+    if n <= WORD:
+        return _merge_short(word, ranks)
     start = list(range(n + 1))  # where the part that begins at i ends is start[i]; 0 marks a part merged away
     end = start[1:]
     before = [-1, *start[: n - 1]]
@@ -176,30 +178,53 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> bytes:
     return np.array(out, "<u4").tobytes()
 
 
+def _merge_short(word: bytes, ranks: dict[bytes, int]) -> bytes:
+    """The same for a short word: pairs in a list."""
+    none = len(ranks) + (1 << 32)
+    get = ranks.get
+    ends = list(range(1, len(word) + 1))  # of the parts
+    pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) != none:
+        k = pairs.index(least)
+        del ends[k], pairs[k]  # parts k and k + 1 are one now
+        start = ends[k - 1] if k else 0
+        if k < len(pairs):
+            pairs[k] = get(word[start : ends[k + 1]], none)
+        if k:
+            pairs[k - 1] = get(word[ends[k - 2] if k > 1 else 0 : ends[k]], none)
+    return b"".join([ranks[word[i:j]].to_bytes(4, "little") for i, j in zip([0, *ends], ends)])
+
+
+class Words(dict):
+    """Ids of words: the frequent ones, and others as they come, with a bound on their memory."""
+
+    def __init__(self, frequent: dict[str, bytes], vocabulary: str):
+        super().__init__(frequent)
+        self.ranks, self.other, self.held = ranks_of(vocabulary), [], 0
+
+    def __missing__(self, word: str) -> bytes:
+        found = merge(word.encode(), self.ranks)
+        self.held += 2 * len(word) + len(found) + 200
+        if self.held > REMEMBERED:
+            for w in self.other:
+                del self[w]
+            self.other, self.held = [], 0
+        self.other.append(word)
+        self[word] = found
+        return found
+
+
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string())])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], known, vocabulary: str) -> Iterator[pa.RecordBatch]:
     """Texts as words to their ids."""
-    frequent, ranks, other, held = known.value, None, {}, 0
+    ids_of = Words(known.value, vocabulary).__getitem__
     for b in batches:
         for some in (b.slice(at, 64) for at in range(0, b.num_rows, 64)):
-            rows = []
-            for words in some.column("words"):
-                row = []
-                for w in words.values.to_pylist():
-                    got = frequent.get(w)
-                    if got is None:
-                        got = other.get(w)
-                    if got is None:
-                        ranks = ranks or ranks_of(vocabulary)
-                        got = merge(w.encode(), ranks)
-                        held += len(w) + len(got) + 200
-                        if held > REMEMBERED:
-                            other, held = {}, 0
-                        other[w] = got
-                    row.append(got)
-                rows.append(b"".join(row))
+            column = some.column("words")
+            words, ends = column.flatten().to_pylist(), np.cumsum(np.asarray(column.value_lengths())).tolist()
+            rows = [b"".join(map(ids_of, words[i:j])) for i, j in zip([0, *ends], ends)]
             sizes = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), values), pa.array([hashlib.sha256(r).hexdigest() for r in rows])], schema=_SCHEMA)
