@@ -35,8 +35,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packed)]
 
-#: The classifier and the tokenizer have no SQL form; tests/llm holds stages and operators against
-#: plain code.
+#: The classifier and the tokenizer have no SQL form; tests/llm holds the operators against plain
+#: code and the stages against the operators.
 ORACLE_SQL = None
 
 
