@@ -43,6 +43,8 @@ ID_BITS, PLACE_BITS = 17, 7
 NO_PAIR = (1 << ID_BITS) - 1
 #: Distinct words that Spark folds, the most frequent ones; they are sent to all tasks.
 FREQUENT = 1 << 19
+#: Rows that are encoded at once.
+SLICE = 256
 #: Bytes of words and ids that a task remembers beside the frequent ones.
 REMEMBERED = 32 << 20
 
@@ -53,7 +55,7 @@ def ranks_of(name: str = VOCABULARY) -> dict[bytes, int]:
 
 
 def _members(cls: str) -> str:
-    """All characters that the reference's pattern engine counts as of a class."""
+    """All characters that the tokenizer library's patterns count to a class."""
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     found = tiktoken.Encoding("class", pat_str=cls, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
     return found.decode_bytes(found.encode_ordinary(every)).decode()
@@ -221,13 +223,18 @@ def _encode(batches: Iterator[pa.RecordBatch], known, vocabulary: str) -> Iterat
     """Texts as words to their ids."""
     ids_of = Words(known.value, vocabulary).__getitem__
     for b in batches:
-        for some in (b.slice(at, 64) for at in range(0, b.num_rows, 64)):
+        for some in (b.slice(at, SLICE) for at in range(0, b.num_rows, SLICE)):
             column = some.column("words")
-            words, ends = column.flatten().to_pylist(), np.cumsum(np.asarray(column.value_lengths())).tolist()
-            rows = [b"".join(map(ids_of, words[i:j])) for i, j in zip([0, *ends], ends)]
-            sizes = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), values), pa.array([hashlib.sha256(r).hexdigest() for r in rows])], schema=_SCHEMA)
+            coded = column.flatten().dictionary_encode()  # each word of these rows is looked up once
+            found = list(map(ids_of, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+            sizes = np.array([len(x) // 4 for x in found], np.int64)
+            at = coded.indices.to_numpy()
+            n, start = sizes[at], (np.cumsum(sizes) - sizes)[at]
+            ends = np.cumsum(n)
+            ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(start - (ends - n), n) + np.arange(n.sum())]
+            bounds = np.append(0, ends)[np.append(0, np.cumsum(np.asarray(column.value_lengths())))]
+            digests = [hashlib.sha256(ids[i:j].tobytes()).hexdigest() for i, j in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(digests)], schema=_SCHEMA)
 
 
 def frequent_words(words: DataFrame, size: int = FREQUENT) -> DataFrame:
