@@ -10,6 +10,8 @@ from marketloom.functions.ints import idiv
 from marketloom.operators import scan
 from marketloom.schemas import DAY, HOUR, KEY, ORDER
 
+#: Parts of one unit of volume or value in which `amount_bars` counts.
+UNITS = 10**9
 PRICE_NAMES, SIZE_NAMES = ("price", "last", "close", "mid"), ("size", "volume", "quantity", "qty")
 _first = lambda c: F.min_by(c, F.struct(*ORDER))
 _last = lambda c: F.max_by(c, F.struct(*ORDER))
@@ -120,15 +122,19 @@ def amount_bars(ticks: DataFrame, step: float, notional: bool = False) -> DataFr
     """A bar for every `step` units of volume (or of price times size).
 
     A tick that crosses a boundary is split: each bar gets the part that fills it, and a tick
-    larger than a step makes several bars. Running sums come from block totals.
+    larger than a step makes several bars. Amounts are counted in whole billionths, so that running
+    sums, which come from block totals, are exact at any length and in any order of summing.
     """
     size = F.coalesce(fallback(ticks, SIZE_NAMES), F.lit(0.0))
     amount = size * F.col("price") if notional else size
-    rows = scan.prefix(ticks.withColumn("amount_", amount).where("amount_ > 0"), {"upto_": F.col("amount_")})
+    ticks = ticks.withColumn("amount_", amount).where("amount_ > 0 and not isnan(amount_)")
+    rows = scan.prefix(ticks.withColumn("amount_", F.round(F.col("amount_") * UNITS).cast("decimal(28,0)")), {"upto_": F.col("amount_")})
     rows = rows.withColumn("from_", F.col("upto_") - F.col("amount_"))
-    low = F.floor(F.col("from_") / step)
-    rows = rows.withColumn("bar", F.explode(F.sequence(low, F.greatest(low, F.ceil(F.col("upto_") / step) - 1))))
-    part = F.least(F.col("upto_"), (F.col("bar") + 1) * step) - F.greatest(F.col("from_"), F.col("bar") * step)
+    whole = F.lit(round(step * UNITS)).cast("decimal(19,0)")
+    low = F.call_function("div", F.col("from_"), whole)
+    rows = rows.withColumn("bar", F.explode(F.sequence(low, F.greatest(low, F.call_function("div", F.col("upto_") - 1, whole)))))
+    part = F.least(F.col("upto_"), (F.col("bar") + 1) * whole) - F.greatest(F.col("from_"), F.col("bar") * whole)
+    part = part.cast("double") / UNITS
     rows = rows.withColumn("size", (part / F.col("price")) if notional else part)
     return _numbered_bars(rows)
 

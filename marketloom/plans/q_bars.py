@@ -62,7 +62,13 @@ def amount_sql(amount: str, step: str, size: str) -> str:
 QUERIES["bars_volume"] = lambda s, d: rounded(B.amount_bars(V.trades(s, d), 1000.0), _NB)
 ORACLES["bars_volume"] = amount_sql("quantity", "1000.0::DOUBLE", "part")
 QUERIES["bars_value"] = lambda s, d: rounded(B.amount_bars(V.trades(s, d), 99999.0, notional=True), _NB)
-ORACLES["bars_value"] = amount_sql("(price * quantity)", "99999.0::DOUBLE", "part / price")
+# values in whole billionths, as in the operator: a running sum of doubles depends on how it is summed
+_VS = 99999 * 10**9
+ORACLES["bars_value"] = f"""WITH {V.sql('v_trades')}, a AS (SELECT *, round(price * quantity * 1e9)::BIGINT AS amount FROM v_trades WHERE price * quantity > 0),
+  c AS (SELECT *, sum(amount) OVER ({LINE} ROWS UNBOUNDED PRECEDING) AS upto FROM a),
+  x AS (SELECT *, unnest(range(CAST((upto - amount) // {_VS} AS BIGINT), greatest(CAST((upto - amount) // {_VS} AS BIGINT), CAST((upto - 1) // {_VS} AS BIGINT)) + 1)) AS bar FROM c),
+  p AS (SELECT *, (least(upto, (bar + 1)::HUGEINT * {_VS}) - greatest(upto - amount, bar::HUGEINT * {_VS}))::DOUBLE / 1e9 AS part FROM x)
+  SELECT instrument_id, bar, {ohlcv_sql('part / price', _TAIL)} FROM p GROUP BY 1, 2"""
 
 
 def signed_sql(weight: str, step: float, runs: bool) -> str:
