@@ -1,6 +1,9 @@
 """Results that must not depend on the order in which doubles are summed or multiplied."""
 
-from marketloom.operators import bars
+import pytest
+
+from marketloom.operators import bars, stats
+from marketloom.schemas import DAY
 
 
 def test_amount_bars_count_amounts_exactly(spark):
@@ -9,3 +12,25 @@ def test_amount_bars_count_amounts_exactly(spark):
     for step, notional in ((1.0, False), (2.0, True)):
         got = sorted((r.bar, r.tick_count, round(r.volume, 9)) for r in bars.amount_bars(ticks, step, notional).collect())
         assert got == [(0, 10, 1.0), (1, 10, 1.0), (2, 10, 1.0)]
+
+
+def test_growth_and_drawdown_multiply_days_in_order(spark):
+    """Large products show their last digits: sums of logarithms lost three of them."""
+    rets = [(200 + k * 37 % 100) / 100 if k % 3 else -0.5 for k in range(400)]
+    total, peak, fall = 1.0, 1.0, 0.0
+    for x in rets:
+        total *= 1 + x
+        peak = max(peak, total)
+        fall = max(fall, (peak - total) / peak)
+    parts = [("A", k * DAY + j, p) for k, x in enumerate(rets) for j, p in enumerate((x + 0.1, 0.2, -0.3))]  # 0.1 + 0.2 - 0.3 is no zero in doubles
+    df = spark.createDataFrame(parts, "run_uid string, event_time_ns long, ret double").repartition(7)
+    cagr = total ** (252 / len(rets)) - 1
+    assert stats.return_stats(df).first().cagr == pytest.approx(cagr, rel=1e-15, abs=0)
+    assert stats.max_drawdown(df).first().max_drawdown == pytest.approx(-fall, rel=1e-15, abs=0)
+    assert stats.calmar(df).first().calmar == pytest.approx(cagr / fall, rel=2e-15, abs=0)
+    assert [r.net for r in stats.daily_bins(df).orderBy("day").collect()] == rets
+
+
+def test_returns_too_large_to_count_are_summed(spark):
+    df = spark.createDataFrame([("A", 0, 1e30), ("A", 1, 2.0), ("A", DAY, None), ("A", 2 * DAY, 0.5)], "run_uid string, event_time_ns long, ret double")
+    assert [r.net for r in stats.daily_bins(df).orderBy("day").collect()] == [1e30, None, 0.5]
