@@ -1,8 +1,8 @@
 """Shards along a Hilbert curve over metadata, for files that prune on several columns at once.
 
-Language, source and text size are quantised into cells of near equal counts by cut points from
-a bounded sample; the cell numbers of a row give its place on a Hilbert curve, and rows close on
-the curve are close in every dimension. Rows are range-partitioned along the curve (ties by
+Language, source and text size are quantised into cells of near equal counts by cut points, which
+are exact quantiles of all rows; the cell numbers of a row give its place on a Hilbert curve, and
+rows close on the curve are close in every dimension. Rows are range-partitioned along the curve (ties by
 digest of the text, then doc_id, so that even one hot cell spreads over tasks), numbered through
 partition counts, and cut into runs whose row counts differ by one at most.
 """
@@ -14,14 +14,13 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm import work
 from marketloom.llm.work import cut
 
-SHARDS, BITS, SAMPLE = 24, 6, 20_000
+SHARDS, BITS = 24, 6
 DIMENSIONS = ("lang", "source", "size")
 
 
@@ -52,11 +51,27 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def cut_points(values: list, cells: int) -> list:
-    """Distinct bounds that deal a sample's values into at most `cells` runs of near equal counts."""
-    values = sorted(values)
-    found = {values[len(values) * k // cells] for k in range(1, cells)} if values else set()
-    return sorted(found - {values[0]} if values else found)
+def cut_points(rows: DataFrame, cells: int) -> dict[str, list]:
+    """For each dimension the distinct bounds that deal the values of all rows into at most `cells`
+    runs of near equal counts; nulls count for none.
+
+    Distinct values are counted, range-partitioned and written in order; partition totals say which
+    of them hold the ranks of the bounds. Only the bounds reach the driver.
+    """
+    kinds = {c: "number" if c == "size" else "word" for c in DIMENSIONS}
+    types = {"number": "long", "word": "string"}
+    each = [F.struct(F.lit(c).alias("name"), *(F.col(c).alias(k) if k == own else F.lit(None).cast(types[k]).alias(k) for k in types)) for c, own in kinds.items()]
+    value = ["name", "number", "word"]
+    counts = rows.select(F.inline(F.array(*each))).where("number is not null or word is not null").groupBy(*value).agg(F.count("*").alias("n"))
+    counts = cut(counts.repartitionByRange(*value).sortWithinPartitions(*value).withColumn("part", F.spark_partition_id()), "values")
+    whole, before = Window.partitionBy("name"), Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("name", "part").agg(F.sum("n").alias("in_part"))  # a row per partition and dimension
+    parts = parts.select("name", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"), F.sum("in_part").over(whole).alias("total"))
+    upto = Window.partitionBy("name", "part").orderBy("number", "word").rowsBetween(Window.unboundedPreceding, 0)
+    ends = counts.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(parts), ["name", "part"]).withColumn("end", F.col("before") + F.col("upto"))
+    # bounds are the values of rank total * k div cells; those below a rank e are (e * cells - 1) div total
+    held = ends.where(f"end > n and (end * {cells} - 1) div total > ((end - n) * {cells} - 1) div total").select(*value).collect()
+    return {c: sorted(r[own] for r in held if r["name"] == c) for c, own in kinds.items()}
 
 
 def _along(batches: Iterator[pa.RecordBatch], cuts: dict[str, list], bits: int) -> Iterator[pa.RecordBatch]:
@@ -85,7 +100,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, sample: int = SAMPLE, whole: bool = False) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, whole: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and hilbert of every row; with
     `whole` also the row itself, as a struct `row` of all columns.
 
@@ -97,8 +112,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, sample: int =
     crc = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
     row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole else []
     ready = docs.select(docs["doc_id"], docs["lang"], docs["source"], size.alias("size"), crc.alias("text_crc32"), *row)
-    seen = work.sample(ready.select("doc_id", "lang", "source", "size"), ["doc_id", "size", "lang", "source"], sample).toPandas()
-    cuts = {c: cut_points([v for v in seen[c].tolist() if v is not None], 1 << bits) for c in DIMENSIONS}
+    cuts = cut_points(ready, 1 << bits)
     kind = T.StructType([f for f in ready.schema.fields if f.name not in ("lang", "source")] + [T.StructField("hilbert", T.LongType())])
     numbered = T.StructType([*kind.fields, T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType())])
     line = ready.mapInArrow(lambda it: _along(it, cuts, bits), kind)

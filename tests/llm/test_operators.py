@@ -69,6 +69,17 @@ def test_shards(docs, empty):
     assert hilbert_shards.shard(empty).count() == 0
 
 
+def test_cut_points_are_quantiles_of_all_rows(spark):
+    """Bounds of each dimension against sorted values, with nulls, one hot value and many rare ones."""
+    rows = [(None if k % 7 == 0 else "en" if k % 3 else f"l{k % 50:02d}", f"s{k * k % 1999}" if k % 2 else "hot", k * 7919 % 12007) for k in range(25_000)]
+    df = spark.createDataFrame(rows, "lang string, source string, size long").repartition(6)
+    for part in (df, df.where("size < 3"), df.where("lang is null"), df.limit(0)):
+        got, held = hilbert_shards.cut_points(part, 64), part.collect()
+        for c in hilbert_shards.DIMENSIONS:
+            values = sorted(r[c] for r in held if r[c] is not None)
+            assert got[c] == sorted({values[len(values) * k // 64] for k in range(1, 64)} - {values[0]} if values else set()), c
+
+
 def test_shard_files_and_their_ranges(spark, docs, tmp_path):
     """Files hold whole rows, a shard each, and the ranges of a shard hold all of its rows."""
     some = docs
