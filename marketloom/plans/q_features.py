@@ -189,7 +189,8 @@ for _name, _names in (("research_matrix_v1", research.V1), ("research_matrix_v2"
 
 
 def _time_windows(spark, sf_dir):
-    t = rolling.in_time(V.trades(spark, sf_dir), HOUR, {"n": F.count("*"), "total": F.sum("quantity"), "mean": F.avg("price")})
+    made = {"n": ("count", F.lit(1)), "total": ("sum", F.col("quantity")), "mean": ("avg", F.col("price"))}
+    t = rolling.in_time(V.trades(spark, sf_dir), HOUR, made)
     return t.select(*KEYS, "n", F.round("total", 6).alias("total"), F.round("mean", 6).alias("mean"))
 
 
@@ -199,7 +200,7 @@ ORACLES["rolling_time_window"] = f"WITH {V.sql('v_trades')} SELECT instrument_id
 
 
 def _trade_count(spark, sf_dir):
-    return rolling.in_time(V.trades(spark, sf_dir), HOUR, {"trade_count": F.count("*")}).select(*KEYS, "trade_count")
+    return rolling.in_time(V.trades(spark, sf_dir), HOUR, {"trade_count": ("count", F.lit(1))}).select(*KEYS, "trade_count")
 
 
 QUERIES["trade_count"] = _trade_count
